@@ -10,12 +10,12 @@ compared exactly:
 
 * first, in each band's bucket, every class with one pivot, the class that shares most bands;
 * then, in buckets that still hold several components, all pairs of different components where the
-  bucket is small, else every class with several new pivots, more in each round, until each bucket
-  is one component or all its pairs of different components have been compared.
+  bucket is small, else every class with eight more pivots;
+* last, in large buckets that still aren't one component, all classes outside of the bucket's
+  largest component against all its classes, in chunks of about CHUNK, each pair in one bucket only.
 
-So no link between different components that share a bucket is lost, no bucket's pairs are emitted
-where a few pivots connect it, and no bucket is gathered in one task unless it has SMALL rows at
-most. Links are grouped by union-find inside the partitions, then by the large-star and small-star
+So no link between different components that share a bucket is lost, and no bucket's pairs are
+emitted nor a bucket gathered in one task unless it has SMALL rows at most. Links are grouped by union-find inside the partitions, then by the large-star and small-star
 rounds between them.
 
 Rows: a null text has no words; a text without words has an empty set and is linked with nothing; a
@@ -36,7 +36,7 @@ from landsift.llm.common import Windows, as_bytes, mix, parts_for, slices, start
 
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-SMALL = 48
+SMALL, CHUNK = 48, 512
 #: More ids than this aren't broadcast; the join is shuffled then.
 MOST_IDS = 2_000_000
 
@@ -208,6 +208,47 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_IDS + 1).count() <= MOST_IDS else df
 
 
+def _blocks(per_cent: int):
+    """Links between the outliers of a bucket and a chunk of its members; one for each outlier and component that it meets.
+
+    A pair that shares an earlier band is left to that band's bucket, so each pair is compared once.
+    """
+
+    def run(outliers: pa.Table, members: pa.Table) -> pa.Table:
+        a, b = [], []
+        if outliers.num_rows and members.num_rows:
+            sets = [np.frombuffer(x, np.uint64) for x in members.column("elements").to_pylist()]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            every, first = np.concatenate(sets), starts_of(sizes)
+            bands = np.array(members.column("bands").to_pylist(), np.int64)
+            ids, component = members.column("rep").to_numpy(), members.column("component").to_numpy()
+            at = int(np.flatnonzero(bands[0] == members.column("key")[0].as_py())[0])
+            for o, c, own, x in zip(*(outliers.column(k).to_pylist() for k in ("rep", "component", "bands", "elements")), strict=True):
+                x = np.frombuffer(x, np.uint64)
+                hit = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+                common = np.add.reduceat(hit, first, dtype=np.int64)
+                alike = (100 * common >= per_cent * (len(x) + sizes - common)) & (component != c)
+                alike &= ~(bands[:, :at] == np.array(own[:at], np.int64)).any(axis=1)
+                found = np.flatnonzero(alike)
+                for k in found[np.unique(component[found], return_index=True)[1]]:
+                    a.append(min(o, int(ids[k])))
+                    b.append(max(o, int(ids[k])))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _compared_in_blocks(open_: DataFrame, sets: DataFrame, reps: DataFrame, per_cent: int) -> DataFrame:
+    """Links of each bucket's rows outside of its largest component with all its rows, in chunks."""
+    most = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n_")).groupBy("key").agg(F.max(F.struct("n_", "component")).alias("m_"))
+    rows = open_.join(most.select("key", F.col("m_.component").alias("main")), "key").select("key", "rep", "component", (F.col("component") != F.col("main")).alias("outlier"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    rows = rows.join(sets, F.col("rep") == F.col("id")).join(reps.select("rep", "bands"), "rep")
+    columns = ["key", "rep", "component", "bands", "elements"]
+    left = rows.where("outlier").select(*[F.col(c).alias(c) for c in columns], F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    right = rows.select(*columns, F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"))
+    return left.groupBy("key", "chunk").cogroup(right.groupBy("key", "chunk")).applyInArrow(_blocks(per_cent), "a bigint, b bigint").distinct()
+
+
 def _links(docs: DataFrame, reps: DataFrame, n: int, per_cent: int) -> DataFrame | None:
     """(id, component) over the classes in ``reps`` (rep, n, bands)."""
     alike = lambda x, y: 100 * F.least(x, y) >= per_cent * F.greatest(x, y)  # noqa: E731  else the sets can't be
@@ -222,40 +263,41 @@ def _links(docs: DataFrame, reps: DataFrame, n: int, per_cent: int) -> DataFrame
     wanted = texts.join(_few(central.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
     sets = stored(wanted.mapInArrow(_sets(n), "id bigint, elements binary"), "near-sets")
     groups = parts_for(total * 8 * 4, 4 << 20)
-    open_ = shared.join(central, "rep").select("key", "rep", "n", "size", "score", F.col("rep").alias("component"))
-    links, tried, components, turn = None, None, None, 0
-    while True:
-        salts = 1 if not turn else min(8**turn, 4096)
+    item = F.struct("rep", "n", "component")
+
+    def starred(open_: DataFrame, salts: int, turn: int) -> DataFrame:
+        """Each row of a bucket with its central row, or with the central rows of ``salts`` parts, of another component."""
         best = F.max(F.struct("score", (-F.col("rep")).alias("least"), "n", "component")).alias("best")
-        by_pivot = open_ if not turn else open_.where(F.col("size") > SMALL)
-        salt = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(salts))
-        pivots = by_pivot.groupBy("key", salt.alias("salt")).agg(best).select("key", (-F.col("best.least")).alias("pivot"), F.col("best.n").alias("pn"), F.col("best.component").alias("pc"))
-        pivots = stored(pivots, "near-pivots") if turn else pivots
-        pairs = by_pivot.join(pivots.hint("shuffle_merge"), "key").where((F.col("rep") != F.col("pivot")) & alike(F.col("n"), F.col("pn")) & ((F.col("component") != F.col("pc")) if turn else F.lit(True)))
-        pairs = pairs.select("pivot", F.col("rep").alias("member"))
-        if turn:
-            item = F.struct("rep", "n", "component")
-            few = open_.where(F.col("size") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("all"))
-            few = few.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: (y["rep"] > F.col("x.rep")) & (y["component"] != F.col("x.component")))).alias("y"))
-            pairs = pairs.unionByName(few.where(alike(F.col("x.n"), F.col("y.n"))).select(F.col("x.rep").alias("pivot"), F.col("y.rep").alias("member")))
-        pairs = pairs.distinct()
-        if tried is not None:
-            for old in tried:
-                pairs = pairs.join(old, ["pivot", "member"], "left_anti").join(old.select(F.col("pivot").alias("member"), F.col("member").alias("pivot")), ["pivot", "member"], "left_anti")
-        pairs = stored(pairs, "near-pairs")
-        tried = [*(tried or []), pairs]
-        found = stored(verified(pairs, sets, per_cent, groups), "near-links")
-        links = found if links is None else links.unionByName(found)
-        components = connected(links)
-        left = open_.drop("component")
-        if turn:  # pivots have met all others; small buckets are done
-            left = left.where(F.col("size") > SMALL).join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
-        left = left.join(components.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        several = left.groupBy("key").agg(F.count(F.lit(1)).alias("now"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key", "now")
-        open_ = stored(left.drop("size").join(several.hint("shuffle_merge"), "key").withColumnRenamed("now", "size").select("key", "rep", "n", "size", "score", "component"), "near-open")
-        if open_.isEmpty():
-            return components
-        turn += 1
+        pivots = open_.groupBy("key", F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(salts)).alias("salt")).agg(best)
+        pivots = pivots.select("key", (-F.col("best.least")).alias("pivot"), F.col("best.n").alias("pn"), F.col("best.component").alias("pc"))
+        return open_.join(pivots.hint("shuffle_merge"), "key").where((F.col("component") != F.col("pc")) & alike(F.col("n"), F.col("pn"))).select("pivot", F.col("rep").alias("member"))
+
+    def still_open(open_: DataFrame, components: DataFrame) -> DataFrame:
+        """The rows of buckets that hold several components, with their components of now."""
+        left = open_.drop("component").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        several = left.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
+        return stored(left.join(several.hint("shuffle_merge"), "key").select("key", "rep", "n", "size", "score", "component"), "near-open")
+
+    open_ = shared.join(central, "rep").select("key", "rep", "n", "size", "score", F.col("rep").alias("component"))
+    first = stored(starred(open_, 1, 0).distinct(), "near-pairs")
+    links = stored(verified(first, sets, per_cent, groups), "near-links")
+    components = connected(links)
+    open_ = still_open(open_, components)
+    if open_.isEmpty():
+        return components
+    few = open_.where(F.col("size") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    few = few.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: (y["rep"] > F.col("x.rep")) & (y["component"] != F.col("x.component")))).alias("y"))
+    few = few.where(alike(F.col("x.n"), F.col("y.n"))).select(F.col("x.rep").alias("pivot"), F.col("y.rep").alias("member"))
+    large = open_.where(F.col("size") > SMALL)
+    pairs = few.unionByName(starred(large, 8, 1)).distinct()
+    for tried in (first, first.select(F.col("pivot").alias("member"), F.col("member").alias("pivot"))):
+        pairs = pairs.join(tried, ["pivot", "member"], "left_anti")
+    links = links.unionByName(stored(verified(stored(pairs, "near-pairs"), sets, per_cent, groups), "near-links"))
+    components = connected(links)
+    open_ = still_open(large, components)
+    if open_.isEmpty():
+        return components
+    return connected(links.unionByName(stored(_compared_in_blocks(open_, sets, reps, per_cent), "near-links")))
 
 
 def components(docs: DataFrame, n: int = 2, per_cent: int = 80) -> DataFrame:
