@@ -1,7 +1,8 @@
 """Substring dedup: remove words covered by a window of words that starts earlier elsewhere.
 
 1. Each partition makes a count-min sketch of its windows (two rows, counters that stop at 2),
-   sent as gap-coded cells; the sketches are merged segment by segment. A cell below 2 proves
+   sent as gap-coded cells; the sketches are merged segment by segment, in as many steps as the
+   corpus needs. A cell below 2 proves
    that its windows occur once; the estimate never falls short, so no repeat is lost.
 2. Only windows estimated as repeated are grouped exactly, by 96 hash bits, after each partition
    has kept the earliest start of each; the earliest start overall goes back to its document.
@@ -28,6 +29,8 @@ from landsift.llm.common import NO_ID, Windows, as_bytes, ids_of, parts_for, sli
 
 SEGMENTS = 32
 FLUSH = 4_000_000
+#: What a task merges of a segment's sketches before it hands on bitmaps.
+SEGMENT_BYTES = 64 << 20
 
 
 def encode_gaps(cells: np.ndarray) -> bytes:
@@ -76,24 +79,47 @@ def _sketches(n: int, bits: int):
     return run
 
 
+SKETCH = "segment int, cells binary, seen binary, repeated binary"
+
+
 def _merge(bits: int):
+    """Two bitmaps a segment, batch by batch: which cells were counted, and which twice. Takes cells and bitmaps alike, so merges can be merged."""
     size = (1 << bits) // SEGMENTS
+    unpack = lambda blob: np.unpackbits(np.frombuffer(blob, np.uint8), bitorder="little").astype(bool)
 
-    def run(table: pa.Table) -> pa.Table:
-        seen, repeated = np.zeros(size, bool), np.zeros(size, bool)
-        for blob in table.column("cells").to_pylist():
-            cells = decode_gaps(blob)
-            repeated[cells[1:][cells[1:] == cells[:-1]]] = True
-            repeated[cells[seen[cells]]] = True
-            seen[cells] = True
-        return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([np.packbits(repeated, bitorder="little").tobytes()], pa.binary())})
+    def run(batches):
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for segment, blob, seen_there, repeated_there in zip(*(batch.column(c) for c in ("segment", "cells", "seen", "repeated")), strict=True):
+                seen, repeated = held.setdefault(segment.as_py(), (np.zeros(size, bool), np.zeros(size, bool)))
+                if blob.is_valid:
+                    cells = decode_gaps(blob.as_py())
+                    repeated[cells[1:][cells[1:] == cells[:-1]]] = True
+                    repeated[cells[seen[cells]]] = True
+                    seen[cells] = True
+                else:
+                    other = unpack(seen_there.as_py())
+                    repeated |= unpack(repeated_there.as_py()) | (seen & other)
+                    seen |= other
+        if held:
+            pack = lambda k: pa.array([np.packbits(x[k], bitorder="little").tobytes() for x in held.values()], pa.binary())
+            yield pa.record_batch({"segment": pa.array(list(held), pa.int32()), "cells": pa.nulls(len(held), pa.binary()), "seen": pack(0), "repeated": pack(1)})
 
     return run
 
 
-def repeated_cells(docs: DataFrame, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The merged sketch: for each row, a bit a cell that says that its counter reached 2."""
-    merged = docs.select("text").mapInArrow(_sketches(n, bits), "segment int, cells binary").groupBy("segment").applyInArrow(_merge(bits), "segment int, bits binary")
+def repeated_cells(docs: DataFrame, n: int, bits: int, salts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The merged sketch: for each row, a bit a cell that says that its counter reached 2.
+
+    Segments are merged batch by batch, in ``salts`` parts each first, so a task's memory is that of its
+    bitmaps and its time doesn't grow with the corpus.
+    """
+    none = F.lit(None).cast("binary")
+    sketches = docs.select("text").mapInArrow(_sketches(n, bits), "segment int, cells binary").withColumns({"seen": none, "repeated": none})
+    if salts > 1:
+        salted = sketches.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).repartition(2 * SEGMENTS * salts, "segment", "salt")
+        sketches = salted.drop("salt").mapInArrow(_merge(bits), SKETCH)
+    merged = sketches.repartition(2 * SEGMENTS, "segment").mapInArrow(_merge(bits), SKETCH).select("segment", "repeated")
     rows = np.zeros((2, (1 << bits) // 8), np.uint8)
     each = rows.shape[1] // SEGMENTS
     for segment, found in merged.collect():  # 2 * SEGMENTS rows, max_cells / 4 bytes in all
@@ -228,7 +254,8 @@ def dedup_substrings(docs: DataFrame, n: int = 20, cells_per_window: float = 2.0
     likely = size / 6.2  # a word a window; only the size of the sketch and of shards follows from it
     bits = int(min(max_cells, max(1 << 16, cells_per_window * likely))).bit_length()
     bits = min(bits, max_cells.bit_length() - 1)
-    shared = spark.sparkContext.broadcast(repeated_cells(docs, n, bits))
+    salts = parts_for(likely, SEGMENTS * SEGMENT_BYTES, 1)  # a window is about a byte of a sketch's row
+    shared = spark.sparkContext.broadcast(repeated_cells(docs, n, bits, salts))
     shards, buckets = parts_for(likely, 2e6), parts_for(size, 4 << 20)
     found = docs.mapInArrow(_candidates(n, bits, shared, shards), "shard int, n int, entries binary")
     firsts = found.groupBy("shard").applyInArrow(_earliest(buckets), "bucket bigint, starts binary")

@@ -46,6 +46,19 @@ def test_substrings_of_no_rows_and_clashing_columns(empty, clashing):
     assert substring.digests(clashing).count() == clashing.count()
 
 
+def test_merging_in_steps_gives_the_same_sketch(documents):
+    """The bits that a dense count of the windows' cells gives, whatever the steps."""
+    docs, bits = documents.repartition(7), 16
+    counts = np.zeros((2, 1 << bits), int)
+    for r in documents.collect():
+        h1, h2, _, _ = Windows(20)([(r["text"] or "").encode().split()])
+        for k, h in enumerate((h1, h2)):
+            np.add.at(counts[k], substring._cells(h, bits), 1)
+    want = [np.packbits(c > 1, bitorder="little").tobytes() for c in counts]
+    for salts in (1, 3):
+        assert [x.tobytes() for x in substring.repeated_cells(docs, 20, bits, salts)] == want
+
+
 def test_gaps():
     cells = np.array([0, 0, 3, 254, 509, 510, 100_000, 100_000])
     assert substring.decode_gaps(substring.encode_gaps(cells)).tolist() == cells.tolist()
