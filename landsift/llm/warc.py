@@ -45,22 +45,23 @@ def _file_system(uri: str):
     return fs.LocalFileSystem(), uri
 
 
-def with_types(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """page_id, url, payload, payload_digest, payload_bytes, record_type, refers_to of each page."""
+def payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, payload_digest, payload_bytes of each page."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
-    rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    large = F.col("payload_bytes") >= least
-    # groups of one page are their own; only digests that stand in more rows go into the join
-    groups = rows.where(large).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("page_id").isNull()).alias("nameless"))
-    groups = groups.where("n > 1 and best is not null").select(F.col("payload_digest").alias("g_digest"), F.col("payload_bytes").alias("g_bytes"), "best")
-    on = (F.col("payload_digest") == F.col("g_digest")) & (F.col("payload_bytes") == F.col("g_bytes"))
-    joined = rows.join(groups, on, "left")
-    revisit = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best")) & F.col("page_id").isNotNull()
-    return joined.select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("best")).alias("refers_to"))
+    return rows.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+
+
+def revisits(rows: DataFrame, least: int = 1000) -> DataFrame:
+    """page_id, payload_digest, refers_to of the records that revisit another one; only digests are shuffled, no payload."""
+    keys = rows.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "payload_digest", "payload_bytes")
+    groups = keys.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
+    groups = stored(groups.where("n > 1").drop("n"), "warc-groups")  # the join deals both sides anew, so that Spark can split a hot digest
+    found = keys.join(groups, ["payload_digest", "payload_bytes"]).where("page_id <> refers_to")
+    return stored(found.select("page_id", "payload_digest", "refers_to").distinct(), "warc-revisits")
 
 
 def _sha1_32(data: bytes) -> str:
@@ -123,18 +124,23 @@ class _Roller:
             self.out = None
 
 
-def _writer(folder: str, roll: int):
+def _writer(folder: str, roll: int, least: int):
     def run(batches):
         held = _Roller(folder, roll)
         held.files.create_dir(f"{held.folder}/_temporary", recursive=True)
-        last = None
+        known, refers = None, None  # the record that was seen or decided on last, and what another such record refers to
         for batch in batches:
             for row in batch.to_pylist():
-                # a repeated row of the response revisits it
-                same = row["page_id"] is not None and (row["page_id"], row["payload_digest"]) == last and row["repeats"]
-                kind, refers = ("revisit", row["page_id"]) if same else (row["record_type"], row["refers_to"])
+                key = row["page_id"], row["payload_digest"]
+                if row["payload"] is None:  # a decision; it stands before its records
+                    known, refers = key, row["refers_to"]
+                    continue
+                if key != known:
+                    known, refers = key, None
+                kind = "response" if refers is None else "revisit"
                 held.add(row["shard"], record(row["page_id"], row["url"], row["payload"], row["payload_digest"], kind, refers))
-                last = row["page_id"], row["payload_digest"]
+                if refers is None and row["page_id"] is not None and row["payload_bytes"] >= least:
+                    refers = row["page_id"]  # a repeated row of the response revisits it
         held.close()
         if held.rows:
             names = [x.split()[0] for x in MANIFEST.split(", ")]
@@ -161,12 +167,16 @@ def _commit(folder: str):
 def write(pages: DataFrame, folder: str, ids_a_shard: int = 2_000, roll: int = 32 << 20, least: int = 1000) -> DataFrame:
     """Write the archives of ``pages`` into ``folder``; the manifest, a row a file."""
     spark = pages.sparkSession
-    rows = with_types(pages, least)
-    shard = F.coalesce(F.floor(F.col("page_id") / F.lit(ids_a_shard)).cast("long"), F.lit(-1))
-    rows = rows.withColumn("shard", F.when(F.col("page_id").isNull(), F.lit(-1)).otherwise(F.greatest(shard, F.lit(0)))).withColumn("repeats", F.col("payload_bytes") >= least)
+    rows = payloads(pages)
+    # a decision travels as a row without payload that sorts before its records; the payloads are shuffled once
+    none = F.lit(None)
+    decided = revisits(rows, least).select("page_id", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "payload_digest", none.cast("long").alias("payload_bytes"), "refers_to")
+    rows = rows.withColumn("refers_to", none.cast("long")).unionByName(decided)
+    shard = F.greatest(F.floor(F.col("page_id") / F.lit(ids_a_shard)).cast("long"), F.lit(0))
+    rows = rows.withColumn("shard", F.when(F.col("page_id").isNull(), F.lit(-1)).otherwise(shard))
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    dealt = rows.repartitionByRange(count, "shard").sortWithinPartitions("shard", "page_id", "payload_digest", "url")
-    manifest = stored(dealt.mapInArrow(_writer(folder, roll), MANIFEST), "warc-manifest")
+    dealt = rows.repartitionByRange(count, "shard").sortWithinPartitions("shard", "page_id", "payload_digest", F.col("payload").isNotNull(), "url")
+    manifest = stored(dealt.mapInArrow(_writer(folder, roll, least), MANIFEST), "warc-manifest")
     done = stored(manifest.repartition(min(count, 64)).mapInArrow(_commit(folder), MANIFEST), "warc-committed")
     done.write.mode("overwrite").json(f"{folder}/manifest.json")
     return done
