@@ -62,11 +62,24 @@ def margins(model: dict, buckets: np.ndarray, lengths: np.ndarray) -> np.ndarray
     return model["w0"] + _sums(model["w"][buckets], lengths) + pairs
 
 
+def _chunks(lengths: np.ndarray, most: int = 1 << 20):
+    """(first row, last row, first entry, last entry) of runs of rows with about ``most`` entries, so that the driver holds no large copies."""
+    ends = np.cumsum(lengths)
+    at = 0
+    while at < len(lengths):
+        start = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, start + most, "right")))
+        yield at, to, start, int(ends[to - 1])
+        at = to
+
+
 def chosen_terms(buckets: np.ndarray, lengths: np.ndarray, y: np.ndarray, least: int, z: float) -> np.ndarray:
     """Terms of ``least`` rows or more that either lean to a label by ``z`` standard errors, or stand in a fiftieth of the rows, where pairs can tell what they alone don't."""
-    toxic = np.repeat(y, lengths)
-    n = np.bincount(buckets, minlength=1 << BITS)
-    lean = np.bincount(buckets, toxic, 1 << BITS) - n * y.mean()
+    n, toxic = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
+    for a, b, first, last in _chunks(lengths):
+        n += np.bincount(buckets[first:last], minlength=1 << BITS)
+        toxic += np.bincount(buckets[first:last], np.repeat(y[a:b], lengths[a:b]), 1 << BITS)
+    lean = toxic - n * y.mean()
     return np.flatnonzero((n >= least) & ((np.abs(lean) >= z * np.sqrt(np.maximum(n, 1) * y.mean() * (1 - y.mean()))) | (n >= len(y) / 50)))
 
 
@@ -77,11 +90,14 @@ def fit(buckets: np.ndarray, lengths: np.ndarray, y: np.ndarray, steps: int = 50
         model["w0"] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return model
     often = chosen_terms(buckets, lengths, y, least, z)
-    number = np.full(1 << BITS, -1)
+    number = np.full(1 << BITS, -1, np.int32)
     number[often] = np.arange(len(often))
-    ids, doc = number[buckets], np.repeat(np.arange(len(y)), lengths)
-    ids, doc = ids[ids >= 0], doc[ids >= 0]
-    lengths = np.bincount(doc, minlength=len(y))
+    parts, sizes = [], []
+    for a, b, start, end in _chunks(lengths):
+        part = number[buckets[start:end]]
+        parts.append(part[part >= 0])
+        sizes.append(np.bincount(np.repeat(np.arange(b - a), lengths[a:b])[part >= 0], minlength=b - a))
+    ids, lengths = np.concatenate(parts), np.concatenate(sizes)
     first, n = starts_of(lengths), len(often)
     rng = np.random.default_rng(seed)
     w0, w, v = float(np.log(y.mean() / (1 - y.mean()))), np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
@@ -126,12 +142,11 @@ def train(docs: DataFrame, labels: DataFrame, learns, max_rows: int = 20_000) ->
     sample = labelled_sample(docs, labels, "toxic", learns, max_rows)
     rows = sample.mapInArrow(_rows_of_terms, "doc_id bigint, label int, terms array<int>").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    rows = rows.take(pa.array(order)).combine_chunks()
-    lists = rows.column("terms").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
-    buckets = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
-    return fit(buckets, lengths, rows.column("label").to_numpy().astype(np.float64))
+    label = rows.column("label").to_numpy().astype(np.float64)[order]
+    lengths = pc.fill_null(pc.list_value_length(rows.column("terms")), 0).to_numpy().astype(np.int64)[order]
+    parts = [pc.list_flatten(rows.column("terms").take(pa.array(order[a:b]))).to_numpy() for a, b, _, _ in _chunks(lengths)]
+    del rows
+    return fit(np.concatenate([*parts, np.zeros(0, np.int32)]), lengths, label)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
