@@ -83,8 +83,8 @@ def chosen_terms(buckets: np.ndarray, lengths: np.ndarray, y: np.ndarray, least:
     return np.flatnonzero((n >= least) & ((np.abs(lean) >= z * np.sqrt(np.maximum(n, 1) * y.mean() * (1 - y.mean()))) | (n >= len(y) / 50)))
 
 
-def fit(buckets: np.ndarray, lengths: np.ndarray, y: np.ndarray, steps: int = 500, rate: float = 0.3, floor: float = 1e-3, least: int = 3, z: float = 3.0, batch: int = 128, seed: int = 7) -> dict:
-    """Logistic loss, AdaGrad, batches of rows in a seeded order; terms that aren't chosen stay 0."""
+def fit(buckets: np.ndarray, lengths: np.ndarray, y: np.ndarray, steps: int = 500, rate: float = 0.3, floor: float = 1e-3, least: int = 3, z: float = 3.0, batch: int = 128, seed: int = 7, decay: float = 1e-3) -> dict:
+    """Logistic loss with L2 ``decay``, AdaGrad, batches of rows in a seeded order; terms that aren't chosen stay 0."""
     model = {"w0": 0.0, "w": np.zeros(1 << BITS, np.float32), "v": np.zeros((1 << BITS, FACTORS), np.float32)}
     if not len(y) or y.min() == y.max():
         model["w0"] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
@@ -118,11 +118,11 @@ def fit(buckets: np.ndarray, lengths: np.ndarray, y: np.ndarray, steps: int = 50
             g0 += d0 * d0
             w0 -= rate * d0 / np.sqrt(g0)
             e = error[of] / len(rows)
-            dw = np.bincount(x, e, n)
+            dw = np.bincount(x, e, n) + decay * w
             gw += dw * dw
             w -= rate * dw / np.sqrt(gw)
             for f in range(FACTORS):
-                dv = np.bincount(x, e * (total[of, f] - held[:, f]), n)
+                dv = np.bincount(x, e * (total[of, f] - held[:, f]), n) + decay * v[:, f]
                 gv[:, f] += dv * dv
                 v[:, f] -= 0.2 * rate * dv / np.sqrt(gv[:, f])
     model["w0"], model["w"][often], model["v"][often] = w0, w, v
