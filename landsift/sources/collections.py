@@ -37,7 +37,9 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> Read:
     if not _exists(spark, path):
         return Read(MISSING)
     broken = "_broken"
-    rows = spark.read.schema(schema.add(broken, T.StringType()) if broken not in schema.names else schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken).json(path)
+    whole = T.StructType([*schema.fields, T.StructField(broken, T.StringType())])
+    parsed = F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}).alias("row")
+    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed).select("row.*")
     if not rows.where(F.col(broken).isNotNull()).isEmpty():
         return Read(UNREADABLE)
     return Read(READY, rows.drop(broken))
