@@ -14,21 +14,23 @@ class WordTable(dict):
 
     def __init__(self, make: Callable[[str], tuple[int, ...]], most: int = 400_000):
         super().__init__()
-        self.make, self.most, self.rows = make, most, []
+        self.make, self.most, self.new, self.table = make, most, [], None
 
     def __missing__(self, word):
-        n = self[word] = len(self.rows)
-        self.rows.append(self.make(word))
+        n = self[word] = len(self)
+        self.new.append(self.make(word))
         return n
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.rows) > self.most:
+        if len(self) > self.most:
             self.clear()
-            self.rows, self.table = [], None
+            self.table = None
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if getattr(self, "table", None) is None or len(self.table) < len(self.rows):
-            self.table = np.array(self.rows, np.int64)
-        return self.table[at] if len(self.rows) else np.zeros((0, 1), np.int64)
+        if self.new:  # only the rows of words not seen before are turned into numbers
+            new = np.array(self.new, np.int64)
+            self.table = new if self.table is None else np.concatenate((self.table, new))
+            self.new = []
+        return self.table[at] if self.table is not None else np.zeros((0, 1), np.int64)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learns, most: int) -> DataFrame:

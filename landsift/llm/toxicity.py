@@ -36,13 +36,16 @@ def _buckets(word: str) -> tuple[int, int, int]:
     return own, crc32(b"4" + word[:4].encode("utf-8", "replace")) & ((1 << BITS) - 1), crc32(b"5" + word[:5].encode("utf-8", "replace")) & ((1 << BITS) - 1)
 
 
-def terms(texts: list[str], table: WordTable) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of all texts one after the other, how many each has); each bucket once a text."""
+def terms(texts: list[str], table: WordTable, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all texts one after the other, how many each has); each bucket once a text, of those that are ``wanted``."""
     sets = [list(set(_WORD.findall(t.lower()))) for t in texts]
     found = table([w for s in sets for w in s])
     doc = np.repeat(np.arange(len(texts)), [len(s) for s in sets])
     width = found.shape[1]
-    keys = np.unique((np.repeat(doc, width) << BITS) | found.ravel()) if len(doc) else np.zeros(0, np.int64)
+    doc, found = np.repeat(doc, width), found.ravel()
+    if wanted is not None and len(doc):
+        doc, found = doc[wanted[found]], found[wanted[found]]
+    keys = np.unique((doc << BITS) | found) if len(doc) else np.zeros(0, np.int64)
     return keys & ((1 << BITS) - 1), np.bincount(keys >> BITS, minlength=len(texts))
 
 
@@ -155,9 +158,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS rows whatever the data
 
     def run(batches):
-        table = WordTable(_buckets)
+        table, model = WordTable(_buckets), shared.value
+        wanted = (model["w"] != 0) | (model["v"] != 0).any(axis=1)  # the others add nothing
         for batch in slices(batches):
-            found = margins(shared.value, *terms(pc.fill_null(batch.column("text"), "").to_pylist(), table))
+            found = margins(model, *terms(pc.fill_null(batch.column("text"), "").to_pylist(), table, wanted))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(found), pa.float64())], names=[*batch.schema.names, "toxicity"])
 
     return docs.mapInArrow(run, columns_after(docs, "toxicity double"))
