@@ -1,19 +1,15 @@
-"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts, broadcast to the workers.
+"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts, kept by shards of n-grams.
 
-Training counts words and pairs of words; those that occur once are left out. A count c is quantised to the level 1 + floor(log c / log
+Training counts all words and pairs of words, single ones too. A count c is quantised to the level 1 + floor(log c / log
 BASE), and the n-gram is inserted once for each level from 1 to its own; so a count is read back by
-probing level after level until one is missing. The filter has ``max_bits`` bits at most (64 MB) and
-about ``BITS_EACH`` bits an insertion. Where the n-grams of all levels don't fit, those of the lowest
-levels are left out, lowest first (count-based pruning by one rule at every size, from the histogram
-of the levels over the whole corpus); what is counted grows with the corpus, what is broadcast is
-bounded. A missing n-gram may be found by chance, so a count is never read too low, now and then too
-high.
+probing level after level until one is missing. The filter has BITS_EACH bits an insertion or more at every size, so
+it grows with the n-grams of the corpus. It is never put together: each part of the corpus sends its distinct n-grams,
+with their training counts, to their shards; a shard sums the counts, makes its segments of the filter and hands back to
+each part the levels that it reads for the part's n-grams. A missing n-gram may be found by chance, so a count is never
+read too low, now and then too high.
 
-The probability of a word after another is LAMBDA * c(h, w) / c(h) (at most LAMBDA) + (1 - LAMBDA) *
-(c(w) + 1) / (N + V + 1), with the counts read from the filter.
-
-The filter has a segment for each shard of n-grams; the task that counts a shard also finishes its
-segment, so no bits are shuffled.
+The probability of a word after another is LAMBDA * c(h, w) / c(h) (at most LAMBDA) + (1 - LAMBDA) * u, with u =
+(c(w) + 1) / (N + V + 1) and the counts read from the filter. Where h wasn't seen in training, or there is none, it is u.
 
 The exact unigram counts of the base score are never broadcast: each part of the corpus is packed
 as (word, documents, frequencies) blobs by shards of words; a shard sums the training counts and
@@ -38,6 +34,7 @@ KEY_BITS = 48
 LAST = np.uint64(1 << (64 - KEY_BITS))
 END = b"\n"  # no word holds a line feed
 PART_BYTES = 16 << 20
+SEGMENTS = 16  # of the filter a shard
 
 
 def _level(counts: np.ndarray) -> np.ndarray:
@@ -51,6 +48,9 @@ def _count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (low + high) / 2, 0.0)
 
 
+COUNTS = _count_of(np.arange(256))
+
+
 def _tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]  # bytes.lower() is A-Z only
 
@@ -78,170 +78,192 @@ def _bytes(values, kind) -> bytes:
 
 def _grams(docs: list[list[bytes]], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, hash of each pair with its predecessor, whether it has one)."""
-    lengths = np.array([len(d) for d in docs], np.int64)
     h, _ = hasher([w for d in docs for w in d])
+    return _pairs(h, np.array([len(d) for d in docs], np.int64))
+
+
+def _pairs(h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h = h >> np.uint64(64 - KEY_BITS) << np.uint64(64 - KEY_BITS) & ~LAST  # words are even numbers, pairs odd
     pair = np.empty_like(h)
     if len(h):
         pair[0] = 0
         pair[1:] = mix(h[:-1] * np.uint64(3) + mix(h[1:]))
-    h, pair = h & ~LAST, pair | LAST  # words are even numbers, pairs odd
+    pair = pair | LAST
     inner = np.ones(len(h), bool)
     inner[starts_of(lengths)] = False
     return h, pair, inner
 
 
-def _ngrams(shards: int, most: int = 3_000_000):
-    """Rows (shard, gaps between sorted n-gram numbers, counts) of the training texts, summed up before they are sent."""
-    width = (1 << KEY_BITS) // shards
+def _positions(keys: np.ndarray, level: int, width: int) -> np.ndarray:
+    """HASHES places of each (n-gram, level) in a segment of ``width`` bits, a power of two."""
+    a = mix(keys.astype(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    b = mix(a ^ np.uint64(0xD6E8FEB86659FD93))
+    return ((a[None, :] + np.arange(HASHES, dtype=np.uint64)[:, None] * b[None, :]) & np.uint64(width - 1)).astype(np.int64)
 
-    def flush(held):
-        keys, counts = np.unique(np.concatenate(held) >> np.uint64(64 - KEY_BITS), return_counts=True)
-        keys, rows = keys.astype(np.int64), []
-        edges = np.searchsorted(keys, np.arange(shards + 1) * width)
-        for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-            if b > a:
-                gaps = np.diff(keys[a:b], prepend=s * width)
-                kind = np.uint32 if gaps.max() < 1 << 32 else np.uint64
-                rows.append((s, int(b - a), gaps.astype(kind).tobytes(), counts[a:b].astype(np.uint32).tobytes()))
-        yield pa.record_batch({"shard": pa.array([r[0] for r in rows], pa.int32()), "n": pa.array([r[1] for r in rows], pa.int32()), "gaps": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([r[3] for r in rows], pa.binary())})
 
-    def run(batches):
-        hasher, held, size = WordHasher(), [], 0
-        for batch in slices(batches):
-            h, pair, inner = _grams([_tokens(t) for t in as_bytes(batch)], hasher)
-            held += [h, pair[inner]]
-            size += len(h) + int(inner.sum())
-            if size >= most:
-                yield from flush(held)
-                held, size = [], 0
-        if size:
-            yield from flush(held)
+def _segment(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The segment of the filter that holds ``keys``, sized from the number of their insertions."""
+    keys, levels = keys[counts > 0], _level(counts[counts > 0])
+    segment, level = np.zeros(1 << max(6, int(levels.sum() * BITS_EACH).bit_length()), bool), 1
+    while len(keys):
+        segment[_positions(keys, level, len(segment)).ravel()] = True
+        level += 1
+        keys, levels = keys[levels >= level], levels[levels >= level]
+    return np.packbits(segment, bitorder="little")
 
-    return run
+
+def _read(keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """The levels found in ``segment`` for ``keys``."""
+    level, alive, step = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 1
+    while len(alive) and step < 128:
+        hit = np.ones(len(alive), bool)
+        for place in _positions(keys[alive], step, len(segment) * 8):
+            hit &= (segment[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+        alive = alive[hit]
+        level[alive] = step
+        step += 1
+    return level
 
 
-def _levels(shards: int):
-    """Of a shard: its n-grams of count 2 or more with the levels of their counts over the corpus, and a histogram of the levels."""
-    width = (1 << KEY_BITS) // shards
+def _edges(keys: np.ndarray, segments: int) -> np.ndarray:
+    """Where each segment starts and ends in sorted ``keys``."""
+    return np.searchsorted(keys, np.arange(segments + 1) * ((1 << KEY_BITS) // segments))
 
-    def run(table: pa.Table) -> pa.Table:
-        shard, keys, counts = table.column("shard")[0].as_py(), [], []
-        for n, gaps, c in zip(*(table.column(x).to_pylist() for x in ("n", "gaps", "counts")), strict=True):
-            keys.append(np.cumsum(np.frombuffer(gaps, np.uint32 if len(gaps) == 4 * n else np.uint64).astype(np.int64)) + shard * width)
-            counts.append(np.frombuffer(c, np.uint32))
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        keys, counts = keys[first], np.add.reduceat(counts, first, dtype=np.int64)
-        word = keys & 1 == 0
-        tokens, types = int(counts[word].sum()), int(word.sum())
-        keys, counts = keys[counts > 1], counts[counts > 1]
-        level = _level(counts)
-        return pa.table({"shard": table.column("shard").slice(0, 1), "keys": pa.array([keys.tobytes()], pa.binary()), "levels": pa.array([level.astype(np.uint8).tobytes()], pa.binary()), "histogram": pa.array([np.bincount(level, minlength=128).tolist()], pa.list_(pa.int64())), "tokens": pa.array([tokens], pa.int64()), "types": pa.array([types], pa.int64())})
 
-    return run
+def _summed(table: pa.Table, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard: its distinct n-grams, their counts over the corpus, and which of them each n-gram of each part is."""
+    keys, counts = [], []
+    for shard, n, gaps, c in zip(*(table.column(x).to_pylist() for x in ("shard", "grams", "gaps", "counts")), strict=True):
+        keys.append(_ungapped(gaps, n) + shard * ((1 << KEY_BITS) // shards))
+        counts.append(np.frombuffer(c, np.uint8 if len(c) == n else np.uint32))
+    keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64), at
 
 
-def _positions(keys: np.ndarray, level: int, bits: int, shards: int) -> np.ndarray:
-    """HASHES places of each (n-gram, level) in 2**bits bits; all lie in the segment of the n-gram's shard."""
-    width = (1 << bits) // shards
-    a = mix(keys.astype(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    b = mix(a ^ np.uint64(0xD6E8FEB86659FD93))
-    place = (a[None, :] + np.arange(HASHES, dtype=np.uint64)[:, None] * b[None, :]) % np.uint64(width)
-    return place.astype(np.int64) + (keys // ((1 << KEY_BITS) // shards) * width)[None, :]
+def _packed_grams(keys: np.ndarray, counts: np.ndarray, shards: int):
+    """By shard: how many n-grams a part has there, the gaps between their sorted numbers, and their training counts."""
+    edges, width = _edges(keys, shards), (1 << KEY_BITS) // shards
+    for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        own = counts[a:b]
+        small = not len(own) or own.max() < 256
+        yield int(b - a), _gapped(keys[a:b] - s * width), _bytes(own, np.uint8 if small else np.uint32)
 
 
-def _segment(bits: int, least: int, shards: int):
-    """The finished segment of the filter of each shard: its n-grams from level ``least`` on."""
-    width = (1 << bits) // shards
+def _gapped(keys: np.ndarray) -> bytes:
+    """The gaps between sorted numbers: their low 32 bits, then the next 16, which are mostly 0."""
+    gaps = np.diff(keys, prepend=0)
+    return _bytes(gaps & 0xFFFFFFFF, np.uint32) + _bytes(gaps >> 32, np.uint16)
 
-    def run(batches):
-        for batch in batches:
-            for shard, blob, of in zip(*(batch.column(c).to_pylist() for c in ("shard", "keys", "levels")), strict=True):
-                keys, levels = np.frombuffer(blob, np.int64), np.frombuffer(of, np.uint8).astype(np.int64)
-                keys, levels = keys[levels >= least], levels[levels >= least]
-                segment, level = np.zeros(width, bool), 1
-                while len(keys):
-                    segment[_positions(keys, level, bits, shards).ravel() - shard * width] = True
-                    level += 1
-                    keys, levels = keys[levels >= level], levels[levels >= level]
-                yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "bits": pa.array([np.packbits(segment, bitorder="little").tobytes()], pa.binary())})
 
-    return run
+def _ungapped(blob: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(blob, np.uint32, n).astype(np.int64) + (np.frombuffer(blob, np.uint16, n, 4 * n).astype(np.int64) << 32))
+
+
+def _gathered(batches, most: int = 4 << 20):
+    """Batches put together until they hold about ``most`` bytes of text: the fewer parts, the fewer rows and n-grams are sent."""
+    held, size = [], 0
+    for batch in slices(batches):
+        if held and sum(x.num_rows for x in held) + batch.num_rows > 0xFFFF:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _numbers(h: np.ndarray, pair: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    return (np.concatenate((h, pair[inner])) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
 
+def _shards(size: int) -> int:
+    return 1 << (parts_for(size, PART_BYTES, 16) - 1).bit_length()
 
-def bloom(training: DataFrame, size: int, max_bits: int = 1 << 29) -> tuple[int, int, np.ndarray, int, int]:
-    """(shards, log2 of the bits, the filter, tokens, distinct words) of ``training``, which has about ``size`` bytes of text."""
-    shards = 1 << (parts_for(size, PART_BYTES, 16) - 1).bit_length()
-    counted = training.select("text").mapInArrow(_ngrams(shards), "shard int, n int, gaps binary, counts binary")
-    levels = stored(counted.groupBy("shard").applyInArrow(_levels(shards), "shard int, keys binary, levels binary, histogram array<bigint>, tokens bigint, types bigint"), "lm-levels")
-    sums = levels.select(F.posexplode("histogram").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()  # 128 rows
-    histogram = np.zeros(128, np.int64)
-    for level, n in sums:
-        histogram[level] = n
-    wanted = np.cumsum((histogram * np.arange(128))[::-1])[::-1]  # insertions if levels below are left out
-    least = next((k for k in range(1, 128) if wanted[k] * BITS_EACH <= max_bits), 127)
-    bits = min(max(20, int(wanted[least] * BITS_EACH).bit_length()), max_bits.bit_length() - 1)
-    out = np.zeros((shards, (1 << bits) // shards // 8), np.uint8)
-    for shard, blob in levels.select("shard", "keys", "levels").mapInArrow(_segment(bits, least, shards), "shard int, bits binary").collect():  # max_bits / 8 bytes in all
-        out[shard] = np.frombuffer(blob, np.uint8)
-    tokens, types = levels.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    return shards, bits, out.ravel(), tokens, types
-
-
-def probe(keys: np.ndarray, shards: int, bits: int, table: np.ndarray) -> np.ndarray:
+
+def bloom(training: DataFrame, size: int) -> tuple[int, np.ndarray, list[np.ndarray], int, int]:
+    """(segments, bytes of each, the segments, tokens, distinct words) of ``training``, put together on the driver: to look into, for small corpora only."""
+    shards = _shards(size)
+
+    def segments(table: pa.Table) -> pa.Table:
+        keys, counts, _ = _summed(table, shards)
+        edges, word = _edges(keys, shards * SEGMENTS), keys & 1 == 0
+        own = range(table.column("shard")[0].as_py() * SEGMENTS, (table.column("shard")[0].as_py() + 1) * SEGMENTS)
+        bits = [_segment(keys[edges[k] : edges[k + 1]], counts[edges[k] : edges[k + 1]]).tobytes() for k in own]
+        return pa.table({"segment": pa.array(own, pa.int64()), "bits": pa.array(bits, pa.binary()), "tokens": pa.array([int(counts[word].sum())] + [0] * (SEGMENTS - 1), pa.int64()), "types": pa.array([int((counts[word] > 0).sum())] + [0] * (SEGMENTS - 1), pa.int64())})
+
+    rows = training.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("training"), F.lit(False).alias("held_out"))
+    packed = rows.mapInArrow(_parts(shards), POSTINGS).where("state is null")
+    table = [np.zeros(8, np.uint8)] * (shards * SEGMENTS)
+    tokens = types = 0
+    for k, bits, n, v in packed.groupBy("shard").applyInArrow(segments, "segment bigint, bits binary, tokens bigint, types bigint").collect():
+        table[k], tokens, types = np.frombuffer(bits, np.uint8), tokens + n, types + v
+    return len(table), np.array([len(x) for x in table]), table, tokens, types
+
+
+def probe(keys: np.ndarray, segments: int, bits: np.ndarray, table: list[np.ndarray]) -> np.ndarray:
     """The counts read from the filter for 64-bit n-gram hashes."""
-    distinct, at = np.unique(keys >> np.uint64(64 - KEY_BITS), return_inverse=True)
-    distinct = distinct.astype(np.int64)
-    level, alive, step = np.zeros(len(distinct), np.int64), np.arange(len(distinct)), 1
-    while len(alive) and step < 128:
-        hit = np.ones(len(alive), bool)
-        for place in _positions(distinct[alive], step, bits, shards):
-            hit &= (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-        alive = alive[hit]
-        level[alive] = step
-        step += 1
+    distinct, at = np.unique((keys >> np.uint64(64 - KEY_BITS)).astype(np.int64), return_inverse=True)
+    edges = _edges(distinct, segments)
+    level = np.concatenate([_read(distinct[edges[k] : edges[k + 1]], table[k]) for k in range(segments)]).astype(np.int64)
     return _count_of(level)[at]
 
 
-def _parts(shared, shards: int):
-    """Rows by shard of words and part (a batch of texts); the row of the first shard also holds what is known of the part's texts."""
+def _parts(shards: int):
+    """Rows by shard and part (a batch of texts); and of each part a row with what is known of its texts, dealt to the shards."""
 
     def run(batches):
-        *filter_, tokens, types = shared.value
-        hasher, base, seq = WordHasher(), TaskContext.get().partitionId() << 32, 0
-        for batch in slices(batches):
+        hasher, partition, seq = WordHasher(), TaskContext.get().partitionId(), 0
+        for batch in _gathered(batches):
             texts = [_tokens(t) for t in as_bytes(batch)]
             lengths = np.array([len(t) for t in texts], np.int64)
             h, pair, inner = _grams(texts, hasher)
-            one, two = probe(h, *filter_), np.zeros(len(h))
-            two[inner] = probe(pair[inner], *filter_)
-            before = np.concatenate(([0.0], one[:-1]))
-            likely = np.where(inner & (before > 0), np.minimum(two / np.maximum(before, 1e-9), 1.0), 0.0)
-            p = LAMBDA * likely + (1 - LAMBDA) * np.minimum((one + 1) / (tokens + types + 1), 1.0)
-            score = np.add.reduceat(np.log10(p), starts_of(lengths))
-            members = _bytes(ids_of(batch), np.int64) + _bytes(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False), np.uint8) + _bytes(batch.column("held_out").to_numpy(zero_copy_only=False), np.uint8) + _bytes(lengths, np.int64) + _bytes(score, np.float64)
-            flags = np.packbits(batch.column("training").to_numpy(zero_copy_only=False).astype(bool)).tobytes()
-            rows = [(s, *x) for s, x in enumerate(_blobs(texts, lengths, hasher, shards)) if x[0] or s == 0]
+            training = batch.column("training").to_numpy(zero_copy_only=False).astype(bool)
+            learned = np.repeat(training, lengths)
+            keys, at = np.unique(_numbers(h, pair, inner), return_inverse=True)
+            counts = np.bincount(at, np.concatenate((learned, learned[inner])), len(keys)).astype(np.int64)
+            members = _bytes(ids_of(batch), np.int64) + _bytes(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False), np.uint8) + _bytes(batch.column("held_out").to_numpy(zero_copy_only=False), np.uint8) + _bytes(lengths, np.int64)
+            own, place = np.unique(h >> np.uint64(64 - KEY_BITS), return_inverse=True)
+            planes = place.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # like bytes beside each other pack better
+            state = np.int64(len(own)).tobytes() + _gapped(own.astype(np.int64)) + pa.compress(planes, "zstd", asbytes=True)
+            flags, part = np.packbits(training).tobytes(), (partition << 32) + seq
+            rows = [(s, *x, *y, None, None) for s, (x, y) in enumerate(zip(_blobs(texts, lengths, hasher, shards), _packed_grams(keys, counts, shards), strict=True)) if x[0] or y[0]]
+            rows.append(((partition + seq) % shards, b"", b"", b"", b"", 0, b"", b"", members, state))
             yield pa.record_batch({
-                "shard": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([base + seq] * len(rows), pa.int64()), "docs": pa.array([len(texts)] * len(rows), pa.int32()),
-                "training": pa.array([flags] * len(rows), pa.binary()), "members": pa.array([members if r[0] == 0 else None for r in rows], pa.binary()),
-                **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in enumerate(("words", "sizes", "at", "n"), 1)},
+                "shard": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([part] * len(rows), pa.int64()), "docs": pa.array([len(texts)] * len(rows), pa.int32()), "training": pa.array([flags] * len(rows), pa.binary()),
+                **{c: pa.array([r[k] for r in rows], pa.int32() if c == "grams" else pa.binary()) for k, c in enumerate(("words", "sizes", "at", "n", "grams", "gaps", "counts", "members", "state"), 1)},
             })
             seq += 1
 
     return run
 
 
-POSTINGS = "shard int, part bigint, docs int, training binary, members binary, words binary, sizes binary, at binary, n binary"
-GAINS = "part bigint, docs int, members binary, at binary, gain binary, known binary, tokens bigint, distinct bigint"
+POSTINGS = "shard int, part bigint, docs int, training binary, words binary, sizes binary, at binary, n binary, grams int, gaps binary, counts binary, members binary, state binary"
+GAINS = "part bigint, docs int, shard int, levels binary, at binary, gain binary, known binary, members binary, state binary, tokens bigint, distinct bigint"
+
+
+def _levels(table: pa.Table, shards: int) -> list[bytes]:
+    """Of a shard, for each part: the levels read from the filter for the part's n-grams."""
+    keys, counts, at = _summed(table, shards)
+    shard, edges = table.column("shard")[0].as_py(), _edges(keys, shards * SEGMENTS)
+    spans = [slice(edges[k], edges[k + 1]) for k in range(shard * SEGMENTS, (shard + 1) * SEGMENTS)]
+    levels = np.concatenate([_read(keys[x], _segment(keys[x], counts[x])) for x in spans])[at]
+    ends = np.cumsum(table.column("grams").to_numpy())
+    return [levels[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+
 
+def _gains(shards: int):
+    return lambda table: _gains_of(table, shards)
 
-def _gains(table: pa.Table) -> pa.Table:
-    """Of a shard, for each part: sum of log10(c + 1) and number of known tokens of each document; then the shard's N and V."""
-    number, total, held = {}, [], []
-    for r in table.to_pylist():
+
+def _gains_of(table: pa.Table, shards: int) -> pa.Table:
+    """Of a shard, for each part: levels of its n-grams, sum of log10(c + 1) and number of known tokens of each document; then the shard's N and V."""
+    states = table.filter(table.column("state").is_valid())
+    table = table.filter(table.column("state").is_null())
+    levels, number, held = _levels(table, shards) if table.num_rows else [], {}, []
+    for r in table.select(["part", "docs", "shard", "words", "sizes", "at", "n", "training"]).to_pylist():
         words, sizes = r["words"].split(b" ") if r["words"] else [], np.frombuffer(r["sizes"], np.uint32).astype(np.int64)
         at, n = np.frombuffer(r["at"], np.uint16), np.frombuffer(r["n"], np.uint32).astype(np.int64)
         learned = np.unpackbits(np.frombuffer(r["training"], np.uint8), count=r["docs"])[at] == 1
@@ -252,51 +274,73 @@ def _gains(table: pa.Table) -> pa.Table:
             if i is None:
                 i = number[w] = len(number)
             ids[k] = i
-        held.append((r["part"], r["docs"], r["members"], np.repeat(ids, sizes), at, n, ids, own))
+        held.append((r["part"], r["docs"], r["shard"], np.repeat(ids, sizes), at, n, ids, own))
     counts = np.zeros(len(number), np.int64)
     for *_, ids, own in held:
         np.add.at(counts, ids, own)
     logs, out = np.log10(counts + 1.0), []
-    for part, docs, members, ids, at, n, _, _ in held:
+    for (part, docs, shard, ids, at, n, _, _), level in zip(held, levels, strict=True):
         gain = np.bincount(at, logs[ids] * n, docs)
         known = np.bincount(at, np.where(counts[ids] > 0, n, 0), docs).astype(np.uint32)
         some = np.flatnonzero(known)
-        out.append((part, docs, members, some.astype(np.uint16).tobytes(), gain[some].tobytes(), known[some].tobytes(), None, None))
-    out.append((-1, 0, None, b"", b"", b"", int(counts.sum()), int((counts > 0).sum())))
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-    names = [x.split()[0] for x in GAINS.split(", ")]
-    return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(zip(names, kinds, strict=True))})
-
-
-def _sum_up(table: pa.Table) -> pa.Table:
-    """The texts of a part, with their gains from all shards added up."""
-    size, members = table.column("docs")[0].as_py(), next(m for m in table.column("members").to_pylist() if m is not None)
-    gain, known = np.zeros(size), np.zeros(size, np.int64)
-    for at, g, k in zip(*(table.column(c).to_pylist() for c in ("at", "gain", "known")), strict=True):
-        place = np.frombuffer(at, np.uint16)
-        gain[place] += np.frombuffer(g, np.float64)
-        known[place] += np.frombuffer(k, np.uint32)
-    at = lambda kind, before: np.frombuffer(members, kind, size, before * size)
-    return pa.table({"doc_id": pa.array(at(np.int64, 0), mask=at(np.uint8, 8) == 1), "held_out": pa.array(at(np.uint8, 9) == 1), "n_tokens": pa.array(at(np.int64, 10)), "n_known": pa.array(known), "gain": pa.array(gain), "score": pa.array(at(np.float64, 18))})
-
-
-def score_texts(docs: DataFrame, learns, max_bits: int = 1 << 29) -> DataFrame:
+        out.append((part, docs, shard, level, some.astype(np.uint16).tobytes(), gain[some].tobytes(), known[some].tobytes(), None, None, None, None))
+    out += [(r["part"], r["docs"], None, b"", b"", b"", b"", r["members"], r["state"], None, None) for r in states.select(["part", "docs", "members", "state"]).to_pylist()]
+    out.append((-1, 0, None, b"", b"", b"", b"", None, None, int(counts.sum()), int((counts > 0).sum())))
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.table({c: pa.array([r[k] for r in out], kinds[t]) for k, (c, t) in enumerate(x.split() for x in GAINS.split(", "))})
+
+
+def _scores(count: np.ndarray, lengths: np.ndarray, types: int) -> np.ndarray:
+    """log10 of the probability of each text, from the counts of its words, then of its pairs; ``types`` is N + V + 1."""
+    one, two, inner = count[: lengths.sum()], np.zeros(lengths.sum()), np.ones(lengths.sum(), bool)
+    inner[starts_of(lengths)] = False
+    two[inner] = count[len(one) :]
+    before = np.concatenate(([0.0], one[:-1]))
+    unigram = np.minimum((one + 1) / types, 1.0)
+    p = np.where(inner & (before > 0), LAMBDA * np.minimum(two / np.maximum(before, 1e-9), 1.0) + (1 - LAMBDA) * unigram, unigram)
+    return np.add.reduceat(np.log10(p), starts_of(lengths))
+
+
+def _sum_up(types: int):
+    """The texts of a part, with their gains from all shards added up and their scores by the levels from all shards."""
+
+    def run(table: pa.Table) -> pa.Table:
+        size = table.column("docs")[0].as_py()
+        members, state = next((m, x) for m, x in zip(table.column("members").to_pylist(), table.column("state").to_pylist(), strict=True) if m is not None)
+        gain, known, levels = np.zeros(size), np.zeros(size, np.int64), {}
+        for shard, level, at, g, k in zip(*(table.column(c).to_pylist() for c in ("shard", "levels", "at", "gain", "known")), strict=True):
+            place = np.frombuffer(at, np.uint16)
+            gain[place] += np.frombuffer(g, np.float64)
+            known[place] += np.frombuffer(k, np.uint32)
+            levels[-1 if shard is None else shard] = level
+        level = np.frombuffer(b"".join(levels[s] for s in sorted(levels)), np.uint8)
+        at = lambda kind, before: np.frombuffer(members, kind, size, before * size)
+        lengths = at(np.int64, 10)
+        words = int(np.frombuffer(state, np.int64, 1)[0])
+        own = _ungapped(state[8:], words).astype(np.uint64)
+        planes = np.frombuffer(pa.decompress(state[8 + 6 * words :], 4 * int(lengths.sum()), "zstd", asbytes=True), np.uint8)
+        h = own[np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()] << np.uint64(64 - KEY_BITS)
+        _, place = np.unique(_numbers(*_pairs(h, lengths)), return_inverse=True)
+        score = _scores(COUNTS[level[place]], lengths, types)
+        return pa.table({"doc_id": pa.array(at(np.int64, 0), mask=at(np.uint8, 8) == 1), "held_out": pa.array(at(np.uint8, 9) == 1), "n_tokens": pa.array(lengths), "n_known": pa.array(known), "gain": pa.array(gain), "score": pa.array(score)})
+
+    return run
+
+
+def score_texts(docs: DataFrame, learns) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``.
 
     ``learns(doc_id)`` says which rows are learned from.
     """
-    spark = docs.sparkSession
     learned = learns(F.col("doc_id"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", "text", F.coalesce(learned, F.lit(False)).alias("training"), F.coalesce(~learned, F.lit(False)).alias("held_out"))
     _, size = text_size(rows)
-    filter_ = bloom(rows.where("training"), size, max_bits)
-    shared = spark.sparkContext.broadcast(filter_)
-    shards = parts_for(size, PART_BYTES, 16)
-    packed = rows.mapInArrow(_parts(shared, shards), POSTINGS)
-    gains = stored(packed.groupBy("shard").applyInArrow(_gains, GAINS), "lm-gains")
+    shards = _shards(size)
+    packed = rows.mapInArrow(_parts(shards), POSTINGS)
+    gains = stored(packed.groupBy("shard").applyInArrow(_gains(shards), GAINS), "lm-gains")
     n, v = gains.where("part = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    out = gains.where("part >= 0").drop("tokens", "distinct").groupBy("part").applyInArrow(_sum_up, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, gain double, score double")
+    out = gains.where("part >= 0").drop("tokens", "distinct").groupBy("part").applyInArrow(_sum_up(n + v + 1), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, gain double, score double")
     base = F.col("gain") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1.0)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
