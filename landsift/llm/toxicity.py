@@ -6,8 +6,8 @@ vector; the product of two vectors is what the pair adds, such as an insult besi
 group, which the weights alone can't say. Weights are learned with AdaGrad from a bounded sample of
 labelled rows (``max_rows``, a parameter); scoring takes the fixed table of weights to every row.
 
-Rows: a null or empty text has no terms and gets the score of the bias. Without labelled rows every
-score is 0.5 at most, so nothing is called toxic.
+Rows: a null or empty text has no terms and gets the score of the bias. Without labelled rows the
+bias is that of clean rows alone, so nothing is called toxic.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ def fit(buckets: np.ndarray, lengths: np.ndarray, y: np.ndarray, steps: int = 50
     """Logistic loss with L2 ``decay``, AdaGrad, batches of rows in a seeded order; terms that aren't chosen stay 0."""
     model = {"w0": 0.0, "w": np.zeros(1 << BITS, np.float32), "v": np.zeros((1 << BITS, FACTORS), np.float32)}
     if not len(y) or y.min() == y.max():
-        model["w0"] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
+        model["w0"] = 4.0 if len(y) and y[0] else -4.0
         return model
     often = chosen_terms(buckets, lengths, y, least, z)
     number = np.full(1 << BITS, -1, np.int32)
