@@ -79,6 +79,7 @@ def _route(shared, k: int):
     def run(batches):
         pivots, n, most, least, blocks = shared.value
         first = np.concatenate(([0], np.cumsum(blocks)[:-1]))
+        known = np.where(np.isfinite(least), least, 0)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -87,13 +88,15 @@ def _route(shared, k: int):
             middle = q @ pivots.T.astype(np.float64)
             rows, targets = [], []
             for i in range(len(q)):
-                floors = (middle[i][:, None] - length[i] * least).ravel()  # -inf where a group has fewer vectors
+                floors = np.where(np.isfinite(least), middle[i][:, None] - length[i] * known, -np.inf).ravel()  # -inf where a group has fewer vectors
                 # one more than k: the query itself may be among them
                 floor = np.partition(floors, len(floors) - k - 1)[len(floors) - k - 1] if len(floors) > k else -np.inf
                 slack = 1e-6 * (1 + length[i] * (np.abs(most).max() + 1)) + 1e-3
                 for g in np.flatnonzero((middle[i] + length[i] * most + slack >= floor) & (n > 0)):
                     targets.append(first[g] + np.arange(blocks[g]))
                     rows.append(np.full(blocks[g], i))
+            if not rows:
+                continue
             rows, targets = np.concatenate(rows), np.concatenate(targets)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(rows)), batch.column("v").take(pa.array(rows)), pa.array(targets, pa.int64())], names=["vec_id", "v", "block"])
 
