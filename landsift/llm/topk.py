@@ -5,7 +5,8 @@ group's summary is its pivot, its size, its largest distance and its k + 1 small
 Cauchy and Schwarz the inner product of query q with vector x of pivot p lies within |q| * |x - p|
 of q * p; so the summaries give each query a score that its k-th best reaches at least, and a query
 is sent only to groups whose upper bound reaches it. A group of more than ``block`` vectors is dealt
-to blocks by a hash of the id, so no task holds a whole hot group. Each block is solved locally with
+to blocks by a hash of the id, so no task holds a whole hot group; the queries are dealt to blocks in
+the same way, and a task holds one block of queries and one of vectors. Each block is solved locally with
 integer products, and the partial lists of a query are merged.
 
 Rows: vectors that are null, hold null or non-finite components, or have another length than the
@@ -164,7 +165,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 128,
     data = assigned.withColumn("block", F.element_at(place, 1) + F.pmod(F.xxhash64("vec_id"), F.element_at(place, 2))).select("vec_id", "v", F.col("block").cast("long").alias("block"))
     shared = spark.sparkContext.broadcast((chosen, n, most, least, blocks))
     queries = assigned.where(is_query).select("vec_id", "v").mapInArrow(_route(shared, k), "vec_id bigint, v array<bigint>, block bigint")
-    parts = queries.groupBy("block").cogroup(data.groupBy("block")).applyInArrow(_solve(k), schema)
+    turns = max(1, -(-assigned.where(is_query).count() // block))
+    queries = queries.withColumn("turn", F.pmod(F.xxhash64("vec_id"), F.lit(turns)))
+    met = queries.select("block", "turn").distinct()
+    data = data.join(met, "block").select("vec_id", "v", *[F.col(c).alias(c) for c in ("block", "turn")])  # new columns, else both sides share them
+    parts = queries.groupBy("block", "turn").cogroup(data.groupBy("block", "turn")).applyInArrow(_solve(k), schema)
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)  # k rows a block that the query reached
     ranked = parts.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("pos", "hit"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.s")).alias("score"))
