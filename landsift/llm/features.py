@@ -36,7 +36,8 @@ class WordTable(dict):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learns, most: int) -> DataFrame:
     """(doc_id, text, label) of at most ``most`` labelled rows for which ``learns(doc_id)`` holds, the first by a hash of doc_id.
 
-    Rows with a null id or a null label are left out; of several labels of one id the largest counts.
+    Rows with a null id or a null label are left out; of several labels of one id the largest counts, of
+    several texts of one id the least (a null text counts as empty), so the sample has ``most`` rows however often an id is repeated.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -44,8 +45,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learns, most
         .groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")  # ``most`` ids at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(chosen), "doc_id")  # ``most`` ids at most
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -130,7 +130,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, steps: int = 4000, batch
     z = (x - mean) / scale
     p = {"w1": rng.normal(0, np.sqrt(2 / z.shape[1]), (z.shape[1], hidden)), "b1": np.zeros(hidden), "w2": rng.normal(0, np.sqrt(1 / hidden), hidden), "b2": np.zeros(1)}
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
-    for _ in range(max(5, -(-steps * batch // len(used)))):
+    for _ in range(max(5, -(-steps // -(-len(used) // batch)))):
         rng.shuffle(used)
         for at in range(0, len(used), batch):
             rows = used[at : at + batch]
