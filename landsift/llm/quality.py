@@ -3,7 +3,8 @@
 Random indexing: every term (a word in a hashed bucket, the shape of a word) has a fixed sparse
 vector of +1 and -1 drawn from its number. The vector of a word is the sum of those of the terms
 near it, over all documents; a neighbour that is the word itself counts as the term SAME, so runs of
-one word show. Sums are made a partition and merged block by block; the table has a fixed size.
+one word show. Sums are made a partition (only words that stand in it are sent) and merged in steps; the
+table has a fixed size.
 
 A document is the mean of its words' vectors (scaled to length 1) and the mean of the fixed vectors
 of what stands in it. A network of two layers is trained on a bounded sample of labelled rows
@@ -11,7 +12,8 @@ of what stands in it. A network of two layers is trained on a bounded sample of
 calibrates its probabilities.
 
 Rows: a null or empty text is the zero vector and gets the network's score of it. Without labelled
-rows every score is 0.5.
+rows every score is 0.5. Repeated rows are scored each on its own; of several labelled texts of one
+doc_id the least is learned from. A very long text is one batch of its own.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landsift.llm.common import columns_after, crc_of_id, slices, starts_of, without
+from landsift.llm.common import columns_after, crc_of_id, parts_for, slices, starts_of, stored, text_size, without
 from landsift.llm.features import WordTable, labelled_sample, sigmoid
 
-WORDS, SHAPES, DIM, ONES, NEAR, BLOCKS = 1 << 15, 1 << 10, 64, 2, 2, 32
+WORDS, SHAPES, DIM, ONES, NEAR, BLOCKS, FAN = 1 << 15, 1 << 10, 64, 2, 2, 32, 64
 SAME = WORDS + SHAPES
 _TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -74,24 +76,50 @@ def _word_sums(batches):
                     for k in range(ONES):
                         total += np.bincount(base + places[term, k], signs[term, k], WORDS * DIM)
     if total.any():
-        blocks = total.astype(np.int64).reshape(BLOCKS, -1)
-        yield pa.record_batch({"block": pa.array(range(BLOCKS), pa.int32()), "sums": pa.array([x.tobytes() for x in blocks], pa.binary())})
+        yield from _rows_of_sums(total.astype(np.int64).reshape(WORDS, DIM))
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    total = np.zeros(WORDS * DIM // BLOCKS, np.int64)
-    for blob in table.column("sums").to_pylist():
-        total += np.frombuffer(blob, np.int64)
-    return pa.table({"block": table.column("block").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+SUMS = "block int, words binary, sums binary"
+
+
+def _rows_of_sums(total: np.ndarray):
+    """By block: the words that have a sum, and their sums; int32 where all fit."""
+    for block, own in enumerate(np.split(total, BLOCKS)):
+        words = np.flatnonzero(own.any(axis=1))
+        if len(words):
+            sums = own[words]
+            small = np.abs(sums).max() < 1 << 31
+            yield pa.record_batch({"block": pa.array([block], pa.int32()), "words": pa.array([words.astype(np.uint16).tobytes()], pa.binary()), "sums": pa.array([sums.astype(np.int32 if small else np.int64).tobytes()], pa.binary())})
+
+
+def _merge(batches):
+    """Sums of the rows of a part, row by row: memory is that of one table, however many rows there are."""
+    total = np.zeros((WORDS, DIM), np.int64)
+    for batch in batches:
+        for block, words, sums in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "sums")), strict=True):
+            at = np.frombuffer(words, np.uint16).astype(np.int64) + block * (WORDS // BLOCKS)
+            total[at] += np.frombuffer(sums, np.int32 if len(sums) == 4 * DIM * len(at) else np.int64).reshape(-1, DIM)
+    if total.any():
+        yield from _rows_of_sums(total)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """WORDS vectors of length 1 (0 for a bucket without words) learned from all of ``docs``."""
-    merged = docs.select("text").mapInArrow(_word_sums, "block int, sums binary").groupBy("block").applyInArrow(_merge, "block int, sums binary")
-    total = np.zeros((BLOCKS, WORDS * DIM // BLOCKS), np.float64)
-    for block, blob in merged.collect():  # BLOCKS rows, 16 MB in all, whatever the data
-        total[block] = np.frombuffer(blob, np.int64)
-    total = total.reshape(WORDS, DIM)
+    """WORDS vectors of length 1 (0 for a bucket without words) learned from all of ``docs``.
+
+    The tables of the partitions are merged in steps: first FAN of them in a task, spread over as many tasks
+    as that takes, then FAN of those, and so on; the last step is dealt by blocks. No task takes more than some FAN tables.
+    """
+    sums = docs.select("text").mapInArrow(_word_sums, SUMS)
+    parts = parts_for(text_size(docs)[1], 16 << 20, 1)  # about how many partitions the scan has; only the number of steps follows from it
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        salted = sums.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(parts)))
+        sums = stored(salted.repartition(parts * BLOCKS, "salt", "block").drop("salt").mapInArrow(_merge, SUMS), "quality-sums")
+    merged = sums.repartition(BLOCKS, "block").mapInArrow(_merge, SUMS)
+    total = np.zeros((WORDS, DIM), np.float64)
+    for block, words, blob in merged.collect():  # a row a block, 16 MB in all, whatever the data
+        at = np.frombuffer(words, np.uint16).astype(np.int64) + block * (WORDS // BLOCKS)
+        total[at] = np.frombuffer(blob, np.int32 if len(blob) == 4 * DIM * len(at) else np.int64).reshape(-1, DIM)
     return (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
