@@ -101,11 +101,19 @@ class WordHasher:
     def __init__(self, most: int = 400_000):
         self.most, self.ids = most, _Ids()
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word in ``ids``; numbers given before may no longer hold."""
         if len(self.ids) > self.most:
             self.ids = _Ids()
-        at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        table = np.frombuffer(bytes(self.ids.digests), np.uint64).reshape(-1, 2)
+        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+
+    def table(self) -> np.ndarray:
+        """The two hashes of each word in ``ids``."""
+        return np.frombuffer(bytes(self.ids.digests), np.uint64).reshape(-1, 2)
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        at = self.numbers(words)
+        table = self.table()
         return table[at, 0], table[at, 1]
 
 

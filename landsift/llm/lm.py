@@ -3,24 +3,31 @@
 Training counts all words and pairs of words, single ones too. A count c is quantised to the level 1 + floor(log c / log
 BASE), and the n-gram is inserted once for each level from 1 to its own; so a count is read back by
 probing level after level until one is missing. The filter has BITS_EACH bits an insertion or more at every size, so
-it grows with the n-grams of the corpus. It is never put together: each part of the corpus sends its distinct n-grams,
-with their training counts, to their shards; a shard sums the counts, makes its segments of the filter and hands back to
-each part the levels that it reads for the part's n-grams. A missing n-gram may be found by chance, so a count is never
+it grows with the n-grams of the corpus, and for that reason it isn't broadcast: the probes travel to the
+segments. Each part of the corpus (some PART_BYTES of text) sends its distinct words and pairs, with their training
+counts, to their shards; a shard sums the counts, makes its segments of the filter and answers each
+part with the levels that it reads there. A missing n-gram may be found by chance, so a count is never
 read too low, now and then too high.
 
 The probability of a word after another is LAMBDA * c(h, w) / c(h) (at most LAMBDA) + (1 - LAMBDA) * u, with u =
 (c(w) + 1) / (N + V + 1) and the counts read from the filter. Where h wasn't seen in training, or there is none, it is u.
 
-The exact unigram counts of the base score are never broadcast: each part of the corpus is packed
-as (word, documents, frequencies) blobs by shards of words; a shard sums the training counts and
-hands back, for each part, what each of its documents gains from the shard's words.
+The base score needs exact counts: a shard knows its words byte for byte, and its answer holds their exact
+counts too. A part keeps its texts as numbers of its own distinct words meanwhile, so a word that stands in every
+document costs no more than another: an entry a part.
+
+What is sent is a row a part and shard that meet, at most one an n-gram of the part, so it grows in
+proportion to the corpus. A task holds one part, or one shard (n-grams of some SHARD_BYTES of text); a text longer
+than a part is a part of its own.
 
 Rows: null counts as empty; a text of no words has the one token end. Rows with a null id aren't
-learned from and are not held out. Rows of one id are scored each on its own.
+learned from and are not held out. Rows of one id are scored each on its own. Other columns don't matter.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,7 +40,7 @@ BASE, LAMBDA, HASHES, BITS_EACH = 1.5, 0.7, 4, 10
 KEY_BITS = 48
 LAST = np.uint64(1 << (64 - KEY_BITS))
 END = b"\n"  # no word holds a line feed
-PART_BYTES = 16 << 20
+PART_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
 SEGMENTS = 16  # of the filter a shard
 
 
@@ -55,43 +62,32 @@ def _tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]  # bytes.lower() is A-Z only
 
 
-def _blobs(texts: list[list[bytes]], lengths: np.ndarray, hasher: WordHasher, shards: int):
-    """By shard: words, in how many texts each is, which ones, how often there. ``hasher`` has just seen these words."""
-    at = np.fromiter(map(hasher.ids.__getitem__, (w for t in texts for w in t)), np.int64, int(lengths.sum()))
-    keys, n = np.unique(at * len(texts) + np.repeat(np.arange(len(texts)), lengths), return_counts=True)
-    word, doc = np.divmod(keys, len(texts))
-    of = np.frombuffer(bytes(hasher.ids.digests), np.uint64)[::2][word] % np.uint64(shards)
-    order = np.argsort(of, kind="stable")  # by shard, then by word
-    word, doc, n, of = word[order], doc[order], n[order], of[order]
-    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-    sizes, names = np.diff(np.append(first, len(word))), list(hasher.ids)
-    words = [names[i] for i in word[first].tolist()]
-    rows, heads = np.searchsorted(of, np.arange(shards + 1)), np.searchsorted(of[first], np.arange(shards + 1))
-    for s in range(shards):
-        a, b, p, q = rows[s], rows[s + 1], heads[s], heads[s + 1]
-        yield b" ".join(words[p:q]), _bytes(sizes[p:q], np.uint32), _bytes(doc[a:b], np.uint16), _bytes(n[a:b], np.uint32)
-
-
 def _bytes(values, kind) -> bytes:
     return np.asarray(values, kind).tobytes()
 
 
-def _grams(docs: list[list[bytes]], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, hash of each pair with its predecessor, whether it has one)."""
-    h, _ = hasher([w for d in docs for w in d])
-    return _pairs(h, np.array([len(d) for d in docs], np.int64))
+def word_keys(hashes: np.ndarray) -> np.ndarray:
+    """KEY_BITS bits of the hashes of words; words are even numbers, pairs odd."""
+    return (hashes >> np.uint64(64 - KEY_BITS) & ~np.uint64(1)).astype(np.int64)
 
 
-def _pairs(h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h = h >> np.uint64(64 - KEY_BITS) << np.uint64(64 - KEY_BITS) & ~LAST  # words are even numbers, pairs odd
-    pair = np.empty_like(h)
-    if len(h):
-        pair[0] = 0
-        pair[1:] = mix(h[:-1] * np.uint64(3) + mix(h[1:]))
-    pair = pair | LAST
-    inner = np.ones(len(h), bool)
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Numbers of pairs of words that have these keys."""
+    mixed = mix(first.astype(np.uint64) * np.uint64(3) + mix(second.astype(np.uint64)))
+    return (mixed >> np.uint64(64 - KEY_BITS) | np.uint64(1)).astype(np.int64)
+
+
+def _local_pairs(place: np.ndarray, lengths: np.ndarray, keys: np.ndarray):
+    """(which tokens have a predecessor, the pair of each of these, the sorted keys of the pairs); ``place`` numbers the tokens by words with ``keys``."""
+    inner = np.ones(len(place), bool)
     inner[starts_of(lengths)] = False
-    return h, pair, inner
+    second = np.flatnonzero(inner)
+    pairs, at = np.unique(place[second - 1] * len(keys) + place[second], return_inverse=True)
+    found = pair_keys(keys[pairs // len(keys)], keys[pairs % len(keys)])
+    order = np.argsort(found, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return inner, rank[at], found[order]
 
 
 def _positions(keys: np.ndarray, level: int, width: int) -> np.ndarray:
@@ -130,25 +126,6 @@ def _edges(keys: np.ndarray, segments: int) -> np.ndarray:
     return np.searchsorted(keys, np.arange(segments + 1) * ((1 << KEY_BITS) // segments))
 
 
-def _summed(table: pa.Table, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a shard: its distinct n-grams, their counts over the corpus, and which of them each n-gram of each part is."""
-    keys, counts = [], []
-    for shard, n, gaps, c in zip(*(table.column(x).to_pylist() for x in ("shard", "grams", "gaps", "counts")), strict=True):
-        keys.append(_ungapped(gaps, n) + shard * ((1 << KEY_BITS) // shards))
-        counts.append(np.frombuffer(c, np.uint8 if len(c) == n else np.uint32))
-    keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64), at
-
-
-def _packed_grams(keys: np.ndarray, counts: np.ndarray, shards: int):
-    """By shard: how many n-grams a part has there, the gaps between their sorted numbers, and their training counts."""
-    edges, width = _edges(keys, shards), (1 << KEY_BITS) // shards
-    for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        own = counts[a:b]
-        small = not len(own) or own.max() < 256
-        yield int(b - a), _gapped(keys[a:b] - s * width), _bytes(own, np.uint8 if small else np.uint32)
-
-
 def _gapped(keys: np.ndarray) -> bytes:
     """The gaps between sorted numbers: their low 32 bits, then the next 16, which are mostly 0."""
     gaps = np.diff(keys, prepend=0)
@@ -159,13 +136,10 @@ def _ungapped(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(blob, np.uint32, n).astype(np.int64) + (np.frombuffer(blob, np.uint16, n, 4 * n).astype(np.int64) << 32))
 
 
-def _gathered(batches, most: int = 4 << 20):
-    """Batches put together until they hold about ``most`` bytes of text: the fewer parts, the fewer rows and n-grams are sent."""
+def _gathered(batches, most: int = PART_BYTES):
+    """Batches put together until they hold about ``most`` bytes of text: the fewer parts, the fewer n-grams are sent."""
     held, size = [], 0
-    for batch in slices(batches):
-        if held and sum(x.num_rows for x in held) + batch.num_rows > 0xFFFF:
-            yield pa.concat_batches(held)
-            held, size = [], 0
+    for batch in slices(batches, most=most):
         held.append(batch)
         size += batch.column("text").nbytes
         if size >= most:
@@ -175,12 +149,102 @@ def _gathered(batches, most: int = 4 << 20):
         yield pa.concat_batches(held)
 
 
-def _numbers(h: np.ndarray, pair: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    return (np.concatenate((h, pair[inner])) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+def _shards(size: int) -> int:
+    return 1 << (parts_for(size, SHARD_BYTES, 16) - 1).bit_length()
 
 
-def _shards(size: int) -> int:
-    return 1 << (parts_for(size, PART_BYTES, 16) - 1).bit_length()
+def _counts(values: np.ndarray) -> bytes:
+    return _bytes(values, np.uint8 if not len(values) or values.max() < 256 else np.uint32)
+
+
+def _uncounted(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8 if len(blob) == n else np.uint32).astype(np.int64)
+
+
+def _parts(shards: int):
+    """Of each part of the corpus: a row a shard that it meets, with its words and pairs there, and a row (shard null) with its texts."""
+
+    def run(batches):
+        hasher, partition, seq = WordHasher(), TaskContext.get().partitionId(), 0
+        width = (1 << KEY_BITS) // shards
+        for batch in _gathered(batches):
+            texts = [_tokens(t) for t in as_bytes(batch)]
+            lengths = np.array([len(t) for t in texts], np.int64)
+            at = hasher.numbers([w for t in texts for w in t])
+            del texts
+            used = np.flatnonzero(np.bincount(at))
+            keys = word_keys(hasher.table()[used, 0])
+            order = np.argsort(keys, kind="stable")
+            used, keys = used[order], keys[order]  # the part's own words, by shard
+            number = np.empty(used.max() + 1, np.int64)
+            number[used] = np.arange(len(used))
+            place = number[at]
+            every = list(hasher.ids)
+            words = [every[k] for k in used.tolist()]
+            learned = np.repeat(batch.column("training").to_numpy(zero_copy_only=False).astype(bool), lengths)
+            inner, pair, pairs = _local_pairs(place, lengths, keys)
+            word_counts = np.bincount(place, learned, len(keys)).astype(np.int64)
+            pair_counts = np.bincount(pair, learned[inner], len(pairs)).astype(np.int64)
+            bounds = np.arange(shards + 1) * width
+            heads, tails = np.searchsorted(keys, bounds), np.searchsorted(pairs, bounds)
+            part, rows = (partition << 32) + seq, []
+            for s in np.flatnonzero((np.diff(heads) > 0) | (np.diff(tails) > 0)).tolist():
+                a, b, p, q = heads[s], heads[s + 1], tails[s], tails[s + 1]
+                rows.append((s, int(b - a), b" ".join(words[a:b]), _counts(word_counts[a:b]), int(q - p), _gapped(pairs[p:q] - s * width), _counts(pair_counts[p:q]), None, None))
+            members = _bytes(ids_of(batch), np.int64) + _bytes(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False), np.uint8) + _bytes(batch.column("held_out").to_numpy(zero_copy_only=False), np.uint8) + _bytes(lengths, np.int64)
+            planes = place.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # like bytes beside each other pack better
+            rows.append((None, len(keys), None, None, None, None, None, members, _gapped(keys) + pa.compress(planes, "zstd", asbytes=True)))
+            yield pa.record_batch({"part": pa.array([part] * len(rows), pa.int64()), **{c: pa.array([r[k] for r in rows], _KINDS[t]) for k, (c, t) in enumerate(x.split() for x in SENT.split(", ")[1:])}})
+            seq += 1
+
+    return run
+
+
+_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+SENT = "part bigint, shard int, words int, names binary, word_counts binary, pairs int, gaps binary, pair_counts binary, members binary, texts binary"
+ANSWERS = "part bigint, shard int, exact binary, word_levels binary, pair_levels binary, tokens bigint, types bigint"
+
+
+def _shard(table: pa.Table, shards: int):
+    """Of a shard: (its distinct words, their exact counts, which of them each entry is, its distinct keys, their counts, which of them each distinct word and each pair entry is)."""
+    width = (1 << KEY_BITS) // shards
+    rows = table.select(["shard", "words", "names", "word_counts", "pairs", "gaps", "pair_counts"]).to_pylist()
+    named = pa.array([w for r in rows if r["words"] for w in r["names"].split(b" ")], pa.binary()).dictionary_encode()
+    words, at = named.dictionary.to_pylist(), named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    none = [np.zeros(0, np.int64)]
+    exact = np.bincount(at, np.concatenate(none + [_uncounted(r["word_counts"], r["words"]) for r in rows]), len(words)).astype(np.int64)
+    hashes = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in words), np.uint64)[::2]
+    keys = [word_keys(hashes)] + [_ungapped(r["gaps"], r["pairs"]) + r["shard"] * width for r in rows]
+    counts = [exact] + [_uncounted(r["pair_counts"], r["pairs"]) for r in rows]
+    keys, which = np.unique(np.concatenate(keys), return_inverse=True)
+    return words, exact, at, keys, np.bincount(which, np.concatenate(counts), len(keys)).astype(np.int64), which
+
+
+def _segments(shard: int, shards: int, keys: np.ndarray, counts: np.ndarray):
+    """(keys, segment of the filter) for each segment of a shard, in order."""
+    edges = _edges(keys, shards * SEGMENTS)
+    for k in range(shard * SEGMENTS, (shard + 1) * SEGMENTS):
+        own = slice(edges[k], edges[k + 1])
+        yield keys[own], _segment(keys[own], counts[own])
+
+
+def _answers(shards: int):
+    """Of a shard, for each part: exact counts and levels of its words, levels of its pairs; then the shard's tokens and types."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words, exact, at, keys, counts, which = _shard(table, shards)
+        shard = table.column("shard")[0].as_py()
+        levels = np.concatenate([_read(k, bits) for k, bits in _segments(shard, shards, keys, counts)])
+        word_levels, pair_levels = levels[which[: len(words)]], levels[which[len(words) :]]
+        heads, tails = (np.concatenate(([0], np.cumsum(table.column(c).to_numpy()))) for c in ("words", "pairs"))
+        rows = []
+        for i, part in enumerate(table.column("part").to_pylist()):
+            own = at[heads[i] : heads[i + 1]]
+            rows.append((part, shard, _counts(exact[own]), word_levels[own].tobytes(), pair_levels[tails[i] : tails[i + 1]].tobytes(), None, None))
+        rows.append((-1, shard, None, None, None, int(exact.sum()), int((exact > 0).sum())))
+        return pa.table({c: pa.array([r[k] for r in rows], _KINDS[t]) for k, (c, t) in enumerate(x.split() for x in ANSWERS.split(", "))})
+
+    return run
 
 
 def bloom(training: DataFrame, size: int) -> tuple[int, np.ndarray, list[np.ndarray], int, int]:
@@ -188,14 +252,13 @@ def bloom(training: DataFrame, size: int) -> tuple[int, np.ndarray, list[np.ndar
     shards = _shards(size)
 
     def segments(table: pa.Table) -> pa.Table:
-        keys, counts, _ = _summed(table, shards)
-        edges, word = _edges(keys, shards * SEGMENTS), keys & 1 == 0
-        own = range(table.column("shard")[0].as_py() * SEGMENTS, (table.column("shard")[0].as_py() + 1) * SEGMENTS)
-        bits = [_segment(keys[edges[k] : edges[k + 1]], counts[edges[k] : edges[k + 1]]).tobytes() for k in own]
-        return pa.table({"segment": pa.array(own, pa.int64()), "bits": pa.array(bits, pa.binary()), "tokens": pa.array([int(counts[word].sum())] + [0] * (SEGMENTS - 1), pa.int64()), "types": pa.array([int((counts[word] > 0).sum())] + [0] * (SEGMENTS - 1), pa.int64())})
+        _, exact, _, keys, counts, _ = _shard(table, shards)
+        shard = table.column("shard")[0].as_py()
+        bits, rest = [x.tobytes() for _, x in _segments(shard, shards, keys, counts)], [0] * (SEGMENTS - 1)
+        return pa.table({"segment": pa.array(range(shard * SEGMENTS, (shard + 1) * SEGMENTS), pa.int64()), "bits": pa.array(bits, pa.binary()), "tokens": pa.array([int(exact.sum()), *rest], pa.int64()), "types": pa.array([int((exact > 0).sum()), *rest], pa.int64())})
 
     rows = training.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("training"), F.lit(False).alias("held_out"))
-    packed = rows.mapInArrow(_parts(shards), POSTINGS).where("state is null")
+    packed = rows.mapInArrow(_parts(shards), SENT).where("shard is not null")
     table = [np.zeros(8, np.uint8)] * (shards * SEGMENTS)
     tokens = types = 0
     for k, bits, n, v in packed.groupBy("shard").applyInArrow(segments, "segment bigint, bits binary, tokens bigint, types bigint").collect():
@@ -204,92 +267,13 @@ def bloom(training: DataFrame, size: int) -> tuple[int, np.ndarray, list[np.ndar
 
 
 def probe(keys: np.ndarray, segments: int, bits: np.ndarray, table: list[np.ndarray]) -> np.ndarray:
-    """The counts read from the filter for 64-bit n-gram hashes."""
-    distinct, at = np.unique((keys >> np.uint64(64 - KEY_BITS)).astype(np.int64), return_inverse=True)
+    """The counts read from the filter for the keys of words or pairs."""
+    distinct, at = np.unique(keys, return_inverse=True)
     edges = _edges(distinct, segments)
     level = np.concatenate([_read(distinct[edges[k] : edges[k + 1]], table[k]) for k in range(segments)]).astype(np.int64)
     return _count_of(level)[at]
 
 
-def _parts(shards: int):
-    """Rows by shard and part (a batch of texts); and of each part a row with what is known of its texts, dealt to the shards."""
-
-    def run(batches):
-        hasher, partition, seq = WordHasher(), TaskContext.get().partitionId(), 0
-        for batch in _gathered(batches):
-            texts = [_tokens(t) for t in as_bytes(batch)]
-            lengths = np.array([len(t) for t in texts], np.int64)
-            h, pair, inner = _grams(texts, hasher)
-            training = batch.column("training").to_numpy(zero_copy_only=False).astype(bool)
-            learned = np.repeat(training, lengths)
-            keys, at = np.unique(_numbers(h, pair, inner), return_inverse=True)
-            counts = np.bincount(at, np.concatenate((learned, learned[inner])), len(keys)).astype(np.int64)
-            members = _bytes(ids_of(batch), np.int64) + _bytes(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False), np.uint8) + _bytes(batch.column("held_out").to_numpy(zero_copy_only=False), np.uint8) + _bytes(lengths, np.int64)
-            own, place = np.unique(h >> np.uint64(64 - KEY_BITS), return_inverse=True)
-            planes = place.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # like bytes beside each other pack better
-            state = np.int64(len(own)).tobytes() + _gapped(own.astype(np.int64)) + pa.compress(planes, "zstd", asbytes=True)
-            flags, part = np.packbits(training).tobytes(), (partition << 32) + seq
-            rows = [(s, *x, *y, None, None) for s, (x, y) in enumerate(zip(_blobs(texts, lengths, hasher, shards), _packed_grams(keys, counts, shards), strict=True)) if x[0] or y[0]]
-            rows.append(((partition + seq) % shards, b"", b"", b"", b"", 0, b"", b"", members, state))
-            yield pa.record_batch({
-                "shard": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([part] * len(rows), pa.int64()), "docs": pa.array([len(texts)] * len(rows), pa.int32()), "training": pa.array([flags] * len(rows), pa.binary()),
-                **{c: pa.array([r[k] for r in rows], pa.int32() if c == "grams" else pa.binary()) for k, c in enumerate(("words", "sizes", "at", "n", "grams", "gaps", "counts", "members", "state"), 1)},
-            })
-            seq += 1
-
-    return run
-
-
-POSTINGS = "shard int, part bigint, docs int, training binary, words binary, sizes binary, at binary, n binary, grams int, gaps binary, counts binary, members binary, state binary"
-GAINS = "part bigint, docs int, shard int, levels binary, at binary, gain binary, known binary, members binary, state binary, tokens bigint, distinct bigint"
-
-
-def _levels(table: pa.Table, shards: int) -> list[bytes]:
-    """Of a shard, for each part: the levels read from the filter for the part's n-grams."""
-    keys, counts, at = _summed(table, shards)
-    shard, edges = table.column("shard")[0].as_py(), _edges(keys, shards * SEGMENTS)
-    spans = [slice(edges[k], edges[k + 1]) for k in range(shard * SEGMENTS, (shard + 1) * SEGMENTS)]
-    levels = np.concatenate([_read(keys[x], _segment(keys[x], counts[x])) for x in spans])[at]
-    ends = np.cumsum(table.column("grams").to_numpy())
-    return [levels[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
-
-
-def _gains(shards: int):
-    return lambda table: _gains_of(table, shards)
-
-
-def _gains_of(table: pa.Table, shards: int) -> pa.Table:
-    """Of a shard, for each part: levels of its n-grams, sum of log10(c + 1) and number of known tokens of each document; then the shard's N and V."""
-    states = table.filter(table.column("state").is_valid())
-    table = table.filter(table.column("state").is_null())
-    levels, number, held = _levels(table, shards) if table.num_rows else [], {}, []
-    for r in table.select(["part", "docs", "shard", "words", "sizes", "at", "n", "training"]).to_pylist():
-        words, sizes = r["words"].split(b" ") if r["words"] else [], np.frombuffer(r["sizes"], np.uint32).astype(np.int64)
-        at, n = np.frombuffer(r["at"], np.uint16), np.frombuffer(r["n"], np.uint32).astype(np.int64)
-        learned = np.unpackbits(np.frombuffer(r["training"], np.uint8), count=r["docs"])[at] == 1
-        own = np.add.reduceat(np.where(learned, n, 0), starts_of(sizes)) if len(sizes) else np.zeros(0, np.int64)
-        ids = np.empty(len(words), np.int64)
-        for k, w in enumerate(words):
-            i = number.get(w)
-            if i is None:
-                i = number[w] = len(number)
-            ids[k] = i
-        held.append((r["part"], r["docs"], r["shard"], np.repeat(ids, sizes), at, n, ids, own))
-    counts = np.zeros(len(number), np.int64)
-    for *_, ids, own in held:
-        np.add.at(counts, ids, own)
-    logs, out = np.log10(counts + 1.0), []
-    for (part, docs, shard, ids, at, n, _, _), level in zip(held, levels, strict=True):
-        gain = np.bincount(at, logs[ids] * n, docs)
-        known = np.bincount(at, np.where(counts[ids] > 0, n, 0), docs).astype(np.uint32)
-        some = np.flatnonzero(known)
-        out.append((part, docs, shard, level, some.astype(np.uint16).tobytes(), gain[some].tobytes(), known[some].tobytes(), None, None, None, None))
-    out += [(r["part"], r["docs"], None, b"", b"", b"", b"", r["members"], r["state"], None, None) for r in states.select(["part", "docs", "members", "state"]).to_pylist()]
-    out.append((-1, 0, None, b"", b"", b"", b"", None, None, int(counts.sum()), int((counts > 0).sum())))
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    return pa.table({c: pa.array([r[k] for r in out], kinds[t]) for k, (c, t) in enumerate(x.split() for x in GAINS.split(", "))})
-
-
 def _scores(count: np.ndarray, lengths: np.ndarray, types: int) -> np.ndarray:
     """log10 of the probability of each text, from the counts of its words, then of its pairs; ``types`` is N + V + 1."""
     one, two, inner = count[: lengths.sum()], np.zeros(lengths.sum()), np.ones(lengths.sum(), bool)
@@ -302,27 +286,27 @@ def _scores(count: np.ndarray, lengths: np.ndarray, types: int) -> np.ndarray:
 
 
 def _sum_up(types: int):
-    """The texts of a part, with their gains from all shards added up and their scores by the levels from all shards."""
-
-    def run(table: pa.Table) -> pa.Table:
-        size = table.column("docs")[0].as_py()
-        members, state = next((m, x) for m, x in zip(table.column("members").to_pylist(), table.column("state").to_pylist(), strict=True) if m is not None)
-        gain, known, levels = np.zeros(size), np.zeros(size, np.int64), {}
-        for shard, level, at, g, k in zip(*(table.column(c).to_pylist() for c in ("shard", "levels", "at", "gain", "known")), strict=True):
-            place = np.frombuffer(at, np.uint16)
-            gain[place] += np.frombuffer(g, np.float64)
-            known[place] += np.frombuffer(k, np.uint32)
-            levels[-1 if shard is None else shard] = level
-        level = np.frombuffer(b"".join(levels[s] for s in sorted(levels)), np.uint8)
-        at = lambda kind, before: np.frombuffer(members, kind, size, before * size)
-        lengths = at(np.int64, 10)
-        words = int(np.frombuffer(state, np.int64, 1)[0])
-        own = _ungapped(state[8:], words).astype(np.uint64)
-        planes = np.frombuffer(pa.decompress(state[8 + 6 * words :], 4 * int(lengths.sum()), "zstd", asbytes=True), np.uint8)
-        h = own[np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()] << np.uint64(64 - KEY_BITS)
-        _, place = np.unique(_numbers(*_pairs(h, lengths)), return_inverse=True)
-        score = _scores(COUNTS[level[place]], lengths, types)
-        return pa.table({"doc_id": pa.array(at(np.int64, 0), mask=at(np.uint8, 8) == 1), "held_out": pa.array(at(np.uint8, 9) == 1), "n_tokens": pa.array(lengths), "n_known": pa.array(known), "gain": pa.array(gain), "score": pa.array(score)})
+    """The texts of a part, from the answers of all shards."""
+
+    def run(parts: pa.Table, answers: pa.Table) -> pa.Table:
+        members, texts, words = parts.column("members")[0].as_py(), parts.column("texts")[0].as_py(), parts.column("words")[0].as_py()
+        size = len(members) // 18
+        member = lambda kind, before: np.frombuffer(members, kind, size, before * size)
+        lengths = member(np.int64, 10)
+        keys = _ungapped(texts, words)
+        planes = np.frombuffer(pa.decompress(texts[6 * words :], 4 * int(lengths.sum()), "zstd", asbytes=True), np.uint8)
+        place = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+        answers = answers.sort_by("shard")
+        of = lambda c: answers.column(c).to_pylist()
+        word_levels = np.frombuffer(b"".join(of("word_levels")), np.uint8)
+        exact = np.concatenate([_uncounted(x, len(y)) for x, y in zip(of("exact"), of("word_levels"), strict=True)])
+        _, pair, _ = _local_pairs(place, lengths, keys)
+        pair_counts = COUNTS[np.frombuffer(b"".join(of("pair_levels")), np.uint8)][pair]
+        score = _scores(np.concatenate((COUNTS[word_levels][place], pair_counts)), lengths, types)
+        first = starts_of(lengths)
+        gain = np.add.reduceat(np.log10(exact + 1.0)[place], first)
+        known = np.add.reduceat((exact > 0)[place], first, dtype=np.int64)
+        return pa.table({"doc_id": pa.array(member(np.int64, 0), mask=member(np.uint8, 8) == 1), "held_out": pa.array(member(np.uint8, 9) == 1), "n_tokens": pa.array(lengths), "n_known": pa.array(known), "gain": pa.array(gain), "score": pa.array(score)})
 
     return run
 
@@ -337,10 +321,13 @@ def score_texts(docs: DataFrame, learns) -> DataFrame:
     rows = rows.select("doc_id", "text", F.coalesce(learned, F.lit(False)).alias("training"), F.coalesce(~learned, F.lit(False)).alias("held_out"))
     _, size = text_size(rows)
     shards = _shards(size)
-    packed = rows.mapInArrow(_parts(shards), POSTINGS)
-    gains = stored(packed.groupBy("shard").applyInArrow(_gains(shards), GAINS), "lm-gains")
-    n, v = gains.where("part = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    out = gains.where("part >= 0").drop("tokens", "distinct").groupBy("part").applyInArrow(_sum_up(n + v + 1), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, gain double, score double")
+    sent = stored(rows.mapInArrow(_parts(shards), SENT), "lm-parts")
+    asked = sent.where("shard is not null").drop("members", "texts")
+    answers = stored(asked.groupBy("shard").applyInArrow(_answers(shards), ANSWERS), "lm-answers")
+    n, v = answers.where("part = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    kept = sent.where("shard is null").select("part", "words", "members", "texts")
+    replies = answers.where("part >= 0").drop("tokens", "types")
+    out = kept.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_sum_up(n + v + 1), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, gain double, score double")
     base = F.col("gain") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1.0)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 

@@ -160,8 +160,8 @@ def test_filter_counts_are_never_too_low(spark):
     texts = [(i, " ".join(f"t{j}" for j in range(i + 1))) for i in range(40)]
     df = spark.createDataFrame(texts, "doc_id bigint, text string")
     shards, bits, table, tokens, types = lm.bloom(df, 1000)
-    h, _, _ = lm._grams([[f"t{j}".encode()] for j in range(40)], lm.WordHasher())
-    counts = lm.probe(h, shards, bits, table)
+    h, _ = lm.WordHasher()([f"t{j}".encode() for j in range(40)])
+    counts = lm.probe(lm.word_keys(h), shards, bits, table)
     true = np.array([40 - j for j in range(40)])
     assert tokens == sum(true) + 40 and types == 41
     low = lm._count_of(lm._level(np.maximum(true, 1)))
