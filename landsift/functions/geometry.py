@@ -2,18 +2,23 @@
 
 A geometry is ``struct<polys array<array<array<struct<x,y>>>>, lines array<array<struct<x,y>>>,
 points array<struct<x,y>>>`` in degrees; a ring is closed (its last point repeats its first).
-Everything here stays in the JVM. Distances use a local equirectangular projection about the mean of
-both geometries' vertices, so they hold for one pair and aren't consistent across pairs.
+What concerns one geometry stays in the JVM; pairs are compared in blocks (``pairs``). Distances use a local
+equirectangular projection about the mean of both geometries' vertices, so they hold for one pair and aren't
+consistent across pairs.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 from pyspark.sql import types as T
 
-# Metres a degree, and the tolerance of the planar predicates.
-METRES_LON, METRES_LAT, EPSILON = 111_320.0, 110_540.0, 1e-9
+from landsift.functions import pairs
+
+# Metres a degree, and the tolerance of the planar predicates, as a distance in the geometry's units.
+METRES_LON, METRES_LAT, EPSILON = pairs.METRES_LON, pairs.METRES_LAT, 1e-9
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 RING = T.ArrayType(POINT)
@@ -153,20 +158,24 @@ def orientation(a: Column, b: Column, c: Column) -> Column:
     return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
 
 
+def off_line(p: Column, s: Column) -> Column:
+    """Distance of a point from the line through a segment, with its side; an orientation alone grows with the segment's length."""
+    return orientation(s["a"], s["b"], p) / F.nullif(F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]), F.lit(0.0))
+
+
 def _in_box(p: Column, s: Column) -> Column:
     within = lambda k: (p[k] >= F.least(s["a"][k], s["b"][k]) - EPSILON) & (p[k] <= F.greatest(s["a"][k], s["b"][k]) + EPSILON)
     return within("x") & within("y")
 
 
 def point_on_segment(p: Column, s: Column) -> Column:
-    return (F.abs(orientation(s["a"], s["b"], p)) <= EPSILON) & _in_box(p, s)
+    return (F.abs(F.coalesce(off_line(p, s), F.lit(0.0))) <= EPSILON) & _in_box(p, s)
 
 
 def segments_intersect(s: Column, t: Column) -> Column:
-    o1, o2 = orientation(s["a"], s["b"], t["a"]), orientation(s["a"], s["b"], t["b"])
-    o3, o4 = orientation(t["a"], t["b"], s["a"]), orientation(t["a"], t["b"], s["b"])
+    o1, o2, o3, o4 = off_line(t["a"], s), off_line(t["b"], s), off_line(s["a"], t), off_line(s["b"], t)
     crossing = ((o1 > 0) != (o2 > 0)) & ((o3 > 0) != (o4 > 0)) & (F.abs(o1) > EPSILON) & (F.abs(o2) > EPSILON) & (F.abs(o3) > EPSILON) & (F.abs(o4) > EPSILON)
-    return crossing | point_on_segment(t["a"], s) | point_on_segment(t["b"], s) | point_on_segment(s["a"], t) | point_on_segment(s["b"], t)
+    return F.coalesce(crossing, F.lit(False)) | point_on_segment(t["a"], s) | point_on_segment(t["b"], s) | point_on_segment(s["a"], t) | point_on_segment(s["b"], t)
 
 
 def point_in_ring(p: Column, ring: Column) -> Column:
@@ -188,33 +197,25 @@ def point_in_polygon(p: Column, poly: Column) -> Column:
     return F.when(F.size(poly) == 0, False).otherwise(on_edge | (point_in_ring(p, poly[0]) & ~holes))
 
 
-def _all_segments(g: Column) -> Column:
-    rings = F.flatten(F.transform(F.flatten(g["polys"]), lambda r: segments(r, True)))
-    return F.concat(rings, F.flatten(F.transform(g["lines"], lambda r: segments(r))))
-
-
-def project_pair(a: Column, b: Column) -> tuple[Column, Column]:
-    """Both geometries in metres about the mean of all their vertices."""
-    p = F.concat(positions(a), positions(b))
-    x0, y0 = mean(F.transform(p, lambda v: v["x"])), mean(F.transform(p, lambda v: v["y"]))
-    lon = METRES_LON * F.cos(F.radians(y0))
-    move = lambda v: point((v["x"] - x0) * lon, (v["y"] - y0) * METRES_LAT)
-    ring = lambda r: F.transform(r, move)
-    all_of = lambda g: F.struct(F.transform(g["polys"], lambda q: F.transform(q, ring)).alias("polys"), F.transform(g["lines"], ring).alias("lines"), F.transform(g["points"], move).alias("points"))
-    return all_of(a), all_of(b)
+def _measure(project: bool, distance: bool):
+    """A column function of two geometries that compares blocks of pairs; null where one is null."""
 
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        none = pc.or_(a.is_null(), b.is_null())
+        met, least = pairs.measures(a, b, project, distance)
+        return pa.array(least if distance else met, pa.float64() if distance else pa.bool_(), mask=none.to_numpy(zero_copy_only=False))
 
-def intersects_projected(a: Column, b: Column) -> Column:
-    pa_, pb, sa, sb = positions(a), positions(b), _all_segments(a), _all_segments(b)
-    equal = F.exists(pa_, lambda p: F.exists(pb, lambda q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]) <= EPSILON))
-    crossing = F.exists(sa, lambda s: F.exists(sb, lambda t: segments_intersect(s, t)))
-    on = F.exists(pa_, lambda p: F.exists(sb, lambda s: point_on_segment(p, s))) | F.exists(pb, lambda p: F.exists(sa, lambda s: point_on_segment(p, s)))
-    inside = F.exists(pa_, lambda p: F.exists(b["polys"], lambda q: point_in_polygon(p, q))) | F.exists(pb, lambda p: F.exists(a["polys"], lambda q: point_in_polygon(p, q)))
-    return equal | crossing | on | inside
+    return F.arrow_udf(run, T.DoubleType() if distance else T.BooleanType())
 
 
-def intersects(a: Column, b: Column) -> Column:
-    return intersects_projected(*project_pair(a, b))
+#: Whether two geometries meet (touching counts), in their own units.
+intersects_projected = _measure(False, False)
+#: The same in metres about the mean of both geometries' vertices.
+intersects = _measure(True, False)
+#: 0 where they meet, else the least distance between them, in their own units.
+distance_projected = _measure(False, True)
+#: The same in metres.
+distance_m = _measure(True, True)
 
 
 def point_distance(p: Column, q: Column) -> Column:
@@ -234,23 +235,6 @@ def segment_distance(s: Column, t: Column) -> Column:
     return F.when(segments_intersect(s, t), 0.0).otherwise(ends)
 
 
-def distance_projected(a: Column, b: Column) -> Column:
-    """0 where they meet, else the least distance between vertices and edges; edges that don't cross are nearest at a vertex."""
-    pa_, pb, sa, sb = positions(a), positions(b), _all_segments(a), _all_segments(b)
-    far = F.lit(float("inf"))
-    least = lambda p, f: F.coalesce(F.array_min(F.flatten(F.transform(p, f))), far)
-    between = F.least(
-        least(pa_, lambda p: F.transform(pb, lambda q: point_distance(p, q))),
-        least(pa_, lambda p: F.transform(sb, lambda s: point_segment_distance(p, s))),
-        least(pb, lambda p: F.transform(sa, lambda s: point_segment_distance(p, s))),
-    )
-    return F.when(intersects_projected(a, b), 0.0).otherwise(between)
-
-
-def distance_m(a: Column, b: Column) -> Column:
-    return distance_projected(*project_pair(a, b))
-
-
 def component_count(g: Column) -> Column:
     return F.size(g["polys"])
 

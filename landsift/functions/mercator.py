@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 from pyspark.sql import types as T
@@ -102,15 +102,18 @@ def _halve(rings: list[np.ndarray], most: int) -> list[list[np.ndarray]]:
 
 
 def _rings(value) -> list[np.ndarray]:
-    return [np.array([(p["x"], p["y"]) for p in r], float) for r in value]
+    return [np.array([(p["x"], p["y"]) for p in r], float).reshape(-1, 2) for r in value]
 
 
 def _back(rings: list[np.ndarray]) -> list[list[dict]]:
     return [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]
 
 
-@F.pandas_udf(POLYGON)
-def simplify(polygon: pd.Series, tolerance: pd.Series) -> pd.Series:
+_RINGS = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+
+
+@F.arrow_udf(POLYGON)
+def simplify(polygon: pa.Array, tolerance: pa.Array) -> pa.Array:
     """Each ring simplified by its tolerance in the polygon's units; a hole that falls below it goes."""
 
     def one(value, t):
@@ -119,10 +122,11 @@ def simplify(polygon: pd.Series, tolerance: pd.Series) -> pd.Series:
         rings = [_simplify_ring(r, t) for r in _rings(value)]
         return _back([r for k, r in enumerate(rings) if not k or t <= 0 or np.ptp(r, axis=0).max() > t])
 
-    return pd.Series([one(v, t) for v, t in zip(polygon, tolerance, strict=True)])
+    return pa.array([one(v, t) for v, t in zip(polygon.to_pylist(), tolerance.to_pylist(), strict=True)], _RINGS)
 
 
-@F.pandas_udf(T.ArrayType(POLYGON))
-def subdivide(polygon: pd.Series, most: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(POLYGON))
+def subdivide(polygon: pa.Array, most: pa.Array) -> pa.Array:
     """The polygon in parts of at most ``most`` vertices, in a fixed order."""
-    return pd.Series([None if v is None else [_back(p) for p in sorted(_halve(_rings(v), int(m)), key=lambda p: tuple(p[0].min(axis=0)))] for v, m in zip(polygon, most, strict=True)])
+    parts = lambda v, m: [_back(p) for p in sorted(_halve(_rings(v), m), key=lambda p: tuple(p[0].min(axis=0)))]
+    return pa.array([None if v is None else parts(v, m) for v, m in zip(polygon.to_pylist(), most.to_pylist(), strict=True)], pa.list_(_RINGS))

@@ -45,4 +45,4 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_gives_rows(spark, name):
-    assert registry.queries()[name](spark, SF).count() > 0
+    assert len(registry.queries()[name](spark, SF).collect()) > 0  # collected: a count would prune the columns away
