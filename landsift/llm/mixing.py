@@ -2,13 +2,16 @@
 
 Each source gets a rate, the mean number of copies of its documents, so that the expected mix meets
 its target weight. A uniform number hashed from a seed and the id is put through the inverse of the
-source's Poisson distribution; the document is exploded by the count, and all copies are sorted by a
-hash, which shuffles them globally. The same seed gives the same rows on any cluster.
+source's Poisson distribution; the document is exploded by the count, and all copies are dealt by ranges of a
+hash and sorted by it, which shuffles them globally. The same seed gives the same rows on any cluster.
 
 A rate above ``MOST_RATE`` is drawn as the sum of several Poisson numbers of smaller rates, so that
 no probability underflows. Everything is a built-in Spark function. The rates are joined back
 broadcast while there are ``MOST_SOURCES`` sources at most (checked), by a shuffled join beyond that.
 
+Weights: a source that isn't in ``weights``, or has a null weight, counts 0 and has no copies; several weights of one source
+are added; weights of sources without documents don't matter; where all weights are 0 nothing is kept.
+
 Rows: a null source is a source of its own; a null id hashes as 'null'; rows of one id have as many
 copies each; null and empty texts are replicated like others. Columns that clash with copy_no or
 mix_key are replaced.
@@ -51,7 +54,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5,
         power = F.sqrt(F.col("n").cast("double")) if alpha == 0.5 else F.pow(F.col("n").cast("double"), F.lit(alpha))
         weighted = counts.withColumn("weight", power)
     else:
-        told = weights.select(F.col("source").alias("told"), F.col("weight").cast("double").alias("weight"))
+        told = weights.groupBy(F.col("source").alias("told")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
         weighted = counts.join(told, F.col("source").eqNullSafe(F.col("told")), "left").drop("told").fillna(0.0, ["weight"])
     total = weighted.agg(F.sum("n").alias("rows"), F.sum("weight").alias("weights"))
     share = F.when(F.col("weights") > 0, F.col("weight") / F.col("weights")).otherwise(F.lit(0.0))
@@ -66,11 +69,16 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, alpha: float =
     table = rates(docs, weights, alpha, epochs).withColumn("pieces_", pieces).select(F.col("source").alias("source_"), "pieces_", distribution(F.col("rate") / F.col("pieces_")).alias("sums_"))
     few = table.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
     joined = docs.join(F.broadcast(table) if few else table, docs["source"].eqNullSafe(F.col("source_")))
-    drawn = F.transform(F.sequence(F.lit(1), F.col("pieces_")), lambda i: F.size(F.filter("sums_", lambda c: c <= uniform(seed, F.col("doc_id"), i))))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("pieces_")), lambda i: uniform(seed, F.col("doc_id"), i))  # once a piece, not once a probability
+    drawn = F.transform(numbers, lambda u: F.size(F.filter("sums_", lambda c: c <= u)))
     copies = F.aggregate(drawn, F.lit(0), lambda a, n: a + n)
     many = joined.withColumn("copies_", copies).where("copies_ > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("copies_") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy_no").cast("string")).cast("binary"))
-    return many.select(*columns, "copy_no", key.alias("mix_key")).orderBy("mix_key")
+    out = many.select(*columns, "copy_no", key.alias("mix_key"))
+    # the keys are md5s, so even ranges of their first 32 bits hold even shares: a total order without sampling the rows first
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // 200_000))
+    place = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("double") * parts / float(1 << 32)).cast("int")
+    return out.repartitionById(parts, place).sortWithinPartitions("mix_key")
 
 
 def oracle(table: str, alpha_is_half: bool = True, epochs: float = 1.0, seed: int = 17, columns: str = "doc_id, text, lang, source, n_chars") -> str:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from landsift.llm.common import stored
 
-SCALE = 1024
+SCALE, MOST_PIVOTS = 1024, 8192
 
 
 def _scaled(vectors: DataFrame) -> DataFrame:
@@ -135,18 +135,21 @@ def _solve(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 128, block: int = 20_000) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int | None = None, block: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query with the other rows.
 
-    ``pivots`` bounds what is broadcast; they are the first by a hash of the id.
+    ``pivots`` are the first by a hash of the id: the square root of the number of vectors, from 128 to MOST_PIVOTS, where
+    it isn't given; MOST_PIVOTS bounds what is broadcast.
     """
     spark = vectors.sparkSession
     rows = _scaled(vectors)
     schema = "query_id bigint, vec_id bigint, score bigint"
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # ``pivots`` rows
-    if not sample:
+    count, least_row = rows.agg(F.count(F.lit(1)), F.min(F.struct("vec_id", F.size("v").alias("width")))).first()
+    if not count:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    width = len(rows.orderBy("vec_id").first()["v"])
+    width = least_row["width"]
+    pivots = min(pivots or max(128, int(np.ceil(np.sqrt(count)))), MOST_PIVOTS)
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # ``pivots`` rows
     rows = rows.where(F.size("v") == width)
     chosen = np.array(sorted({tuple(r["v"]) for r in sample if len(r["v"]) == width}), np.int64)
     if not len(chosen):
@@ -160,9 +163,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 128,
         least[r["group"], : len(r["least"])] = r["least"]
     blocks = np.maximum(-(-n // block), 1)
     first = np.concatenate(([0], np.cumsum(blocks)[:-1]))
-    table = F.create_map(*[x for g in range(len(chosen)) for x in (F.lit(g), F.array(F.lit(int(first[g])), F.lit(int(blocks[g]))))])
-    place = F.element_at(table, F.col("group"))
-    data = assigned.withColumn("block", F.element_at(place, 1) + F.pmod(F.xxhash64("vec_id"), F.element_at(place, 2))).select("vec_id", "v", F.col("block").cast("long").alias("block"))
+    places = spark.createDataFrame([(g, int(first[g]), int(blocks[g])) for g in range(len(chosen))], "group int, first_ bigint, blocks_ bigint")  # a row a pivot
+    data = assigned.join(F.broadcast(places), "group").select("vec_id", "v", (F.col("first_") + F.pmod(F.xxhash64("vec_id"), F.col("blocks_"))).alias("block"))
     shared = spark.sparkContext.broadcast((chosen, n, most, least, blocks))
     queries = assigned.where(is_query).select("vec_id", "v").mapInArrow(_route(shared, k), "vec_id bigint, v array<bigint>, block bigint")
     turns = max(1, -(-assigned.where(is_query).count() // block))

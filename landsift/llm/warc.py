@@ -1,7 +1,9 @@
 """WARC: a deterministic sharded writer, and a reader.
 
-Records are dealt to shards by ranges of page_id (a fixed number of ids a shard) and sorted by it in
-each shard, so the same pages give the same archives on any cluster. A shard is written as files of
+Records are dealt to shards by ranges of page_id (the same number of ids a shard) and sorted by it in
+each shard, so the same pages give the same archives on any cluster. How many ids a shard has and where files roll
+follows from the pages' bytes alone: shards of a 256th of them, from 16 MB to 4 GB, files of a sixteenth of a shard, and
+as many tasks as there are shards. A shard is written as files of
 gzip members, one a record; a file is closed when its compressed size reaches ``roll``. Headers are
 made anew: lengths, ids that follow from the payload's digest and page_id, sha1 digests of block and
 payload. A task writes under a temporary name of its own attempt; its manifest rows (file, size,
@@ -12,7 +14,7 @@ Of records with equal payloads of at least ``least`` bytes the one with the larg
 response; the others are revisit records that name it. Equality is that of SHA-1 and length.
 
 Rows: a null html is an empty payload, a null url an empty target. Rows with a null page_id are
-responses at the end, in a shard of their own. Repeated rows of one page_id and payload: the one
+responses, in shards of their own (named none-) to which a hash of the payload deals them; negative ids have shards like others (named m). Repeated rows of one page_id and payload: the one
 that is kept as response is the first in the shard, the others revisit it.
 """
 
@@ -22,6 +24,7 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 import re
 import uuid
 import zlib
@@ -30,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landsift.llm.common import fresh_dir, stored
+from landsift.llm.common import fresh_dir, parts_for, stored, text_size
 
 DATE = "2024-01-01T00:00:00Z"
+#: Shards of rows without an id have numbers from here on, below those of all ids.
+NO_ID_SHARDS = -(1 << 62)
 MANIFEST = "shard bigint, seq int, temporary string, name string, records bigint, bytes bigint, sha256 string"
 
 
@@ -119,7 +124,8 @@ class _Roller:
         if self.out is not None:
             self.out.close()
             shard, seq = self.key
-            name = f"{'none' if shard < 0 else f'{shard:010d}'}-{seq:05d}.warc.gz"
+            own = f"none-{shard - NO_ID_SHARDS:05d}" if shard < NO_ID_SHARDS // 2 else f"{'m' if shard < 0 else ''}{abs(shard):010d}"
+            name = f"{own}-{seq:05d}.warc.gz"
             self.rows.append((shard, seq, self.temporary, name, self.records, self.size, self.sha.hexdigest()))
             self.out = None
 
@@ -164,20 +170,30 @@ def _commit(folder: str):
     return run
 
 
-def write(pages: DataFrame, folder: str, ids_a_shard: int = 2_000, roll: int = 32 << 20, least: int = 1000) -> DataFrame:
+def sizes(pages: DataFrame) -> tuple[int, int, int, int]:
+    """(ids a shard, where files roll, tasks, shards of rows without an id) for these pages."""
+    rows, total = text_size(pages, "html")
+    shard_bytes = min(max(total // 256, 16 << 20), 4 << 30)
+    ids = 1 << max(round(math.log2(max(shard_bytes * max(rows, 1) / max(total, 1), 1))), 0)
+    shards = -(-total // shard_bytes) or 1
+    return min(ids, 1 << 40), min(max(shard_bytes // 16, 1 << 20), 1 << 30), max(shards, 8), shards
+
+
+def write(pages: DataFrame, folder: str, ids_a_shard: int | None = None, roll: int | None = None, least: int = 1000) -> DataFrame:
     """Write the archives of ``pages`` into ``folder``; the manifest, a row a file."""
-    spark = pages.sparkSession
+    own_ids, own_roll, count, empty_shards = sizes(pages)
+    ids_a_shard, roll = ids_a_shard or own_ids, roll or own_roll
     rows = payloads(pages)
     # a decision travels as a row without payload that sorts before its records; the payloads are shuffled once
     none = F.lit(None)
     decided = revisits(rows, least).select("page_id", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "payload_digest", none.cast("long").alias("payload_bytes"), "refers_to")
     rows = rows.withColumn("refers_to", none.cast("long")).unionByName(decided)
-    shard = F.greatest(F.floor(F.col("page_id") / F.lit(ids_a_shard)).cast("long"), F.lit(0))
-    rows = rows.withColumn("shard", F.when(F.col("page_id").isNull(), F.lit(-1)).otherwise(shard))
-    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    shard = F.floor(F.col("page_id") / F.lit(ids_a_shard)).cast("long") if ids_a_shard > 1 else F.col("page_id")
+    none_shard = F.lit(NO_ID_SHARDS) + F.pmod(F.crc32(F.col("payload_digest").cast("binary")), F.lit(empty_shards))
+    rows = rows.withColumn("shard", F.when(F.col("page_id").isNull(), none_shard).otherwise(shard))
     dealt = rows.repartitionByRange(count, "shard").sortWithinPartitions("shard", "page_id", "payload_digest", F.col("payload").isNotNull(), "url")
     manifest = stored(dealt.mapInArrow(_writer(folder, roll, least), MANIFEST), "warc-manifest")
-    done = stored(manifest.repartition(min(count, 64)).mapInArrow(_commit(folder), MANIFEST), "warc-committed")
+    done = stored(manifest.repartition(count).mapInArrow(_commit(folder), MANIFEST), "warc-committed")
     done.write.mode("overwrite").json(f"{folder}/manifest.json")
     return done
 
@@ -235,8 +251,8 @@ def _reader(folder: str):
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """The records of the archives that ``manifest`` names; a revisit has an empty payload."""
-    spark = manifest.sparkSession
-    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    count = parts_for(total, 4 << 20, 8)
     return manifest.select("name").repartition(count).mapInArrow(_reader(folder), RECORDS)
 
 
