@@ -17,14 +17,16 @@ SECTION_HEADERS = (
     "subdivision name changes",
     "invocation extension of bonds",
 )
-#: Public scalar keys by where they come from.
+#: The keys of source fields that may be public.
 PUBLIC_FIELDS = (
-    *("SubdID", "Subdivision", "Phase", "Status", "HousingUnits", "HousingUnitType", "CouncilDistrict", "Layout_date", "Prelim_date", "Final_date", "AsBuilt_date", "SubdStatus"),
-    *("PermitID", "Permit_Issue_DateTime", "OccupancyType", "OccupancySubtype", "TypeOfWork", "NumberOfUnits", "ShowDetails"),
-    *("Subd_ID", "Subd_Name", "Subd_Type", "OBJECTID", "Parcels", "Lots", "Book", "Page", "PlatBook", "PlatPage", "DocNum", "YearFiled", "DateFiled"),
-    *("source_document", "source_document_id", "source_document_title", "id", "title", "document_date", "meeting_label", "parse_confidence", "lot_count", "unit_count", "location"),
-    *("submission_id", "source_url", "review_required"),
+    "SubdID", "Subdivision", "Phase", "Status", "HousingUnits", "HousingUnitType", "CouncilDistrict", "Layout_date", "Prelim_date", "Final_date",
+    "AsBuilt_date", "SubdStatus", "PermitID", "Permit_Issue_DateTime", "OccupancyType", "OccupancySubtype", "TypeOfWork", "NumberOfUnits",
+    "ShowDetails", "Subd_ID", "Subd_Name", "Subd_Type", "OBJECTID", "Parcels", "Lots", "Book", "Page", "PlatBook", "PlatPage", "DocNum", "YearFiled",
+    "DateFiled", "source_document", "source_document_id", "source_document_title", "id", "title", "document_date", "meeting_label",
+    "parse_confidence", "lot_count", "unit_count", "location", "submission_id", "source_url", "review_required",
 )
+#: What ends a labelled field besides another label.
+FIELD_ENDS = r"(?i)\s+(?:I|II|III|IV|V)\.\s+|\s+Waiver\s*:|\s+Requested Rezoning\s*:|\s+Proposed Zoning\s*:"
 
 
 def clean(value: Column) -> Column:
@@ -92,7 +94,7 @@ def labelled_field(body: Column, label: str, stops: tuple[str, ...]) -> Column:
     """What follows ``label:``, up to the next label or the markers that end a field."""
     after = F.regexp_extract(body, rf"(?is){label}\s*:\s*(.*)$", 1)
     cut = F.split(after, rf"(?i)\s+(?:{'|'.join(stops)})\s*:", 2)[0]
-    cut = F.split(cut, r"(?i)\s+(?:I|II|III|IV|V)\.\s+|\s+Waiver\s*:|\s+Requested Rezoning\s*:|\s+Proposed Zoning\s*:", 2)[0]
+    cut = F.split(cut, FIELD_ENDS, 2)[0]
     return F.nullif(F.regexp_replace(cut, r"^[ .;]+|[ .;]+$", ""), F.lit(""))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from landsift.functions import mercator
 from landsift.functions.geometry import component_count, hole_count, shoelace
 from landsift.functions.scalars import chained_digest
+from landsift.scratch import stored
 
 # Zoom bands with their tolerances in metres; parts and vertices a feature may have.
 BANDS = (("z08_10", 8, 10, 100), ("z11_12", 11, 12, 40), ("z13_14", 13, 14, 10), ("z15_16", 15, 16, 2), ("z17_18", 17, 18, 0))
@@ -123,6 +124,6 @@ def topological_levels(edges: DataFrame, most: int = 64) -> DataFrame:
         ready = open_.select("node").distinct().join(left.select("node").distinct(), "node", "left_anti").join(done.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
         if ready.isEmpty():
             return done
-        done = done.unionByName(ready).checkpoint()
+        done = stored(done.unionByName(ready), "levels")
         open_ = edges.join(done.select("node"), "node", "left_anti")
     raise ValueError(f"more than {most} levels")

@@ -11,6 +11,8 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 
+from landsift.operators.tables import ranged
+
 # What may follow an open status, and what an action is called.
 OPEN, FINAL = ("pending", "needs_info"), ("approved", "rejected")
 NAMES = {"approved": "approve", "rejected": "reject", "needs_info": "needs_info"}
@@ -71,10 +73,26 @@ def publication_events(versioned: DataFrame) -> DataFrame:
 
 
 def content_revisions(rows: DataFrame, key: str, fingerprint: str, *order: str) -> DataFrame:
-    """Revision numbers of content: a row whose fingerprint is its predecessor's is no new revision."""
-    w = W.partitionBy(key).orderBy(*order)
-    new = F.coalesce((F.col(fingerprint) != F.lag(fingerprint).over(w)).cast("int"), F.lit(1))
-    return rows.withColumn("is_new", new == 1).withColumn("revision", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    """Revision numbers of content: a row whose fingerprint is its predecessor's is no new revision.
+
+    Rows are dealt by ranges of key and order, so the rows of a hot key are split; what a part needs of those before it
+    (the key's last fingerprint, how many revisions it had) is a row a part and key.
+    """
+    kept = ranged(rows, [key, *order])
+    w = W.partitionBy("part_", key).orderBy(*order)
+    ends = kept.groupBy("part_", key).agg(F.max_by(fingerprint, F.struct(*order)).alias("last_"))
+    ends = ends.withColumn("before_", F.lag("last_").over(W.partitionBy(key).orderBy("part_"))).drop("last_")
+    marked = _beside(kept, ends, key).withColumn("new_", F.coalesce((F.col(fingerprint) != F.coalesce(F.lag(fingerprint).over(w), F.col("before_"))).cast("int"), F.lit(1)))
+    sums = marked.groupBy("part_", key).agg(F.sum("new_").alias("sum_"))
+    sums = sums.withColumn("offset_", F.sum("sum_").over(W.partitionBy(key).orderBy("part_")) - F.col("sum_")).drop("sum_")
+    counted = _beside(marked.withColumn("in_", F.sum("new_").over(w.rowsBetween(W.unboundedPreceding, 0))), sums, key)
+    return counted.withColumn("is_new", F.col("new_") == 1).withColumn("revision", F.col("offset_") + F.col("in_")).select(*rows.columns, "is_new", "revision")
+
+
+def _beside(rows: DataFrame, ends: DataFrame, key: str) -> DataFrame:
+    """Rows with what is known of their part and key; a null key is a key."""
+    ends = ends.withColumnsRenamed({"part_": "their_part_", key: "their_key_"})
+    return rows.join(ends, (F.col("part_") == F.col("their_part_")) & F.col(key).eqNullSafe(F.col("their_key_"))).drop("their_part_", "their_key_")
 
 
 def change_log(explicit: DataFrame, records: DataFrame, limit: int) -> DataFrame:

@@ -29,12 +29,12 @@ def duplicate_candidates(staged: DataFrame, published: DataFrame, fanout: int =
     s = staged.select(F.col("id").alias("staged_id"), F.col("status").alias("staged_status"), title_tokens(F.col("title")).alias("a"))
     p = published.select(F.col("id").alias("public_id"), F.col("status").alias("public_status"), title_tokens(F.col("title")).alias("b"))
     rare = token_counts(published).where(F.col("titles") <= fanout).select("token")
-    right = p.withColumn("token", F.explode("b")).join(rare, "token", "left_semi")
-    pairs = s.withColumn("token", F.explode("a")).join(right, "token").where(
-        # one row a pair: that of the smallest shared token that isn't too common is found below
-        F.size(F.array_intersect("a", "b")) >= least * F.size(F.array_union("a", "b"))
-    )
-    pairs = pairs.groupBy("staged_id", "public_id").agg(*[F.first(c).alias(c) for c in ("staged_status", "public_status", "a", "b")])
+    # only ids and sizes travel with the tokens; a token meets ``fanout`` published titles at most
+    right = p.select("public_id", F.size("b").alias("nb"), F.explode("b").alias("token")).join(rare, "token", "left_semi")
+    left = s.select("staged_id", F.size("a").alias("na"), F.explode("a").alias("token"))
+    alike = F.least("na", "nb") >= least * F.greatest("na", "nb")  # else their tokens can't be
+    pairs = left.join(right, "token").where(alike).select("staged_id", "public_id").distinct()
+    pairs = pairs.join(s, "staged_id").join(p, "public_id").where(F.size(F.array_intersect("a", "b")) >= least * F.size(F.array_union("a", "b")))
     common, union = F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))
     matches = F.col("staged_status").eqNullSafe(F.col("public_status"))
     # whole hundredths: (common / union + bonus), 1 at most, halves up

@@ -6,6 +6,8 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 
+from landsift.scratch import stored
+
 
 def _key(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -42,14 +44,18 @@ def upsert(current: DataFrame, new: DataFrame, keys, order: str = "sort_order")
     return kept.select(*columns, order).unionByName(placed.where("old_ is not null").withColumnRenamed("old_", order).select(*columns, order)).unionByName(numbered.select(*columns, order))
 
 
+def ranged(df: DataFrame, order) -> DataFrame:
+    """The rows in stored parts (part_) that follow each other in ``order``."""
+    return stored(df.repartitionByRange(*_key(order)).withColumn("part_", F.spark_partition_id()), "ranged")
+
+
 def numbered_rows(df: DataFrame, order, name: str = "number_") -> DataFrame:
     """Rows numbered from 1 in ``order``, without gathering them in one task.
 
-    Range partitions keep the order; each partition's rows are ranked apart, and the sums of the
-    partitions before it, one row a partition, are added.
+    Range partitions keep the order; they are stored first, so that a row keeps its part whatever is planned or computed
+    anew later. Each part's rows are ranked apart, and the sums of the parts before it, one row a part, are added.
     """
-    parts = df.repartitionByRange(*_key(order)).withColumn("part_", F.spark_partition_id())
-    ranked = parts.withColumn("in_", F.row_number().over(W.partitionBy("part_").orderBy(*_key(order))))
+    ranked = ranged(df, order).withColumn("in_", F.row_number().over(W.partitionBy("part_").orderBy(*_key(order))))
     sizes = ranked.groupBy("part_").agg(F.count(F.lit(1)).alias("size_"))
     before = sizes.select("part_", (F.sum("size_").over(W.orderBy("part_")) - F.col("size_")).alias("before_"))
     return ranked.join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + F.col("in_")).drop("part_", "in_", "before_")

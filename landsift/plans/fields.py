@@ -30,14 +30,14 @@ def normalize_status(spark, sf):
 
 
 def normalize_dates_epoch(spark, sf):
-    o = T.table(spark, sf, "orders").where("o_orderkey < 5000")
-    seconds = 946684800 + F.col("o_orderkey") * 86400
+    o = T.table(spark, sf, "orders")
+    seconds = 946684800 + F.col("o_orderkey") % 5000 * 86400
     raw = F.when(F.col("o_orderkey") % 4 == 0, seconds.cast("string")).when(F.col("o_orderkey") % 4 == 1, (seconds * 1000).cast("string")).when(F.col("o_orderkey") % 4 == 2, F.concat(T.day(F.col("o_orderdate")), F.lit("T12:00:00Z"))).otherwise(F.lit("  unknown text "))
     return o.select("o_orderkey", S.epoch_date(raw).alias("date"))
 
 
 _EPOCH = """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 3 THEN 'unknown te'
- ELSE strftime(TIMESTAMP '2000-01-01' + to_days(o_orderkey::INTEGER), '%Y-%m-%d') END AS date FROM orders WHERE o_orderkey < 5000"""
+ ELSE strftime(TIMESTAMP '2000-01-01' + to_days((o_orderkey % 5000)::INTEGER), '%Y-%m-%d') END AS date FROM orders"""
 
 
 def normalize_dates_text(spark, sf):
@@ -129,7 +129,7 @@ def excerpts(spark, sf):
 
 def json_nesting(spark, sf):
     k = (F.col("event_id") % 40).cast("int")
-    text = F.concat(F.repeat(F.lit('{"a":['), k), F.lit('"[[[\\"{{"'), F.repeat(F.lit("]}"), k))
+    text = F.concat(F.repeat(F.lit('{"a":['), k), F.lit('"[[[\\"{{",'), F.col("props"), F.repeat(F.lit("]}"), k))
     depth = S.nesting_depth(text)
     return T.table(spark, sf, "events").select("event_id", depth.cast("int").alias("depth"), (depth > 32).alias("refused"))
 
@@ -158,14 +158,14 @@ def geo_bbox(spark, sf):
 
 
 def geo_bbox_distance(spark, sf):
-    """Distance of each record's box from the first supplier's."""
-    one = T.features(spark, sf).where("feature_id = 'floodplain-0'").select(F.struct(*[T.degrees(F.col(c)).alias(c) for c in "wsen"]).alias("f"))
+    """Distance of each record's box from that of its owner's wetland."""
+    theirs = T.features(spark, sf).where("category = 'wetlands'").select(F.col("feature_order").alias("owner_key"), F.struct(*[T.degrees(F.col(c)).alias(c) for c in "wsen"]).alias("f"))
     box = F.struct(*[T.degrees(F.col(c)).alias(c) for c in "wsen"])
-    return T.records(spark, sf).crossJoin(F.broadcast(one)).select("public_id", G.round_to(G.bbox_distance_m(box, F.col("f")), 1).alias("metres"))  # one row
+    return T.records(spark, sf).join(theirs, "owner_key").select("public_id", G.round_to(G.bbox_distance_m(box, F.col("f")), 1).alias("metres"))
 
 
-_BBOX_DISTANCE = f"""{T.with_sql('records', 'features')}, g AS (SELECT w AS fw, s AS fs, e AS fe, n AS fn FROM features WHERE feature_id = 'floodplain-0'),
-d AS (SELECT public_id, greatest(fw - e, w - fe, 0) / 1000000.0::DOUBLE AS dx, greatest(fs - n, s - fn, 0) / 1000000.0::DOUBLE AS dy, (s + n + fs + fn) / 4.0::DOUBLE / 1000000.0::DOUBLE AS lat FROM records, g)
+_BBOX_DISTANCE = f"""{T.with_sql('records', 'features')}, g AS (SELECT feature_order, w AS fw, s AS fs, e AS fe, n AS fn FROM features WHERE category = 'wetlands'),
+d AS (SELECT public_id, greatest(fw - e, w - fe, 0) / 1000000.0::DOUBLE AS dx, greatest(fs - n, s - fn, 0) / 1000000.0::DOUBLE AS dy, (s + n + fs + fn) / 4.0::DOUBLE / 1000000.0::DOUBLE AS lat FROM records JOIN g ON feature_order = owner_key)
 SELECT public_id, floor(sqrt(power(dx * 111320 * cos(radians(lat)), 2) + power(dy * 110540, 2)) * 10 + 0.5) / 10 AS metres FROM d"""
 
 
@@ -332,23 +332,37 @@ def agenda_descriptions(spark, sf):
 
 
 def links_discover(spark, sf):
-    """Addresses of each page's links that hold 'http' but not 'page=', the first of each."""
-    found = agenda.wanted_links(agenda.links(T.table(spark, sf, "pages")), ("http",), ("page=",))
+    """Addresses of each page's links that hold '/' and 'e' but not 'th', the first of each."""
+    found = agenda.wanted_links(agenda.links(T.table(spark, sf, "pages")), ("/", "e"), ("th",))
     return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.min("href").alias("least"))
 
 
 def normalize_features(spark, sf):
-    """City subdivisions normalized from feature properties and GeoJSON."""
-    o = T.records(spark, sf).where("rec_key % 50 = 0")
+    """Features of three sources, dealt by key, each by its own normalizer."""
+    o, k = T.records(spark, sf), F.col("rec_key")
     ring = F.format_string("[[%s,%s],[%s,%s],[%s,%s],[%s,%s],[%s,%s]]", *(T.degrees(F.col(c)).cast("string") for c in ("w", "s", "e", "s", "e", "n", "w", "n", "w", "s")))
     props = F.create_map(F.lit("SubdID"), F.col("rec_key").cast("string"), F.lit("Subdivision"), F.col("title"), F.lit("Phase"), F.when(F.col("rec_key") % 100 == 0, "Phase 2"), F.lit("Status"), F.initcap("status"), F.lit("HousingUnits"), F.lit("12"), F.lit("HousingUnitType"), F.lit("Homes"))
-    f = o.select(F.lit("city_subdivisions").alias("source"), props.alias("properties"), F.format_string('{"type":"Polygon","coordinates":[%s]}', ring).alias("geometry_json"))
+    day = F.col("date_discovered").cast("date")
+    permit = F.create_map(F.lit("PermitID"), k.cast("string"), F.lit("Subdivision"), F.when(k % 2 == 0, F.col("title")), F.lit("OccupancyType"), F.when(k % 6 == 1, F.lit("Single Family")), F.lit("Permit_Issue_DateTime"), (F.unix_date(day).cast("long") * 86400000).cast("string"))
+    county = F.create_map(F.lit("Subd_ID"), k.cast("string"), F.lit("Subd_Name"), F.when(k % 5 != 0, F.col("title")), F.lit("Parcels"), (k % 9).cast("string"), F.lit("YearFiled"), F.year(day).cast("string"), F.lit("DateFiled"), F.when(k % 4 != 0, F.date_format(day, "M/d/yyyy")))
+    point = F.format_string('{"type":"Point","coordinates":[%s,%s]}', T.degrees(F.col("w")).cast("string"), T.degrees(F.col("s")).cast("string"))
+    polygon = F.format_string('{"type":"Polygon","coordinates":[%s]}', ring)
+    by = lambda a, b, c: F.when(k % 3 == 0, a).when(k % 3 == 1, b).otherwise(c)
+    f = o.select(by(*map(F.lit, ("city_subdivisions", "city_permits", "county_subdivisions"))).alias("source"), by(props, permit, county).alias("properties"), by(polygon, point, polygon).alias("geometry_json"))
     n = normalize.normalize_all(f, "2024-02-01T00:00:00Z")
-    return n.select("source_record_id", "public_id", "title", "status", "description", "confidence_level", "date_discovered", F.size("source_fields").alias("fields"))
+    return n.select("source_key", "source_record_id", "public_id", "title", "status", "source_status", "description", "permit_issue_date", "approval_date", "confidence_level", "date_discovered")
 
 
-_FEATURES = f"""{T.with_sql('records')} SELECT rec_key::VARCHAR AS source_record_id, 'city-subdivision-' || rec_key || '-' || substr(sha256('city_subdivisions' || chr(0) || rec_key), 1, 16) AS public_id,
- concat_ws(' ', title, CASE WHEN rec_key % 100 = 0 THEN 'Phase 2' END) AS title, status, upper(status[1]) || status[2:] || ' subdivision record with 12 homes.' AS description, 'high' AS confidence_level, '2024-02-01' AS date_discovered, 6 AS fields FROM records WHERE rec_key % 50 = 0"""
+_FEATURES = f"""{T.with_sql('records')},
+c AS (SELECT *, 'city-subdivision-' || rec_key || '-' || substr(sha256('city_subdivisions' || chr(0) || rec_key), 1, 16) AS a, 'city-permit-' || rec_key || '-' || substr(sha256('city_permits' || chr(0) || rec_key), 1, 16) AS b,
+ 'county-subdivision-' || rec_key || '-' || substr(sha256('county_subdivisions' || chr(0) || rec_key), 1, 16) AS c, concat_ws(' / ', CASE WHEN rec_key % 2 = 0 THEN title END, CASE WHEN rec_key % 6 = 1 THEN 'Single Family' END) AS named,
+ CASE WHEN rec_key % 4 <> 0 THEN date_discovered ELSE date_discovered[1:4] END AS filed FROM records)
+SELECT CASE rec_key % 3 WHEN 0 THEN 'city_subdivisions' WHEN 1 THEN 'city_permits' ELSE 'county_subdivisions' END AS source_key, rec_key::VARCHAR AS source_record_id, CASE rec_key % 3 WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS public_id,
+ CASE rec_key % 3 WHEN 0 THEN concat_ws(' ', title, CASE WHEN rec_key % 100 = 0 THEN 'Phase 2' END) WHEN 1 THEN coalesce(nullif(named, ''), 'Building Permit ' || rec_key) ELSE CASE WHEN rec_key % 5 <> 0 THEN title ELSE 'Unnamed subdivision' END END AS title,
+ CASE rec_key % 3 WHEN 0 THEN status WHEN 1 THEN 'issued_permit' ELSE 'completed' END AS status,
+ CASE rec_key % 3 WHEN 0 THEN upper(status[1]) || status[2:] WHEN 1 THEN 'Issued' ELSE 'Filed subdivision (' || filed || ')' END AS source_status,
+ CASE rec_key % 3 WHEN 0 THEN upper(status[1]) || status[2:] || ' subdivision record with 12 homes.' WHEN 1 THEN 'Issued building permit; its point isn''t a parcel.' ELSE 'Recorded county subdivision polygon. Source parcel count: ' || (rec_key % 9) || '. Filed: ' || filed || '.' END AS description,
+ CASE WHEN rec_key % 3 = 1 THEN date_discovered END AS permit_issue_date, CASE WHEN rec_key % 3 = 2 AND rec_key % 4 <> 0 THEN date_discovered END AS approval_date, 'high' AS confidence_level, '2024-02-01' AS date_discovered FROM c"""
 
 QUERIES = {
     "normalize_titles": (normalize_titles, _TITLES),
@@ -369,7 +383,7 @@ QUERIES = {
     "artifact_keys": (artifact_keys, "SELECT page_id, 'sha256/' || substr(sha256(coalesce(html, '')), 1, 2) || '/' || substr(sha256(coalesce(html, '')), 3, 2) || '/' || sha256(coalesce(html, '')) AS blob_key, octet_length(encode(coalesce(html, ''))) AS bytes, ceil(octet_length(encode(coalesce(html, ''))) / 1024)::BIGINT AS parts, substr(sha256('pages:html:' || url), 1, 24) AS artifact_id FROM pages"),
     "lock_keys": (lock_keys, "SELECT n_name, (CASE WHEN v >= 9223372036854775808 THEN v - 18446744073709551616 ELSE v END)::BIGINT AS lock_key FROM (SELECT n_name, ('0x' || substr(sha256(n_name), 1, 8))::BIGINT::HUGEINT * 4294967296 + ('0x' || substr(sha256(n_name), 9, 8))::BIGINT AS v FROM nation)"),
     "excerpts": (excerpts, "SELECT doc_id, nullif(substr(trim(regexp_replace(regexp_replace(text, '[^ -~\\n]', '?', 'g'), '\\s+', ' ', 'g')), 1, 700), '') AS excerpt FROM documents"),
-    "json_nesting": (json_nesting, "SELECT event_id, (event_id % 40 * 2)::INTEGER AS depth, event_id % 40 * 2 > 32 AS refused FROM events"),
+    "json_nesting": (json_nesting, "SELECT event_id, (event_id % 40 * 2 + length(regexp_replace(props, '[^{]', '', 'g')))::INTEGER AS depth, event_id % 40 * 2 + length(regexp_replace(props, '[^{]', '', 'g')) > 32 AS refused FROM events"),
     "label_lookups": (label_lookups, f"{T.with_sql('records')} SELECT public_id, upper(status[1]) || status[2:] AS label, printf('%.1f acres', (e - w) * 100.0::DOUBLE / 4046.8564224::DOUBLE) AS area FROM records"),
     "failure_backoff": (failure_backoff, "SELECT event_id, least(3600, 5 * power(2, least(user_id % 14, 10)))::BIGINT AS seconds, regexp_matches(lpad((event_id % 60000)::VARCHAR, 5, '0'), '^(08|40|53|54|57|58|72|F0)') AS retryable FROM events"),
     "geo_bbox": (geo_bbox, f"{T.with_sql('records')} SELECT public_id, w, s, e, n FROM records"),
@@ -393,5 +407,5 @@ QUERIES = {
     "agenda_descriptions": (agenda_descriptions, f"WITH {_BLOCKS} SELECT doc, block, 'Planning Commission agenda candidate for ' || lower(replace(st, ' and ', ' / ')) || CASE WHEN p_size > 0 THEN ' with ' || p_size || ' lots' ELSE '' END || '.' AS description FROM b WHERE st <> 'Discussion'"),
     "links_discover": (links_discover, r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["''][^"'']*["''][^>]*>.*?</a>')) AS anchor FROM pages),
 l AS (SELECT page_id, regexp_extract(anchor, '(?is)href\s*=\s*["'']([^"'']*)["'']', 1) AS href, lower(trim(regexp_replace(regexp_replace(regexp_replace(anchor, '(?is)^<a\s[^>]*>|</a>$', '', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS label FROM a)
-SELECT page_id, count(DISTINCT href) AS links, min(href) AS least FROM l WHERE href <> '' AND contains(label || ' ' || lower(href), 'http') AND NOT contains(label || ' ' || lower(href), 'page=') GROUP BY 1"""),
+SELECT page_id, count(DISTINCT href) AS links, min(href) AS least FROM l WHERE href <> '' AND contains(label || ' ' || lower(href), '/') AND contains(label || ' ' || lower(href), 'e') AND NOT contains(label || ' ' || lower(href), 'th') GROUP BY 1"""),
 }

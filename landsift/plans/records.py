@@ -76,8 +76,9 @@ def records_union_stores(spark, sf):
 
 
 def review_queue_id_audit(spark, sf):
-    """Ids that stand in more than one store or more than once: empty where the queue is sound."""
-    return records_union_stores(spark, sf).groupBy("public_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    """Ids that stand in more than one store or more than once: here those of customers' drafts that parts have too."""
+    drafts = T.table(spark, sf, "customer").select(F.concat(F.lit("sub-"), "c_custkey").alias("public_id"))
+    return records_union_stores(spark, sf).select("public_id").unionByName(drafts).groupBy("public_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
 def spatial_first_match_flags(spark, sf):
@@ -176,7 +177,7 @@ FROM s WHERE x * 100 >= 45 * u"""
 
 def viewport_page(spark, sf):
     """One page of a map viewport: box and status, keyset cursor, row and byte limits."""
-    view = (F.col("e") >= -86700000) & (F.col("w") <= -86600000) & (F.col("n") >= 34650000) & (F.col("s") <= 34700000)
+    view = (F.col("e") >= -86700000) & (F.col("w") <= -86600000) & (F.col("n") >= 34600000) & (F.col("s") <= 34640000)
     rows = T.records(spark, sf).where(view & F.col("status").isin("final", "layout")).select("public_id", "title", "status")
     page = tables.keyset_page(rows, "public_id", "rec-2", 500)
     return tables.running_budget(page.withColumn("all_", F.lit(0)), "all_", "public_id", F.octet_length(F.concat("public_id", "title", "status")) + 30, 16384).drop("all_")
@@ -217,7 +218,7 @@ QUERIES = {
     "record_detail": (record_detail, f"{T.with_sql('records')} SELECT {_SHOWN_SQL}, date_discovered FROM records WHERE public_id = 'rec-42'"),
     "records_geojson": (records_geojson, f"""{T.with_sql('records')} SELECT public_id, '{{"type":"Feature","id":"' || public_id || '","geometry":{{"type":"Polygon","coordinates":[[[' || w || ',' || s || '],[' || e || ',' || s || '],[' || e || ',' || n || '],[' || w || ',' || n || '],[' || w || ',' || s || ']]]}},"properties":{{"status":"' || status || '"}}}}' AS feature FROM records"""),
     "records_union_stores": (records_union_stores, f"{T.with_sql('records')} SELECT {_SHOWN_SQL}, 'processed' AS origin FROM records UNION ALL SELECT 'sub-' || p_partkey, p_name, 'proposed', 'public_submission', 'low', 'operational' FROM part"),
-    "review_queue_id_audit": (review_queue_id_audit, f"{T.with_sql('records')} SELECT public_id, count(*) AS rows FROM (SELECT public_id FROM records UNION ALL SELECT 'sub-' || p_partkey FROM part) GROUP BY 1 HAVING count(*) > 1"),
+    "review_queue_id_audit": (review_queue_id_audit, f"{T.with_sql('records')} SELECT public_id, count(*) AS rows FROM (SELECT public_id FROM records UNION ALL SELECT 'sub-' || p_partkey FROM part UNION ALL SELECT 'sub-' || c_custkey FROM customer) GROUP BY 1 HAVING count(*) > 1"),
     "spatial_first_match_flags": (spatial_first_match_flags, f"{_FLAGS} SELECT * FROM flags"),
     "spatial_intersects_pairs": (spatial_intersects_pairs, f"{T.with_sql('records', 'features')} SELECT public_id, count(*) AS features, min(feature_id) AS least FROM records r JOIN features f ON r.development_type = 'subdivision' AND r.w <= f.e AND f.w <= r.e AND r.s <= f.n AND f.s <= r.n GROUP BY 1"),
     "spatial_exact_flags": (spatial_exact_flags, _EXACT),
@@ -228,7 +229,7 @@ QUERIES = {
     "watch_exact_matches": (watch_exact_matches, f"{T.with_sql('records', 'watches')} SELECT watch_id, count(*) AS records FROM records r JOIN watches k ON r.w <= k.e AND k.w <= r.e AND r.s <= k.n AND k.s <= r.n AND (greatest(k.w, r.w) - r.w) + (greatest(k.s, r.s) - r.s) <= r.e - r.w GROUP BY 1"),
     "similarity_duplicates": (similarity_duplicates, _DUPLICATES),
     "similarity_token_fanout": (similarity_token_fanout, f"{_TOKENS} SELECT token, titles, titles <= 100 AS kept FROM c"),
-    "viewport_page": (viewport_page, f"{T.with_sql('records')}, v AS (SELECT public_id, title, status FROM records WHERE e >= -86700000 AND w <= -86600000 AND n >= 34650000 AND s <= 34700000 AND status IN ('final', 'layout') AND public_id > 'rec-2' ORDER BY public_id LIMIT 500), t AS (SELECT *, sum(strlen(public_id || title || status) + 30) OVER (ORDER BY public_id) AS total FROM v) SELECT public_id, title, status FROM t WHERE total <= 16384"),
+    "viewport_page": (viewport_page, f"{T.with_sql('records')}, v AS (SELECT public_id, title, status FROM records WHERE e >= -86700000 AND w <= -86600000 AND n >= 34600000 AND s <= 34640000 AND status IN ('final', 'layout') AND public_id > 'rec-2' ORDER BY public_id LIMIT 500), t AS (SELECT *, sum(strlen(public_id || title || status) + 30) OVER (ORDER BY public_id) AS total FROM v) SELECT public_id, title, status FROM t WHERE total <= 16384"),
     "title_search": (title_search, f"{T.with_sql('records')} SELECT public_id, title FROM records WHERE contains(lower(title), 'record 77') ORDER BY public_id LIMIT 20"),
     "keyset_page": (keyset_page, f"{T.with_sql('records')} SELECT rec_key, public_id, status FROM records WHERE rec_key > 1000 ORDER BY rec_key LIMIT 250"),
     "tile_features": (tile_features, _TILE),

@@ -53,14 +53,14 @@ def _registry(spark, sf, before: str) -> DataFrame:
 
 
 def _batch(spark, sf, month: str) -> DataFrame:
-    o = T.observations(spark, sf).where(F.col("batch") == month)
+    o = T.observations(spark, sf).where(F.col("batch") >= month)
     return tables.last_wins(o.select(*merge.ANCHOR, "content", "seen_on", F.concat_ws("|", "seen_on", "content").alias("pos")), merge.ANCHOR, "pos").select(*merge.ANCHOR, "content", "seen_on")
 
 
 MONTH = "1998-01"
 _MERGED = f"""{T.with_sql('observations')},
 reg AS (SELECT source_key, record_id, min(seen_on) AS discovered_on, max(seen_on) AS last_seen_on, max_by(content, seen_on || '|' || content) AS content FROM observations WHERE batch < '{MONTH}' GROUP BY 1, 2),
-new AS (SELECT source_key, record_id, max_by(content, seen_on || '|' || content) AS content, max(seen_on) AS seen_on FROM observations WHERE batch = '{MONTH}' GROUP BY 1, 2),
+new AS (SELECT source_key, record_id, max_by(content, seen_on || '|' || content) AS content, max(seen_on) AS seen_on FROM observations WHERE batch >= '{MONTH}' GROUP BY 1, 2),
 m AS (SELECT coalesce(reg.source_key, new.source_key) AS source_key, coalesce(reg.record_id, new.record_id) AS record_id, coalesce(discovered_on, seen_on) AS discovered_on, coalesce(seen_on, last_seen_on) AS last_seen_on,
  CASE WHEN reg.content IS NULL THEN 'inserted' WHEN new.content IS NULL THEN 'kept' WHEN reg.content <> new.content THEN 'changed' ELSE 'seen' END AS change, coalesce(new.content, reg.content) AS content
  FROM reg FULL JOIN new ON reg.source_key = new.source_key AND reg.record_id = new.record_id)"""
@@ -87,13 +87,15 @@ def merge_source_missing(spark, sf):
 
 
 def merge_quarantine(spark, sf):
-    o = T.observations(spark, sf).where(F.col("batch") < MONTH)
+    o = T.observations(spark, sf)
     bad = merge.quarantine(o.select(*merge.ANCHOR, "content", "seen_on"))[1]
     return bad.groupBy("source_key", "problem").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("record_id").alias("anchors"))
 
 
 def merge_id_collisions(spark, sf):
-    return merge.collisions(merge.merge(_registry(spark, sf, MONTH), _batch(spark, sf, MONTH)))
+    """Ids made without the source's name, as they would collide: the same line under two return flags."""
+    merged = merge.merge(_registry(spark, sf, MONTH), _batch(spark, sf, MONTH))
+    return merge.collisions(merged.withColumn("public_id", F.concat(F.lit("rec-"), "record_id")))
 
 
 def _backfill(spark, sf) -> DataFrame:
@@ -174,8 +176,8 @@ def review_projection(spark, sf):
 
 
 def review_decide(spark, sf):
-    p = review.projection(review.transitions(T.actions(spark, sf).where("event_id % 3 = 0")))
-    c = T.table(spark, sf, "customer").where("c_custkey < 200").select(F.concat(F.lit("cand-"), "c_custkey").alias("candidate_id"), F.lit("approved").alias("action"), (F.col("c_custkey") % 3).cast("long").alias("expected_revision"))
+    p = review.projection(review.transitions(T.actions(spark, sf)))
+    c = T.table(spark, sf, "customer").select(F.concat(F.lit("cand-"), "c_custkey").alias("candidate_id"), F.lit("approved").alias("action"), (F.col("c_custkey") % 3).cast("long").alias("expected_revision"))
     return review.decide(p, c).select("candidate_id", "outcome", "review_status", "state_revision")
 
 
@@ -216,7 +218,7 @@ def latest_version_pick(spark, sf):
 
 def agenda_candidate_revisions(spark, sf):
     """Revisions of a source's documents in order of id: only changed content counts."""
-    d = T.table(spark, sf, "documents").select("source", "doc_id", S.fingerprint(F.substring(S.collapse(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z]", "")), 1, 1)).alias("print"))
+    d = T.table(spark, sf, "documents").select("source", "doc_id", S.fingerprint(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z]", "")).alias("print"))
     r = review.content_revisions(d, "source", "print", "doc_id")
     return r.select("source", "doc_id", "is_new", F.col("revision").cast("long").alias("revision"))
 
@@ -374,17 +376,9 @@ def display_band_report(spark, sf):
 
 
 def dag_topological_check(spark, sf):
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        _checkpoint_dir(spark)
     return reports.topological_levels(T.dag_edges(spark, sf))
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    import tempfile
-
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="landsift-"))
-
-
 _DAG = T.with_sql("edges", recursive=True) + """, n AS (SELECT node FROM edges UNION SELECT depends_on FROM edges),
 w(node, level) AS (SELECT node, 0 FROM n WHERE node NOT IN (SELECT node FROM edges) UNION ALL SELECT e.node, w.level + 1 FROM w JOIN edges e ON e.depends_on = w.node)
 SELECT node, max(level) AS level FROM w GROUP BY 1"""
@@ -405,21 +399,21 @@ QUERIES = {
     "merge_change_counts": (merge_change_counts, f"{_MERGED} SELECT source_key, change, count(*) AS n FROM m GROUP BY 1, 2"),
     "merge_replay_noop": (merge_replay_noop, f"{_MERGED} SELECT CASE WHEN change = 'kept' THEN 'kept' ELSE 'seen' END AS change, count(*) AS n FROM m GROUP BY 1"),
     "merge_source_missing": (merge_source_missing, f"{_MERGED} SELECT source_key, record_id, last_seen_on FROM m WHERE change = 'kept' AND source_key = 'A'"),
-    "merge_quarantine": (merge_quarantine, f"{T.with_sql('observations')}, c AS (SELECT source_key, record_id, count(*) AS n FROM observations WHERE batch < '{MONTH}' GROUP BY 1, 2 HAVING count(*) > 1) SELECT source_key, 'duplicate_anchor' AS problem, sum(n)::BIGINT AS rows, count(*) AS anchors FROM c GROUP BY 1"),
-    "merge_id_collisions": (merge_id_collisions, f"{_MERGED} SELECT 'rec-' || record_id AS public_id, count(*) AS anchors FROM m WHERE false GROUP BY 1"),
+    "merge_quarantine": (merge_quarantine, f"{T.with_sql('observations')}, c AS (SELECT source_key, record_id, count(*) AS n FROM observations GROUP BY 1, 2 HAVING count(*) > 1) SELECT source_key, 'duplicate_anchor' AS problem, sum(n)::BIGINT AS rows, count(*) AS anchors FROM c GROUP BY 1"),
+    "merge_id_collisions": (merge_id_collisions, f"{_MERGED} SELECT 'rec-' || record_id AS public_id, count(*) AS anchors FROM m GROUP BY 1 HAVING count(*) > 1"),
     "backfill_report": (backfill_report, f"{_BACKFILL} SELECT * FROM r"),
     "backfill_summary": (backfill_summary, f"{_BACKFILL} SELECT count(*) AS rows, count(*) FILTER (kind = 'candidate') AS candidates, count(*) FILTER (kind = 'diagnostic') AS diagnostics FROM r"),
     "review_transitions": (review_transitions, f"{_LEGAL} SELECT candidate_id, event_id, before, action AS after, revision FROM l"),
     "review_projection": (review_projection, f"{_LEGAL} SELECT candidate_id, review_status, state_revision, CASE WHEN review_status = 'needs_info' THEN 'approve,needs_info,reject' ELSE '' END AS allowed_actions, CASE WHEN review_status = 'needs_info' THEN 'open' ELSE 'final' END AS reason, requests FROM p"),
-    "review_decide": (review_decide, _LEGAL.replace("FROM events) WHERE action IS NOT NULL)", "FROM events WHERE event_id % 3 = 0) WHERE action IS NOT NULL)", 1) + """
+    "review_decide": (review_decide, _LEGAL + """
 SELECT 'cand-' || c_custkey AS candidate_id, CASE WHEN state_revision IS NULL THEN 'unknown_candidate' WHEN review_status <> 'needs_info' THEN 'not_actionable' WHEN c_custkey % 3 <> state_revision THEN 'revision_conflict' ELSE 'applied' END AS outcome,
  CASE WHEN review_status = 'needs_info' AND c_custkey % 3 = state_revision THEN 'approved' ELSE review_status END AS review_status, CASE WHEN review_status = 'needs_info' AND c_custkey % 3 = state_revision THEN state_revision + 1 ELSE state_revision END AS state_revision
-FROM customer LEFT JOIN p ON p.candidate_id = 'cand-' || c_custkey WHERE c_custkey < 200"""),
+FROM customer LEFT JOIN p ON p.candidate_id = 'cand-' || c_custkey"""),
     "decision_import_outcomes": (decision_import_outcomes, _IMPORT),
     "record_versions": (record_versions, f"{_VERSIONS} SELECT * FROM v"),
     "publication_events": (publication_events, f"{_VERSIONS} SELECT owner_key, rec_key, version_number, CASE WHEN previous_status IS NULL THEN 'published' WHEN status <> previous_status THEN 'changed' ELSE 'context_changed' END AS kind FROM v"),
     "latest_version_pick": (latest_version_pick, f"{T.with_sql('records')} SELECT owner_key, arg_max(rec_key, (date_discovered, rec_key)) AS rec_key, arg_max(status, (date_discovered, rec_key)) AS status, max(date_discovered) AS date_discovered FROM records GROUP BY 1"),
-    "agenda_candidate_revisions": (agenda_candidate_revisions, "WITH p AS (SELECT source, doc_id, substr(regexp_replace(coalesce(text, ''), '[^a-z]', '', 'g'), 1, 1) AS x FROM documents), n AS (SELECT source, doc_id, coalesce(x <> lag(x) OVER (PARTITION BY source ORDER BY doc_id), true) AS is_new FROM p) SELECT source, doc_id, is_new, (sum(is_new::INTEGER) OVER (PARTITION BY source ORDER BY doc_id))::BIGINT AS revision FROM n"),
+    "agenda_candidate_revisions": (agenda_candidate_revisions, "WITH p AS (SELECT source, doc_id, regexp_replace(coalesce(text, ''), '[^a-z]', '', 'g') AS x FROM documents), n AS (SELECT source, doc_id, coalesce(x <> lag(x) OVER (PARTITION BY source ORDER BY doc_id), true) AS is_new FROM p) SELECT source, doc_id, is_new, (sum(is_new::INTEGER) OVER (PARTITION BY source ORDER BY doc_id))::BIGINT AS revision FROM n"),
     "change_log_topk": (change_log_topk, _LOG),
     "delivery_plan": (delivery_plan, "WITH q AS (SELECT event_id, user_id % 30 AS k FROM events WHERE event_id % 2 = 0 ORDER BY event_id LIMIT 300) SELECT 'alert-' || event_id AS alert_id, 'watch-' || k AS watch_id, event_id AS sort_order, CASE WHEN k >= 25 OR k % 4 = 0 THEN 'suppressed' ELSE 'sent' END AS plan FROM q"),
     "history_inventory_anti_joins": (history_inventory_anti_joins, f"{T.with_sql('actions')} SELECT a AS lacks, (SELECT count(*) FROM customer WHERE 'cand-' || c_custkey NOT IN (SELECT candidate_id FROM actions WHERE action = a)) AS candidates FROM (VALUES ('approved'), ('needs_info'), ('rejected')) v(a)"),

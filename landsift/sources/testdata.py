@@ -85,9 +85,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles from the first eight words of documents: even ids staged, odd ids published."""
-    words = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"^[ \t-\r]+", ""), r"[ \t-\r]+")
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(words, 1, 8), " ").alias("title"), (F.col("doc_id") % 2 == 0).alias("staged"), F.when(F.col("doc_id") % 4 < 2, "final").otherwise("layout").alias("status"))
+    """Whole texts of documents as titles: even ids staged, odd ids published."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("title"), (F.col("doc_id") % 2 == 0).alias("staged"), F.when(F.col("doc_id") % 4 < 2, "final").otherwise("layout").alias("status"))
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +140,7 @@ SQL = {
     "observations": """observations AS (SELECT l_returnflag AS source_key, l_orderkey || '-' || l_linenumber AS record_id, strftime(l_shipdate, '%Y-%m') AS batch,
  strftime(l_shipdate, '%Y-%m-%d') AS seen_on, CASE l_linestatus WHEN 'F' THEN 'complete' ELSE 'partial' END AS coverage,
  l_partkey || '|' || l_suppkey || '|' || l_quantity::BIGINT AS content, l_partkey, l_suppkey, l_orderkey, l_linenumber FROM lineitem)""",
-    "titles": """titles AS (SELECT doc_id, array_to_string(string_split_regex(regexp_replace(coalesce(text, ''), '^[ \\t-\\r]+', ''), '[ \\t-\\r]+')[1:8], ' ') AS title,
+    "titles": """titles AS (SELECT doc_id, coalesce(text, '') AS title,
  doc_id % 2 = 0 AS staged, CASE WHEN doc_id % 4 < 2 THEN 'final' ELSE 'layout' END AS status FROM documents)""",
     "attempts": "attempts AS (SELECT event_id, ts, 'client-' || user_id AS client, event_type AS route FROM events)",
     "actions": """actions AS (SELECT * FROM (SELECT 'cand-' || user_id AS candidate_id, event_id, ts,

@@ -9,7 +9,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from landsift.functions.geometry import bboxes_intersect
+from landsift.functions.geometry import bboxes_intersect, grid_cells
 from landsift.operators.filters import watch_predicate
 
 
@@ -20,14 +20,15 @@ def attempts_by_window(stream: DataFrame, window: str = "1 hour", late: str = "2
     return counted.select(F.col("window.start").alias("window_start"), "client", "route", "attempts", F.greatest(F.col("attempts") - limit, F.lit(0)).alias("rejected"))
 
 
-def alerts(records: DataFrame, watches: DataFrame, most_watches: int = 100_000) -> DataFrame:
+def alerts(records: DataFrame, watches: DataFrame, cell: float = 0.05) -> DataFrame:
     """Alerts of a stream of records (public_id, status, development_type, box) against a table of watches.
 
-    The watches are broadcast when there are ``most_watches`` at most, which is checked; more must be
-    split over several streams.
+    An equi-join on grid cells, as in the batch form: each record meets the watches of its own cells only, and the
+    watches may be any number. A pair is kept in the cell of the lower left corner of the boxes' common part.
     """
-    if watches.limit(most_watches + 1).count() > most_watches:
-        raise ValueError(f"more than {most_watches} watches")
-    w = watches.select("watch_id", "statuses", "types", F.col("box").alias("watch_box"))
-    near = bboxes_intersect(F.col("box"), F.col("watch_box")) & watch_predicate(F.col("status"), F.col("development_type"), F.col("statuses"), F.col("types"))
-    return records.join(F.broadcast(w), near).select("watch_id", "public_id")
+    w = watches.select("watch_id", "statuses", "types", F.col("box").alias("watch_box"), F.explode(grid_cells(F.col("box"), cell)).alias("cell_"))
+    r = records.withColumn("cell_", F.explode(grid_cells(F.col("box"), cell)))
+    a, b = F.col("box"), F.col("watch_box")
+    home = (F.floor(F.greatest(a["w"], b["w"]) / cell) == F.col("cell_.i")) & (F.floor(F.greatest(a["s"], b["s"]) / cell) == F.col("cell_.j"))
+    wanted = watch_predicate(F.col("status"), F.col("development_type"), F.col("statuses"), F.col("types"))
+    return r.join(w, "cell_").where(bboxes_intersect(a, b) & home & wanted).select("watch_id", "public_id")
