@@ -172,10 +172,14 @@ def point_on_segment(p: Column, s: Column) -> Column:
     return (F.abs(F.coalesce(off_line(p, s), F.lit(0.0))) <= EPSILON) & _in_box(p, s)
 
 
-def segments_intersect(s: Column, t: Column) -> Column:
+def _crosses(s: Column, t: Column) -> Column:
+    """Segments that pass through each other, clear of all ends; null where one has no length."""
     o1, o2, o3, o4 = off_line(t["a"], s), off_line(t["b"], s), off_line(s["a"], t), off_line(s["b"], t)
-    crossing = ((o1 > 0) != (o2 > 0)) & ((o3 > 0) != (o4 > 0)) & (F.abs(o1) > EPSILON) & (F.abs(o2) > EPSILON) & (F.abs(o3) > EPSILON) & (F.abs(o4) > EPSILON)
-    return F.coalesce(crossing, F.lit(False)) | point_on_segment(t["a"], s) | point_on_segment(t["b"], s) | point_on_segment(s["a"], t) | point_on_segment(s["b"], t)
+    return ((o1 > 0) != (o2 > 0)) & ((o3 > 0) != (o4 > 0)) & (F.abs(o1) > EPSILON) & (F.abs(o2) > EPSILON) & (F.abs(o3) > EPSILON) & (F.abs(o4) > EPSILON)
+
+
+def segments_intersect(s: Column, t: Column) -> Column:
+    return F.coalesce(_crosses(s, t), F.lit(False)) | point_on_segment(t["a"], s) | point_on_segment(t["b"], s) | point_on_segment(s["a"], t) | point_on_segment(s["b"], t)
 
 
 def point_in_ring(p: Column, ring: Column) -> Column:
@@ -260,6 +264,42 @@ def ring_problem(ring: Column) -> Column:
     )
 
 
+def geometry_class(g: Column) -> Column:
+    """point, line, polygon or mixed; null for an empty geometry."""
+    has = lambda k: (F.size(g[k]) > 0).cast("int")
+    return F.when(has("polys") + has("lines") + has("points") > 1, "mixed").when(has("polys") == 1, "polygon").when(has("lines") == 1, "line").when(has("points") == 1, "point")
+
+
+def same_geometry(a: Column, b: Column) -> Column:
+    """Whether two geometries have the same parts and coordinates in the same order."""
+    return a.eqNullSafe(b)
+
+
+def geodesic_area_km2(ring: Column) -> Column:
+    """The area of a ring in degrees on a sphere of the earth's mean radius; within half a per cent of the ellipsoid's."""
+    turn = lambda s: F.radians(s["b"]["x"] - s["a"]["x"]) * (2 + F.sin(F.radians(s["a"]["y"])) + F.sin(F.radians(s["b"]["y"])))
+    return F.abs(F.aggregate(_pairs(ring), F.lit(0.0), lambda t, s: t + turn(s))) * (6371.0088**2 / 2)
+
+
+def polygon_problem(rings: Column, most_km2: float | None = None) -> Column:
+    """Null for a sound polygon (shell first, then holes), else what is wrong: a ring's own problem, rings that cross, a hole outside of the shell, holes in each other, too large an area.
+
+    A hole may touch the shell or another hole in single points.
+    """
+    shell, holes = rings[0], F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
+    own = F.get(F.array_compact(F.transform(rings, ring_problem)), F.lit(0))
+    proper = lambda s, t: F.coalesce(_crosses(s, t), F.lit(False))
+    crossing = lambda r, q: F.exists(segments(r), lambda s: F.exists(segments(q), lambda t: proper(s, t)))
+    numbered = F.transform(rings, lambda r, i: F.struct(r.alias("r"), i.alias("i")))
+    cross = F.exists(numbered, lambda a: F.exists(numbered, lambda b: (a["i"] < b["i"]) & crossing(a["r"], b["r"])))
+    outside = F.exists(holes, lambda h: F.exists(h, lambda p: ~point_in_polygon(p, F.array(shell))))
+    inner = F.transform(holes, lambda r, i: F.struct(r.alias("r"), i.alias("i")))
+    nest = F.exists(inner, lambda a: F.exists(inner, lambda b: (a["i"] != b["i"]) & F.forall(b["r"], lambda p: point_in_polygon(p, F.array(a["r"])))))
+    area = geodesic_area_km2(shell) - F.aggregate(holes, F.lit(0.0), lambda t, h: t + geodesic_area_km2(h))
+    large = F.lit(False) if most_km2 is None else area > most_km2
+    return F.when(F.size(rings) == 0, "too_few_points").when(own.isNotNull(), own).when(cross, "rings_cross").when(outside, "hole_outside").when(nest, "holes_nest").when(large, "too_large")
+
+
 def self_intersects(ring: Column) -> Column:
     """Whether two edges that aren't neighbours meet."""
     own = F.transform(segments(ring), lambda s, i: F.struct(s["a"].alias("a"), s["b"].alias("b"), i.alias("i")))

@@ -195,7 +195,7 @@ def backoff_seconds(attempts: Column) -> Column:
 
 def retry_delay(attempt: Column, retry_after: Column) -> Column:
     """What the server asked for, 5 s at most, else 0.25 * 2^attempt."""
-    return F.least(F.lit(5.0), F.coalesce(F.greatest(retry_after, F.lit(0.0)), 0.25 * F.pow(F.lit(2.0), attempt)))
+    return F.least(F.lit(5.0), F.when(retry_after.isNotNull(), F.greatest(retry_after, F.lit(0.0))).otherwise(0.25 * F.pow(F.lit(2.0), attempt)))
 
 
 def nesting_depth(text: Column) -> Column:

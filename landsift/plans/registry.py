@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landsift.plans import fields, records, state
+from landsift.plans import fields, intake, records, state
 
-_ALL = records.QUERIES | fields.QUERIES | state.QUERIES
+_ALL = records.QUERIES | fields.QUERIES | state.QUERIES | intake.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
