@@ -9,6 +9,7 @@ consistent across pairs.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyspark.sql.functions as F
@@ -281,6 +282,18 @@ def geodesic_area_km2(ring: Column) -> Column:
     return F.abs(F.aggregate(_pairs(ring), F.lit(0.0), lambda t, s: t + turn(s))) * (6371.0088**2 / 2)
 
 
+@F.arrow_udf(T.StringType())
+def _ring_faults(rings: pa.Array) -> pa.Array:
+    """pairs.ring_fault of each polygon whose points are all there; a ring's own problems are told apart."""
+
+    def one(value):
+        if value is None or any(r is None or any(p is None or p["x"] is None or p["y"] is None for p in r) for r in value):
+            return None
+        return pairs.ring_fault([np.array([(p["x"], p["y"]) for p in r], float).reshape(-1, 2) for r in value])
+
+    return pa.array([one(v) for v in rings.to_pylist()], pa.string())
+
+
 def polygon_problem(rings: Column, most_km2: float | None = None) -> Column:
     """Null for a sound polygon (shell first, then holes), else what is wrong: a ring's own problem, rings that cross, a hole outside of the shell, holes in each other, too large an area.
 
@@ -288,16 +301,9 @@ def polygon_problem(rings: Column, most_km2: float | None = None) -> Column:
     """
     shell, holes = rings[0], F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
     own = F.get(F.array_compact(F.transform(rings, ring_problem)), F.lit(0))
-    proper = lambda s, t: F.coalesce(_crosses(s, t), F.lit(False))
-    crossing = lambda r, q: F.exists(segments(r), lambda s: F.exists(segments(q), lambda t: proper(s, t)))
-    numbered = F.transform(rings, lambda r, i: F.struct(r.alias("r"), i.alias("i")))
-    cross = F.exists(numbered, lambda a: F.exists(numbered, lambda b: (a["i"] < b["i"]) & crossing(a["r"], b["r"])))
-    outside = F.exists(holes, lambda h: F.exists(h, lambda p: ~point_in_polygon(p, F.array(shell))))
-    inner = F.transform(holes, lambda r, i: F.struct(r.alias("r"), i.alias("i")))
-    nest = F.exists(inner, lambda a: F.exists(inner, lambda b: (a["i"] != b["i"]) & F.forall(b["r"], lambda p: point_in_polygon(p, F.array(a["r"])))))
     area = geodesic_area_km2(shell) - F.aggregate(holes, F.lit(0.0), lambda t, h: t + geodesic_area_km2(h))
     large = F.lit(False) if most_km2 is None else area > most_km2
-    return F.when(F.size(rings) == 0, "too_few_points").when(own.isNotNull(), own).when(cross, "rings_cross").when(outside, "hole_outside").when(nest, "holes_nest").when(large, "too_large")
+    return F.coalesce(own, F.when(F.size(rings) == 0, "too_few_points"), _ring_faults(rings), F.when(large, "too_large"))
 
 
 def self_intersects(ring: Column) -> Column:

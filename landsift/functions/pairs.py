@@ -97,7 +97,7 @@ def _to_edge(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.hypot(*(p - (a + t[:, None] * d)).T)
 
 
-def _crossing(a, b, c, d) -> np.ndarray:
+def _crossing(a, b, c, d, near: float = NEAR) -> np.ndarray:
     """Edges that pass through each other, clear of all ends."""
 
     def off(p, q, r):  # distance of r from the line through p and q, with its side
@@ -105,7 +105,7 @@ def _crossing(a, b, c, d) -> np.ndarray:
         return (u[:, 0] * (r[:, 1] - p[:, 1]) - u[:, 1] * (r[:, 0] - p[:, 0])) / np.hypot(*u.T)
 
     o1, o2, o3, o4 = off(a, b, c), off(a, b, d), off(c, d, a), off(c, d, b)
-    clear = np.min(np.abs([o1, o2, o3, o4]), axis=0) > NEAR
+    clear = np.min(np.abs([o1, o2, o3, o4]), axis=0) > near
     return clear & ((o1 > 0) != (o2 > 0)) & ((o3 > 0) != (o4 > 0))
 
 
@@ -160,3 +160,37 @@ def measures(left: pa.Array, right: pa.Array, project: bool, distance: bool) ->
     _inside(a, b, close[~met[close]], met)
     _inside(b, a, close[~met[close]], met)
     return met, np.where(met, 0.0, least)
+
+
+def _within(points: np.ndarray, a: np.ndarray, b: np.ndarray, near: float) -> np.ndarray:
+    """Which points lie in the ring of the edges a to b, its boundary included."""
+    out = np.zeros(len(points), bool)
+    for at in range(0, len(points), max(1, MOST // max(len(a), 1))):
+        p = points[at : at + max(1, MOST // max(len(a), 1))]
+        n, m = len(p), len(a)
+        q, s, e = np.repeat(p, m, axis=0), np.tile(a, (n, 1)), np.tile(b, (n, 1))
+        over = (s[:, 1] > q[:, 1]) != (e[:, 1] > q[:, 1])
+        rise = np.where(over, e[:, 1] - s[:, 1], 1.0)
+        left = over & (q[:, 0] < (e[:, 0] - s[:, 0]) * (q[:, 1] - s[:, 1]) / rise + s[:, 0])
+        out[at : at + n] = (left.reshape(n, m).sum(axis=1) % 2 == 1) | (_to_edge(q, s, e) <= near).reshape(n, m).any(axis=1)
+    return out
+
+
+def ring_fault(rings: list[np.ndarray], near: float = 1e-9) -> str | None:
+    """What is wrong between the closed rings of one polygon: rings_cross, hole_outside (of the shell), holes_nest, or nothing. Touching is allowed."""
+    if len(rings) < 2:
+        return None
+    edges = [_edges(r, np.zeros(len(r), np.int64), True)[:2] for r in rings]
+    for k, (a, b) in enumerate(edges):
+        for c, d in edges[k + 1 :]:
+            step = max(1, MOST // max(len(c), 1))
+            for at in range(0, len(a), step):
+                s, e = a[at : at + step], b[at : at + step]
+                n, m = len(s), len(c)
+                if n and m and _crossing(np.repeat(s, m, axis=0), np.repeat(e, m, axis=0), np.tile(c, (n, 1)), np.tile(d, (n, 1)), near).any():
+                    return "rings_cross"
+    if not all(_within(r, *edges[0], near).all() for r in rings[1:]):
+        return "hole_outside"
+    if any(i != j and _within(rings[j], *edges[i], near).all() for i in range(1, len(rings)) for j in range(1, len(rings))):
+        return "holes_nest"
+    return None
