@@ -12,15 +12,19 @@ compared exactly:
 * then, in buckets that still hold several components, all pairs of different components where the
   bucket is small, else every class with eight more pivots;
 * last, in large buckets that still aren't one component, all classes outside of the bucket's
-  largest component against all its classes, in chunks of about CHUNK, each pair in one bucket only.
+  largest component against all its classes of like set sizes (others can't be alike), chunks of about CHUNK of
+  the ones against chunks of the others, each pair in one bucket only.
 
-So no link between different components that share a bucket is lost, and no bucket's pairs are
-emitted nor a bucket gathered in one task unless it has SMALL rows at most. Links are grouped by union-find inside the partitions, then by the large-star and small-star
-rounds between them.
+So no link between different components that share a bucket is lost, no bucket's pairs are
+emitted, and no task gathers more of a bucket than two chunks, or the bucket if it has SMALL rows at most. What all rows of a
+frequent key must learn (its size, its pivot) is broadcast for the keys with more than a twenty-thousandth of the
+rows, which are 20,000 at most, and joined by a shuffle for the others. Links are grouped by union-find inside the
+partitions, then by the large-star and small-star rounds between them.
 
 Rows: a null text has no words; a text without words has an empty set and is linked with nothing; a
 text of fewer words than a shingle has the whole sequence as its one element. Rows of one doc_id are
-one document. Rows with a null doc_id take no part: their component is null and they are kept.
+one document: what its texts are linked with is one component. A very long text is hashed at once (some 60 bytes a word)
+and signed in runs of RUN shingles. Rows with a null doc_id take no part: their component is null and they are kept.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from landsift.llm.common import Windows, as_bytes, mix, parts_for, slices, start
 
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-SMALL, CHUNK = 48, 512
+SMALL, CHUNK, RUN = 48, 512, 1 << 18
 #: More ids than this aren't broadcast; the join is shuffled then.
 MOST_IDS = 2_000_000
 
@@ -60,6 +64,11 @@ def shingle_sets(texts: list[bytes], windows: Windows) -> tuple[np.ndarray, np.n
 def superminhash(h: np.ndarray, sizes: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     """Signatures (documents, slots): level in the high byte, 24 random bits below."""
     top = np.uint32(0xFFFFFFFF)
+    if len(h) > RUN:  # the least of runs is that of all
+        doc, sig = np.repeat(np.arange(len(sizes)), sizes), np.full((len(sizes), slots), top, np.uint32)
+        for at in range(0, len(h), RUN):
+            sig = np.minimum(sig, superminhash(h[at : at + RUN], np.bincount(doc[at : at + RUN], minlength=len(sizes)), slots))
+        return sig
     sig = np.full(len(sizes) * slots, top, np.uint32)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     order = np.tile(np.arange(slots, dtype=np.uint8), (len(h), 1))
@@ -146,11 +155,12 @@ def _verify(per_cent: int):
 
 def verified(pairs: DataFrame, sets: DataFrame, per_cent: int, groups: int) -> DataFrame:
     """The pairs (pivot, member) whose sets are alike, as links a < b. A hot pivot's members are dealt to chunks."""
-    chunks = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / 128).cast("int").alias("chunks"))
+    chunks = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
+    chunks = stored(chunks.withColumn("chunks", F.ceil(F.col("size") / 128).cast("int")), "near-chunks")
     group = lambda chunk: F.pmod(F.xxhash64("pivot", chunk), F.lit(groups))
     left = chunks.join(sets, F.col("pivot") == F.col("id")).select("pivot", "elements", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     left = left.select(F.col("pivot").alias("pivot"), F.col("elements").alias("elements"), group(F.col("chunk")).alias("g"))  # new columns, else both sides share them
-    right = pairs.join(chunks, "pivot").join(sets, F.col("member") == F.col("id"))
+    right = _told(pairs, chunks, ["pivot"]).join(sets, F.col("member") == F.col("id"))
     right = right.select("pivot", "member", "elements", group(F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int")).alias("g"))
     return left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(_verify(per_cent), "a bigint, b bigint").distinct()
 
@@ -208,6 +218,17 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_IDS + 1).count() <= MOST_IDS else df
 
 
+def _told(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with what ``one`` (stored, a row a key, with the key's ``size``) says of their keys; rows of other keys go.
+
+    Keys with many rows are broadcast, 20,000 of them at most, so that no task gets all rows of one.
+    """
+    total = one.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    frequent = F.col("size") > max(100, int(total) // 20_000)
+    hot, cold = one.where(frequent), one.where(~frequent)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("shuffle_merge"), keys))
+
+
 def _blocks(per_cent: int):
     """Links between the outliers of a bucket and a chunk of its members; one for each outlier and component that it meets.
 
@@ -239,22 +260,35 @@ def _blocks(per_cent: int):
 
 
 def _compared_in_blocks(open_: DataFrame, sets: DataFrame, reps: DataFrame, per_cent: int) -> DataFrame:
-    """Links of each bucket's rows outside of its largest component with all its rows, in chunks."""
-    most = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n_")).groupBy("key").agg(F.max(F.struct("n_", "component")).alias("m_"))
-    rows = open_.join(most.select("key", F.col("m_.component").alias("main")), "key").select("key", "rep", "component", (F.col("component") != F.col("main")).alias("outlier"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    rows = rows.join(sets, F.col("rep") == F.col("id")).join(reps.select("rep", "bands"), "rep")
-    columns = ["key", "rep", "component", "bands", "elements"]
-    left = rows.where("outlier").select(*[F.col(c).alias(c) for c in columns], F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    right = rows.select(*columns, F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"))
-    return left.groupBy("key", "chunk").cogroup(right.groupBy("key", "chunk")).applyInArrow(_blocks(per_cent), "a bigint, b bigint").distinct()
+    """Links of each bucket's rows outside of its largest component with all its rows of like sizes, chunks against chunks."""
+    most = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n_")).groupBy("key").agg(F.max(F.struct("n_", "component")).alias("m_"), F.sum("n_").alias("size"))
+    most = stored(most.select("key", F.col("m_.component").alias("main"), "size"), "near-main")
+    # sizes of like sets are in the same class or in neighbouring ones
+    like = F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / per_cent * 1.0001)))).cast("int")
+    rows = _told(open_.drop("size"), most, ["key"]).select("key", "rep", "component", (F.col("component") != F.col("main")).alias("outlier"), like.alias("like"))
+    rows = stored(rows, "near-blocks")
+    there = F.explode(F.array(F.col("like") - 1, F.col("like"), F.col("like") + 1)).alias("like")
+    outliers = rows.where("outlier").select("key", "rep", "component", there)
+    count = lambda df, name: df.groupBy("key", "like").agg(F.count(F.lit(1)).alias(name))
+    groups = count(rows, "members").join(count(outliers, "others"), ["key", "like"])
+    chunked = lambda c: F.ceil(F.col(c) / CHUNK).cast("int")
+    groups = stored(groups.select("key", "like", (F.col("members") + F.col("others")).alias("size"), chunked("members").alias("mine"), chunked("others").alias("theirs")), "near-groups")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    fetched = lambda df: df.join(sets, F.col("rep") == F.col("id")).join(reps.select("rep", "bands"), "rep")
+    columns = ["key", "like", "rep", "component", "bands", "elements", "o", "m"]
+    left = fetched(_told(outliers, groups, ["key", "like"]).withColumn("o", own("theirs")).withColumn("m", all_of("mine"))).select(*[F.col(c).alias(c) for c in columns])
+    right = fetched(_told(rows.drop("outlier"), groups, ["key", "like"]).withColumn("m", own("mine")).withColumn("o", all_of("theirs"))).select(*[F.col(c).alias(c) for c in columns])
+    at = ["key", "like", "o", "m"]
+    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_blocks(per_cent), "a bigint, b bigint").distinct()
 
 
 def _links(docs: DataFrame, reps: DataFrame, n: int, per_cent: int) -> DataFrame | None:
     """(id, component) over the classes in ``reps`` (rep, n, bands)."""
     alike = lambda x, y: 100 * F.least(x, y) >= per_cent * F.greatest(x, y)  # noqa: E731  else the sets can't be
     rows = reps.select("rep", "n", F.explode("bands").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stored(rows.join(sizes.hint("shuffle_merge"), "key"), "near-buckets")
+    sizes = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-sizes")
+    shared = stored(_told(rows, sizes, ["key"]), "near-buckets")
     central = stored(shared.groupBy("rep").agg(F.sum("size").alias("score")), "near-central")
     count, total = central.join(reps, "rep").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not count:
@@ -268,15 +302,16 @@ def _links(docs: DataFrame, reps: DataFrame, n: int, per_cent: int) -> DataFrame
     def starred(open_: DataFrame, salts: int, turn: int) -> DataFrame:
         """Each row of a bucket with its central row, or with the central rows of ``salts`` parts, of another component."""
         best = F.max(F.struct("score", (-F.col("rep")).alias("least"), "n", "component")).alias("best")
-        pivots = open_.groupBy("key", F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(salts)).alias("salt")).agg(best)
-        pivots = pivots.select("key", (-F.col("best.least")).alias("pivot"), F.col("best.n").alias("pn"), F.col("best.component").alias("pc"))
-        return open_.join(pivots.hint("shuffle_merge"), "key").where((F.col("component") != F.col("pc")) & alike(F.col("n"), F.col("pn"))).select("pivot", F.col("rep").alias("member"))
+        pivots = open_.groupBy("key", F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(salts)).alias("salt")).agg(best, F.max("size").alias("size"))
+        pivots = stored(pivots.select("key", "size", (-F.col("best.least")).alias("pivot"), F.col("best.n").alias("pn"), F.col("best.component").alias("pc")), "near-pivots")
+        return _told(open_.drop("size"), pivots, ["key"]).where((F.col("component") != F.col("pc")) & alike(F.col("n"), F.col("pn"))).select("pivot", F.col("rep").alias("member"))
 
     def still_open(open_: DataFrame, components: DataFrame) -> DataFrame:
         """The rows of buckets that hold several components, with their components of now."""
         left = open_.drop("component").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        several = left.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-        return stored(left.join(several.hint("shuffle_merge"), "key").select("key", "rep", "n", "size", "score", "component"), "near-open")
+        left = stored(left, "near-now")
+        several = left.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("size").alias("size")).where("c1 <> c2").select("key", "size")
+        return stored(_told(left.drop("size"), stored(several, "near-several"), ["key"]).select("key", "rep", "n", "size", "score", "component"), "near-open")
 
     open_ = shared.join(central, "rep").select("key", "rep", "n", "size", "score", F.col("rep").alias("component"))
     first = stored(starred(open_, 1, 0).distinct(), "near-pairs")
@@ -300,22 +335,39 @@ def _links(docs: DataFrame, reps: DataFrame, n: int, per_cent: int) -> DataFrame
     return connected(links.unionByName(stored(_compared_in_blocks(open_, sets, reps, per_cent), "near-links")))
 
 
+def _united(rows: DataFrame, reps: DataFrame, found: DataFrame | None) -> DataFrame | None:
+    """(id, component) where the classes of one doc_id's texts are one component too."""
+    same = ["n", "s1", "s2"]
+    ends = rows.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("a"), F.max(F.struct(*same)).alias("b")).where("a <> b").select("doc_id")
+    several = stored(ends, "near-several-texts")
+    if several.isEmpty():
+        return found
+    mine = stored(_told(rows.join(several, "doc_id").distinct(), reps, same).select("doc_id", "rep"), "near-own-classes")
+    least = mine.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    links = mine.join(least, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+    if found is not None:
+        links = links.unionByName(found.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))
+    return connected(links)
+
+
 def components(docs: DataFrame, n: int = 2, per_cent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(docs.mapInArrow(_features(n), FEATURES), "near-features")
     same = ["n", "s1", "s2"]
     taking = rows.where("n > 0 and doc_id is not null")
-    reps = stored(taking.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "near-classes")
+    reps = stored(taking.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("size")), "near-classes")
     found = _links(docs, reps.select("rep", "n", "bands"), n, per_cent)
-    classes = reps.select(*same, "rep")
+    found = _united(taking.select("doc_id", *same), reps.select(*same, "rep", "size"), found)
+    classes = reps.select(*same, "rep", "size")
     if found is not None:
         classes = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        # rows of one doc_id with different texts are one document, so its classes are one too
-        classes = classes.select(*same, F.coalesce("component", "rep").alias("component"))
+        classes = classes.select(*same, "size", F.coalesce("component", "rep").alias("component"))
     else:
-        classes = classes.select(*same, F.col("rep").alias("component"))
-    out = rows.drop("bands").join(classes.hint("shuffle_merge"), same, "left")
+        classes = classes.select(*same, "size", F.col("rep").alias("component"))
+    rows = rows.drop("bands")
+    rest = rows.where("n = 0 or doc_id is null").withColumn("component", F.lit(None).cast("long"))
+    out = _told(rows.where("n > 0 and doc_id is not null"), stored(classes, "near-components"), same).select(*rest.columns).unionByName(rest)
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
