@@ -173,3 +173,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that an operator is about to add, whatever their case."""
     low = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in low])
+
+
+def told(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with what ``one`` (stored, a row a key, with the key's ``size``) says of their keys; rows of other keys go.
+
+    Keys with many rows are broadcast, 20,000 of them at most, so that no task gets all rows of one.
+    """
+    total = one.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    frequent = F.col("size") > max(100, int(total) // 20_000)
+    hot, cold = one.where(frequent), one.where(~frequent)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("shuffle_merge"), keys))

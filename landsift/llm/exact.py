@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landsift.llm.common import NO_ID, SPACE, crc_of_id, mix, parts_for, stored, without
+from landsift.llm.common import NO_ID, SPACE, crc_of_id, mix, parts_for, stored, without, told
 
 GAMMA, LEVELS = 1.5, 60
 GROUP = "digest binary, size bigint, chars bigint, id bigint, row bigint"
@@ -151,9 +151,9 @@ def group_exact(docs: DataFrame, in_history: Column) -> DataFrame:
     shards = parts_for(rows.count(), 50_000)
     index = build_index(_distinct(rows.where("old")), shards)
     groups = probe(index, _distinct(rows.where("not old")), shards)
-    groups = groups.select("digest", F.col("size").alias("group_size"), F.col("id").alias("best_id"), F.col("row").alias("best_row"))
+    groups = groups.select("digest", "size", F.col("id").alias("best_id"), F.col("row").alias("best_row"))
     keep = F.when(F.col("best_id") != int(NO_ID), F.col("best_id"))
-    return rows.join(groups.hint("shuffle_merge"), "digest").select("doc_id", keep.alias("keep_id"), "group_size", (F.col("row") == F.col("best_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row")
+    return told(rows, stored(groups, "exact-groups"), ["digest"]).select("doc_id", keep.alias("keep_id"), F.col("size").alias("group_size"), (F.col("row") == F.col("best_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row")
 
 
 def half(doc_id: Column) -> Column:

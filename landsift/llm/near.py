@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landsift.llm.common import Windows, as_bytes, mix, parts_for, slices, starts_of, stored
+from landsift.llm.common import Windows, as_bytes, mix, parts_for, slices, starts_of, stored, told
 
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
@@ -160,7 +160,7 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int, groups: int) -> D
     group = lambda chunk: F.pmod(F.xxhash64("pivot", chunk), F.lit(groups))
     left = chunks.join(sets, F.col("pivot") == F.col("id")).select("pivot", "elements", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     left = left.select(F.col("pivot").alias("pivot"), F.col("elements").alias("elements"), group(F.col("chunk")).alias("g"))  # new columns, else both sides share them
-    right = _told(pairs, chunks, ["pivot"]).join(sets, F.col("member") == F.col("id"))
+    right = told(pairs, chunks, ["pivot"]).join(sets, F.col("member") == F.col("id"))
     right = right.select("pivot", "member", "elements", group(F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int")).alias("g"))
     return left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(_verify(per_cent), "a bigint, b bigint").distinct()
 
@@ -218,17 +218,6 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_IDS + 1).count() <= MOST_IDS else df
 
 
-def _told(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with what ``one`` (stored, a row a key, with the key's ``size``) says of their keys; rows of other keys go.
-
-    Keys with many rows are broadcast, 20,000 of them at most, so that no task gets all rows of one.
-    """
-    total = one.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    frequent = F.col("size") > max(100, int(total) // 20_000)
-    hot, cold = one.where(frequent), one.where(~frequent)
-    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("shuffle_merge"), keys))
-
-
 def _blocks(per_cent: int):
     """Links between the outliers of a bucket and a chunk of its members; one for each outlier and component that it meets.
 
@@ -265,7 +254,7 @@ def _compared_in_blocks(open_: DataFrame, sets: DataFrame, reps: DataFrame, per_
     most = stored(most.select("key", F.col("m_.component").alias("main"), "size"), "near-main")
     # sizes of like sets are in the same class or in neighbouring ones
     like = F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / per_cent * 1.0001)))).cast("int")
-    rows = _told(open_.drop("size"), most, ["key"]).select("key", "rep", "component", (F.col("component") != F.col("main")).alias("outlier"), like.alias("like"))
+    rows = told(open_.drop("size"), most, ["key"]).select("key", "rep", "component", (F.col("component") != F.col("main")).alias("outlier"), like.alias("like"))
     rows = stored(rows, "near-blocks")
     there = F.explode(F.array(F.col("like") - 1, F.col("like"), F.col("like") + 1)).alias("like")
     outliers = rows.where("outlier").select("key", "rep", "component", there)
@@ -277,8 +266,8 @@ def _compared_in_blocks(open_: DataFrame, sets: DataFrame, reps: DataFrame, per_
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     fetched = lambda df: df.join(sets, F.col("rep") == F.col("id")).join(reps.select("rep", "bands"), "rep")
     columns = ["key", "like", "rep", "component", "bands", "elements", "o", "m"]
-    left = fetched(_told(outliers, groups, ["key", "like"]).withColumn("o", own("theirs")).withColumn("m", all_of("mine"))).select(*[F.col(c).alias(c) for c in columns])
-    right = fetched(_told(rows.drop("outlier"), groups, ["key", "like"]).withColumn("m", own("mine")).withColumn("o", all_of("theirs"))).select(*[F.col(c).alias(c) for c in columns])
+    left = fetched(told(outliers, groups, ["key", "like"]).withColumn("o", own("theirs")).withColumn("m", all_of("mine"))).select(*[F.col(c).alias(c) for c in columns])
+    right = fetched(told(rows.drop("outlier"), groups, ["key", "like"]).withColumn("m", own("mine")).withColumn("o", all_of("theirs"))).select(*[F.col(c).alias(c) for c in columns])
     at = ["key", "like", "o", "m"]
     return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_blocks(per_cent), "a bigint, b bigint").distinct()
 
@@ -288,7 +277,7 @@ def _links(docs: DataFrame, reps: DataFrame, n: int, per_cent: int) -> DataFrame
     alike = lambda x, y: 100 * F.least(x, y) >= per_cent * F.greatest(x, y)  # noqa: E731  else the sets can't be
     rows = reps.select("rep", "n", F.explode("bands").alias("key"))
     sizes = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-sizes")
-    shared = stored(_told(rows, sizes, ["key"]), "near-buckets")
+    shared = stored(told(rows, sizes, ["key"]), "near-buckets")
     central = stored(shared.groupBy("rep").agg(F.sum("size").alias("score")), "near-central")
     count, total = central.join(reps, "rep").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not count:
@@ -304,14 +293,14 @@ def _links(docs: DataFrame, reps: DataFrame, n: int, per_cent: int) -> DataFrame
         best = F.max(F.struct("score", (-F.col("rep")).alias("least"), "n", "component")).alias("best")
         pivots = open_.groupBy("key", F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(salts)).alias("salt")).agg(best, F.max("size").alias("size"))
         pivots = stored(pivots.select("key", "size", (-F.col("best.least")).alias("pivot"), F.col("best.n").alias("pn"), F.col("best.component").alias("pc")), "near-pivots")
-        return _told(open_.drop("size"), pivots, ["key"]).where((F.col("component") != F.col("pc")) & alike(F.col("n"), F.col("pn"))).select("pivot", F.col("rep").alias("member"))
+        return told(open_.drop("size"), pivots, ["key"]).where((F.col("component") != F.col("pc")) & alike(F.col("n"), F.col("pn"))).select("pivot", F.col("rep").alias("member"))
 
     def still_open(open_: DataFrame, components: DataFrame) -> DataFrame:
         """The rows of buckets that hold several components, with their components of now."""
         left = open_.drop("component").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         left = stored(left, "near-now")
         several = left.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("size").alias("size")).where("c1 <> c2").select("key", "size")
-        return stored(_told(left.drop("size"), stored(several, "near-several"), ["key"]).select("key", "rep", "n", "size", "score", "component"), "near-open")
+        return stored(told(left.drop("size"), stored(several, "near-several"), ["key"]).select("key", "rep", "n", "size", "score", "component"), "near-open")
 
     open_ = shared.join(central, "rep").select("key", "rep", "n", "size", "score", F.col("rep").alias("component"))
     first = stored(starred(open_, 1, 0).distinct(), "near-pairs")
@@ -342,7 +331,7 @@ def _united(rows: DataFrame, reps: DataFrame, found: DataFrame | None) -> DataFr
     several = stored(ends, "near-several-texts")
     if several.isEmpty():
         return found
-    mine = stored(_told(rows.join(several, "doc_id").distinct(), reps, same).select("doc_id", "rep"), "near-own-classes")
+    mine = stored(told(rows.join(several, "doc_id").distinct(), reps, same).select("doc_id", "rep"), "near-own-classes")
     least = mine.groupBy("doc_id").agg(F.min("rep").alias("a"))
     links = mine.join(least, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
     if found is not None:
@@ -367,7 +356,7 @@ def components(docs: DataFrame, n: int = 2, per_cent: int = 80) -> DataFrame:
         classes = classes.select(*same, "size", F.col("rep").alias("component"))
     rows = rows.drop("bands")
     rest = rows.where("n = 0 or doc_id is null").withColumn("component", F.lit(None).cast("long"))
-    out = _told(rows.where("n > 0 and doc_id is not null"), stored(classes, "near-components"), same).select(*rest.columns).unionByName(rest)
+    out = told(rows.where("n > 0 and doc_id is not null"), stored(classes, "near-components"), same).select(*rest.columns).unionByName(rest)
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from landsift.llm import near
+from landsift.llm.common import told
 
 
 def test_texts_of_one_id_are_one_document(spark):
@@ -19,7 +20,7 @@ def test_texts_of_one_id_are_one_document(spark):
 def test_frequent_keys_are_told_like_others(spark):
     rows = spark.range(3000).select(F.when(F.col("id") < 1000, 0).otherwise(F.col("id") % 400).alias("key"), "id")
     one = near.stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("m")).where("key <> 5"), "test-told")
-    got = near._told(rows, one, ["key"])
+    got = told(rows, one, ["key"])
     assert got.count() == rows.where("key <> 5").count()
     assert got.exceptAll(rows.join(one, "key").select(got.columns)).isEmpty()
 
