@@ -72,6 +72,19 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
                 yield batch.slice(a, b - a)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about ``most`` bytes of text: the fewer parts, the less is sent."""
+    held, size = [], 0
+    for batch in slices(batches, most=most):
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def as_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
@@ -164,6 +177,33 @@ class Windows:
         return out[0], out[1], doc, start
 
 
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes as the largest needs, like bytes beside each other, compressed."""
+    if not len(values):
+        return b""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpack_numbers(blob: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
+    width = blob[0]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(blob[1:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Rising uint64 numbers by their gaps."""
+    return pack_numbers(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unpack_sorted(blob: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpack_numbers(blob, n), dtype=np.uint64)
+
+
 def columns_after(df: DataFrame, more: str) -> str:
     """DDL of all of ``df``'s columns, then ``more``."""
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema) + f", {more}"

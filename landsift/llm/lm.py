@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landsift.llm.common import WordHasher, as_bytes, crc_of_id, ids_of, mix, parts_for, slices, starts_of, stored, text_size
+from landsift.llm.common import WordHasher, as_bytes, crc_of_id, gathered, ids_of, mix, parts_for, starts_of, stored, text_size
 
 BASE, LAMBDA, HASHES, BITS_EACH = 1.5, 0.7, 4, 10
 KEY_BITS = 48
@@ -136,19 +136,6 @@ def _ungapped(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(blob, np.uint32, n).astype(np.int64) + (np.frombuffer(blob, np.uint16, n, 4 * n).astype(np.int64) << 32))
 
 
-def _gathered(batches, most: int = PART_BYTES):
-    """Batches put together until they hold about ``most`` bytes of text: the fewer parts, the fewer n-grams are sent."""
-    held, size = [], 0
-    for batch in slices(batches, most=most):
-        held.append(batch)
-        size += batch.column("text").nbytes
-        if size >= most:
-            yield pa.concat_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _shards(size: int) -> int:
     return 1 << (parts_for(size, SHARD_BYTES, 16) - 1).bit_length()
 
@@ -167,7 +154,7 @@ def _parts(shards: int):
     def run(batches):
         hasher, partition, seq = WordHasher(), TaskContext.get().partitionId(), 0
         width = (1 << KEY_BITS) // shards
-        for batch in _gathered(batches):
+        for batch in gathered(batches, PART_BYTES):
             texts = [_tokens(t) for t in as_bytes(batch)]
             lengths = np.array([len(t) for t in texts], np.int64)
             at = hasher.numbers([w for t in texts for w in t])

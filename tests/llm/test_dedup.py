@@ -4,11 +4,13 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from landsift.llm import exact, near, substring
-from landsift.llm.common import Windows
+from landsift.llm.common import Windows, pack_numbers, pack_sorted, unpack_numbers, unpack_sorted
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -32,7 +34,7 @@ def brute_substrings(rows, n):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"max_cells": 1 << 10}])
+@pytest.mark.parametrize("options", [{}, {"cells_per_window": 1e-9, "least_cells": 1 << 6}])
 def test_substrings_are_those_of_brute_force(documents, options):
     """Also with a sketch so small that every window is estimated as repeated."""
     want = brute_substrings([(r["doc_id"], r["text"]) for r in documents.collect()], 20)
@@ -46,23 +48,51 @@ def test_substrings_of_no_rows_and_clashing_columns(empty, clashing):
     assert substring.digests(clashing).count() == clashing.count()
 
 
-def test_merging_in_steps_gives_the_same_sketch(documents):
-    """The bits that a dense count of the windows' cells gives, whatever the steps."""
-    docs, bits = documents.repartition(7), 16
-    counts = np.zeros((2, 1 << bits), int)
-    for r in documents.collect():
-        h1, h2, _, _ = Windows(20)([(r["text"] or "").encode().split()])
-        for k, h in enumerate((h1, h2)):
-            np.add.at(counts[k], substring._cells(h, bits), 1)
-    want = [np.packbits(c > 1, bitorder="little").tobytes() for c in counts]
-    for salts in (1, 3):
-        assert [x.tobytes() for x in substring.repeated_cells(docs, 20, bits, salts)] == want
-
-
-def test_gaps():
-    cells = np.array([0, 0, 3, 254, 509, 510, 100_000, 100_000])
-    assert substring.decode_gaps(substring.encode_gaps(cells)).tolist() == cells.tolist()
-    assert substring.decode_gaps(b"").tolist() == []
+@pytest.mark.parametrize("bits", [6, 16])
+def test_segments_answer_what_a_dense_count_says(documents, bits, monkeypatch):
+    """For each part and segment: whether each distinct cell was counted twice, over all parts."""
+    monkeypatch.setattr(substring, "SEGMENT", 1 << 5)
+    parts = [{"docs": 1, "text": (r["text"] or "").encode()} for r in documents.collect()]
+    counts, rows = np.zeros((2, 1 << bits), int), []
+    for k, p in enumerate(parts):
+        h = Windows(20)([p["text"].split()])[:2]
+        for row in (0, 1):
+            np.add.at(counts[row], substring._cells(h[row], bits).astype(int), 1)
+        batch = pa.record_batch({"part": [k], "docs": pa.array([1], pa.int32()), "lengths": pa.array([pack_numbers(np.array([len(p["text"])], np.uint64))]), "texts": pa.array([pa.compress(p["text"], "zstd", asbytes=True)])})
+        rows += list(substring._sketches(20, bits)([batch]))
+    sent = pa.Table.from_batches(rows)
+    segments, size = substring._segments(bits)
+    for segment in range(2 * segments):
+        own = sent.filter(pc.equal(sent.column("segment"), segment))
+        if own.num_rows:
+            told = substring._merged(bits)(own)
+            for n, blob, answer in zip(own.column("n").to_pylist(), own.column("cells").to_pylist(), told.column("repeated").to_pylist()):
+                cells = np.unique(unpack_sorted(blob, n)).astype(int)
+                row, k = divmod(segment, segments)
+                assert (np.unpackbits(np.frombuffer(answer, np.uint8), count=len(cells)) == (counts[row, k * size + cells] > 1)).all()
+
+
+def test_the_sketch_grows_with_the_windows():
+    """Few single windows pass at every size, as the cells a window stay the same: 2 rows of 2 to 4 cells pass 16 in 100 at most."""
+    assert all(2 <= (1 << substring.sketch_bits(w, 2.0, 1 << 16)) / w <= 4 for w in (1e6, 1e9, 1e12))
+    rng = np.random.default_rng(1)
+    bits = substring.sketch_bits(300_000, 2.0, 1 << 16)
+    twice = [np.bincount(c, minlength=1 << bits)[c] > 1 for c in (rng.integers(0, 1 << bits, 300_000) for _ in range(2))]
+    assert (twice[0] & twice[1]).mean() < 0.16
+
+
+def test_packed_numbers():
+    for values in (np.array([0, 0, 3, 254, 509, 100_000, 100_000], np.uint64), np.array([2**64 - 1], np.uint64), np.zeros(0, np.uint64)):
+        assert unpack_sorted(pack_sorted(values), len(values)).tolist() == values.tolist()
+        assert unpack_numbers(pack_numbers(values[::-1]), len(values)).tolist() == values[::-1].tolist()
+
+
+def test_null_and_repeated_ids_and_long_texts(spark):
+    base = " ".join(f"w{k}" for k in range(50))
+    long = " ".join(f"x{k % 9000}y{k // 9000}" for k in range(400_000)) + " " + base
+    rows = [(None, base), (None, base), (5, base), (5, base), (7, base + " tail"), (9, long), (9, None), (11, "")]
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
+    assert got == [(0, 50, 50), (0, 50, 50), (5, 50, 0), (5, 50, 0), (7, 51, 50), (9, 0, 0), (9, 400_050, 50), (11, 0, 0)]
 
 
 def test_windows_hash_words_not_places():
