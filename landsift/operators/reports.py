@@ -9,11 +9,13 @@ from pyspark.sql import Window as W
 from landsift.functions import mercator
 from landsift.functions.geometry import component_count, hole_count, shoelace
 from landsift.functions.scalars import chained_digest
+from landsift.operators.tables import numbered_rows
 from landsift.scratch import stored
 
 # Zoom bands with their tolerances in metres; parts and vertices a feature may have.
 BANDS = (("z08_10", 8, 10, 100), ("z11_12", 11, 12, 40), ("z13_14", 13, 14, 10), ("z15_16", 15, 16, 2), ("z17_18", 17, 18, 0))
 MOST_PARTS, MOST_VERTICES = 8192, 256
+CHAIN = 1000
 
 
 def health_issues(rows: DataFrame, as_of: Column, max_age_hours: float) -> DataFrame:
@@ -104,11 +106,21 @@ def display_build(features: DataFrame, most_vertices: int = MOST_VERTICES) -> Da
 
 
 def band_report(built: DataFrame) -> DataFrame:
-    """Counters and a chained digest of each band over its features in order; a band's digests are gathered a bucket at a time."""
+    """Counters and a chained digest of each band over its features in order.
+
+    Digests are chained CHAIN features at a time, then CHAIN chains at a time, and so on, so no row gathers more than CHAIN of them.
+    """
     digest = F.sha2(F.concat_ws("|", "feature_id", "band", "vertices", "part_count", F.coalesce("error_code", F.lit("ok"))), 256)
-    rows = built.withColumn("digest", digest).withColumn("bucket", F.pmod(F.crc32(F.col("feature_id").cast("binary")), F.lit(256)))
-    inner = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("part_count").alias("p"), F.count_if(F.col("error_code").isNotNull()).alias("f"), chained_digest(F.transform(F.array_sort(F.collect_list(F.struct("feature_id", "digest"))), lambda s: s["digest"])).alias("d"))
-    return inner.groupBy("band").agg(F.sum("n").alias("features"), F.sum("p").alias("parts"), F.sum("f").alias("failed"), chained_digest(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda s: s["d"])).alias("digest"))
+    one = built.select("band", "feature_id", F.lit(1).cast("long").alias("features"), F.col("part_count").cast("long").alias("parts"), F.col("error_code").isNotNull().cast("long").alias("failed"), digest.alias("digest"))
+    rows = numbered_rows(one, ["band", "feature_id"]).drop("feature_id")
+    counters = [F.sum(c).alias(c) for c in ("features", "parts", "failed")]
+    chain = chained_digest(F.transform(F.array_sort(F.collect_list(F.struct("number_", "digest"))), lambda s: s["digest"])).alias("digest")
+    left = rows.count()
+    while True:
+        rows = rows.withColumn("at_", F.floor((F.col("number_") - 1) / CHAIN)).groupBy("band", "at_").agg(*counters, chain).select("band", (F.col("at_") + 1).alias("number_"), "features", "parts", "failed", "digest")
+        left = -(-left // CHAIN)
+        if left <= 1:
+            return rows.groupBy("band").agg(*counters, chain)
 
 
 def topological_levels(edges: DataFrame, most: int = 64) -> DataFrame:

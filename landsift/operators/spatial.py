@@ -3,7 +3,8 @@
 Both sides are exploded to the cells their boxes touch, so the join shuffles on (i, j) and never
 compares all pairs. A pair that shares several cells is kept once: in the cell that holds the lower
 left corner of the boxes' common part, which needs no distinct afterwards. Cells of a dense place
-are split by AQE's skew join.
+are split by AQE's skew join. A large box isn't exploded to countless small cells: it stands in the finest of LEVELS
+grids, each FACTOR times as coarse as the one before, where it touches MOST_CELLS at most, and smaller boxes meet it there.
 """
 
 from __future__ import annotations
@@ -16,14 +17,38 @@ from pyspark.sql import Column, DataFrame
 from landsift.functions import geometry as G
 
 
+LEVELS, FACTOR, MOST_CELLS = 4, 16, 64
+
+
+def _level(box: Column, cell: float, margin: float) -> Column:
+    """The finest grid in which a box touches few cells."""
+    out = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        size = cell * FACTOR**k
+        touched = ((box["e"] - box["w"] + 2 * margin) / size + 2) * ((box["n"] - box["s"] + 2 * margin) / size + 2)
+        out = F.when(touched <= MOST_CELLS, k).otherwise(out)
+    return out
+
+
+def _in_cells(df: DataFrame, box: str, cell: float, margin: float, coarsest: int, level: str) -> DataFrame:
+    """A row a cell that a box touches, in the grid of its own level and in coarser ones up to ``coarsest``."""
+    at = lambda k: F.when(F.col(level) <= k, F.transform(G.grid_cells(F.col(box), cell * FACTOR**k, margin), lambda c: F.struct(F.lit(k).alias("k"), c["i"].alias("i"), c["j"].alias("j")))).otherwise(F.array().cast("array<struct<k:int,i:bigint,j:bigint>>"))
+    return df.withColumn("cell_", F.explode(F.concat(*[at(k) for k in range(coarsest + 1)])))
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, cell: float, margin: float = 0.0, left_box: str = "box", right_box: str = "box") -> DataFrame:
     """All pairs whose boxes, the left one widened by ``margin``, overlap or touch; right columns get the prefix r_."""
-    a = left.withColumn("cell_", F.explode(G.grid_cells(F.col(left_box), cell, margin)))
-    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("cell_", F.explode(G.grid_cells(F.col(f"r_{right_box}"), cell)))
+    left = left.withColumn("level_", _level(F.col(left_box), cell, margin))
+    right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("r_level_", _level(F.col(f"r_{right_box}"), cell, 0.0))
+    # coarse grids are used only where a box needs one
+    coarsest = max(int(df.agg(F.coalesce(F.max(c), F.lit(0))).first()[0]) for df, c in ((left, "level_"), (right, "r_level_")))
+    a, b = _in_cells(left, left_box, cell, margin, coarsest, "level_"), _in_cells(right, f"r_{right_box}", cell, 0.0, coarsest, "r_level_")
     lb, rb = F.col(left_box), F.col(f"r_{right_box}")
     wide = F.struct((lb["w"] - margin).alias("w"), (lb["s"] - margin).alias("s"), (lb["e"] + margin).alias("e"), (lb["n"] + margin).alias("n"))
-    home = (F.floor(F.greatest(wide["w"], rb["w"]) / cell) == F.col("cell_.i")) & (F.floor(F.greatest(wide["s"], rb["s"]) / cell) == F.col("cell_.j"))
-    return a.join(b, "cell_").where(G.bboxes_intersect(wide, rb) & home).drop("cell_")
+    size = cell * F.pow(F.lit(float(FACTOR)), F.col("cell_.k"))
+    home = (F.floor(F.greatest(wide["w"], rb["w"]) / size) == F.col("cell_.i")) & (F.floor(F.greatest(wide["s"], rb["s"]) / size) == F.col("cell_.j"))
+    here = F.col("cell_.k") == F.greatest("level_", "r_level_")
+    return a.join(b, "cell_").where(here & G.bboxes_intersect(wide, rb) & home).drop("cell_", "level_", "r_level_")
 
 
 def spatial_join(left: DataFrame, right: DataFrame, exact: Callable[[Column, Column], Column], cell: float, margin: float = 0.0) -> DataFrame:

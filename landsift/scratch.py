@@ -20,8 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the application's own part of the shared one."""
+    return f"{shared_dir(spark)}/landsift/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. To be called when the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/landsift/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: survives lost executors, and what isn't deterministic is decided once."""
-    path = f"{shared_dir(df.sparkSession)}/landsift/{name}-{uuid.uuid4().hex}"
+    path = fresh_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
