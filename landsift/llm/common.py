@@ -1,49 +1,27 @@
 """Helpers that the training-data operators share.
 
-Everything here is small: where scratch tables go, how a text becomes words, and
+Everything here is small: how a text becomes words, how numbers are packed, and
 how arrow batches are cut so that a worker's memory stays bounded.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landsift.scratch import fresh_dir, stored  # noqa: F401  scratch tables of the operators
+
 #: Java regex class of the six ASCII white-space characters that part words.
 SPACE = r"[\x20\x09-\x0D]"
 NO_ID = np.iinfo(np.int64).max
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temp folder only where it is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="landsift-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/landsift/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
