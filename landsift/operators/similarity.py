@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 
 # Fixed values.
 STOP_WORDS = ("at", "the", "of", "and", "phase", "ph", "subdivision", "addition")
@@ -30,10 +31,15 @@ def duplicate_candidates(staged: DataFrame, published: DataFrame, fanout: int =
     p = published.select(F.col("id").alias("public_id"), F.col("status").alias("public_status"), title_tokens(F.col("title")).alias("b"))
     rare = token_counts(published).where(F.col("titles") <= fanout).select("token")
     # only ids and sizes travel with the tokens; a token meets ``fanout`` published titles at most
-    right = p.select("public_id", F.size("b").alias("nb"), F.explode("b").alias("token")).join(rare, "token", "left_semi")
-    left = s.select("staged_id", F.size("a").alias("na"), F.explode("a").alias("token"))
-    alike = F.least("na", "nb") >= least * F.greatest("na", "nb")  # else their tokens can't be
-    pairs = left.join(right, "token").where(alike).select("staged_id", "public_id").distinct()
+    def tokens(df: DataFrame, key: str, own: str, side: str) -> DataFrame:
+        found = df.select(key, F.size(own).alias(f"n{side}"), F.explode(own).alias("token")).join(rare, "token", "left_semi")
+        return found.withColumn(f"f{side}", F.col(f"n{side}") - F.count(F.lit(1)).over(W.partitionBy(key)))  # how many tokens aren't rare
+
+    met = tokens(s, "staged_id", "a", "a").join(tokens(p, "public_id", "b", "b"), "token")
+    met = met.where(F.least("na", "nb") >= least * F.greatest("na", "nb"))  # else their tokens can't be alike
+    met = met.groupBy("staged_id", "public_id").agg(F.count(F.lit(1)).alias("shared"), *[F.any_value(c).alias(c) for c in ("na", "nb", "fa", "fb")])
+    most = F.col("shared") + F.least("fa", "fb")  # common tokens, at most
+    pairs = met.where(most >= least * (F.col("na") + F.col("nb") - most)).select("staged_id", "public_id")
     pairs = pairs.join(s, "staged_id").join(p, "public_id").where(F.size(F.array_intersect("a", "b")) >= least * F.size(F.array_union("a", "b")))
     common, union = F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))
     matches = F.col("staged_status").eqNullSafe(F.col("public_status"))
