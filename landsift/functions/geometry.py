@@ -221,6 +221,8 @@ intersects = _measure(True, False)
 distance_projected = _measure(False, True)
 #: The same in metres.
 distance_m = _measure(True, True)
+#: The same, computed once where a filter on it follows: the optimizer doesn't copy what it takes for nondeterministic.
+distance_m_once = _measure(True, True).asNondeterministic()
 
 
 def point_distance(p: Column, q: Column) -> Column:

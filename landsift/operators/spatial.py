@@ -72,7 +72,7 @@ def flags(records: DataFrame, features: DataFrame, within_m: float = 500.0, cell
     flood = flood.select("public_id", F.lit("intersects_floodplain").alias("flag_type"), F.lit("intersects").alias("relationship"), F.lit(0.0).alias("distance_m"), "r_feature_order", "r_feature_id")
     # a degree of longitude is shortest at the poles' side; the margin covers up to latitude 60
     near = candidate_pairs(records, features.where("category = 'wetlands'"), cell, within_m / (G.METRES_LON * 0.5))
-    near = near.where(G.bbox_distance_m(F.col("box"), F.col("r_box")) <= within_m).withColumn("d", G.distance_m(F.col("geom"), F.col("r_geom"))).where(F.col("d") <= within_m)
+    near = near.where(G.bbox_distance_m(F.col("box"), F.col("r_box")) <= within_m).withColumn("d", G.distance_m_once(F.col("geom"), F.col("r_geom"))).where(F.col("d") <= within_m)
     near = near.select("public_id", F.lit("near_wetland").alias("flag_type"), F.when(F.col("d") == 0, "intersects").otherwise("within").alias("relationship"), G.round_to(F.col("d"), 1).alias("distance_m"), "r_feature_order", "r_feature_id")
     first = first_match(flood.unionByName(near), ["public_id", "flag_type"], "r_feature_order", "relationship", "distance_m", "r_feature_id")
     item = F.struct("flag_type", "relationship", "distance_m", F.col("r_feature_id").alias("source_feature_id"))
