@@ -17,6 +17,7 @@ import re
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -58,6 +59,12 @@ def encode_text(enc, text: str) -> list[int]:
     return [i for piece in pieces(text) for i in enc.encode_ordinary(piece)]
 
 
+def encode_array(enc, text: str) -> np.ndarray:
+    """The ids as an array: no Python number is held for each."""
+    parts = [text] if len(text) <= PIECE else pieces(text)
+    return np.concatenate([enc.encode_to_numpy(p, disallowed_special=()).astype(np.int32) for p in parts])
+
+
 def _lists(values: list[list[int]]) -> pa.ListArray:
     return pa.array(values, pa.list_(pa.int32()))
 
@@ -120,12 +127,14 @@ def checked(df: DataFrame, rank_file: str, pattern: str, column: str = "text") -
 
     def run(batches):
         enc = _encoding(*shared.value)
-        for batch in slices(batches, column):
+        for batch in slices(batches, column, most=1 << 20):
             texts = pc.fill_null(batch.column(column), "").to_pylist()
-            ids = [encode_text(enc, t) for t in texts]
-            if any(enc.decode_bytes(x) != t.encode() for x, t in zip(ids, texts, strict=True)):
+            ids = [encode_array(enc, t) for t in texts]
+            if any(enc.decode_bytes(x.tolist()) != t.encode() for x, t in zip(ids, texts, strict=True)):
                 raise ValueError("ids that don't decode to their text")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(len, ids), pa.int64()), _lists(ids)], names=[*batch.schema.names, "n_tokens", "token_ids"])
+            lengths = np.array([len(x) for x in ids], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lengths), lists], names=[*batch.schema.names, "n_tokens", "token_ids"])
 
     return df.mapInArrow(run, columns_after(df, "n_tokens bigint, token_ids array<int>"))
 
