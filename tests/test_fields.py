@@ -17,7 +17,7 @@ def test_text_dates(one, text, date):
     assert one(S.text_date(F.lit(text))) == date
 
 
-@pytest.mark.parametrize("value,problem", [("0", None), ("0012", None), (" 007 ", None), ("§", None), (None, "missing"), ("", "blank"), ("   ", "blank"), ("inf", "not_finite"), ("x" * 256, "too_long")])
+@pytest.mark.parametrize("value,problem", [("00", None), ("3-b/7", None), ("  x9 ", None), ("¶¶", None), (None, "missing"), ("", "blank"), ("   ", "blank"), ("inf", "not_finite"), ("x" * 256, "too_long")])
 def test_source_ids(one, value, problem):
     assert one(S.source_id_problem(F.lit(value).cast("string"))) == problem
 
@@ -32,7 +32,7 @@ def test_hints_hashes_and_ids(one):
     assert one(S.email_hint(F.lit("nobody"))) == "***"
     assert one(S.contact_hash(F.lit(" A@B.org "))) == one(S.contact_hash(F.lit("a@b.org")))
     assert one(S.stable_id("x", F.lit("A b!"), F.lit(None).cast("string"))).startswith("x-a-b-")
-    assert one(S.public_id("p", F.lit("k"), F.lit("§"))).startswith("p-record-")
+    assert one(S.public_id("p", F.lit("k"), F.lit("¶¶"))).startswith("p-record-")
     assert one(S.nesting_depth(F.lit('{"a":"[[[","b":[{}]}'))) == 3
 
 

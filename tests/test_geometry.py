@@ -98,9 +98,9 @@ def test_flags_keep_the_first_match_not_the_nearest(spark):
         df = spark.createDataFrame(items, schema)
         return df.withColumn("geom", G.from_geojson(F.col("g"))).withColumn("box", G.bbox(F.col("geom")))
 
-    records = rows([("r", json.dumps(square(-86.6, 34.7, -86.59, 34.71)))], "public_id string, g string")
-    near, nearer = square(-86.606, 34.7, -86.604, 34.71), square(-86.602, 34.7, -86.601, 34.71)
-    flood = square(-86.595, 34.705, -86.58, 34.72)
+    records = rows([("r", json.dumps(square(11.3, 34.2, 11.31, 34.21)))], "public_id string, g string")
+    near, nearer = square(11.294, 34.2, 11.296, 34.21), square(11.298, 34.2, 11.299, 34.21)
+    flood = square(11.305, 34.205, 11.32, 34.22)
     features = rows([("wetlands", 0, "w0", json.dumps(near)), ("wetlands", 1, "w1", json.dumps(nearer)), ("floodplain", 2, "f", json.dumps(flood))], "category string, feature_order int, feature_id string, g string")
     flags = {f["flag_type"]: f for f in spatial.flags(records, features).first()["proximity_flags"]}
     assert flags["near_wetland"]["source_feature_id"] == "w0"
