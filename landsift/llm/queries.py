@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline, and their SQL where SQL can say it.
+"""The registered queries of the operators and of the pipeline, and their SQL where SQL can say it.
 
 Each query reads its whole table by Spark and applies its operator with production parameters.
 """
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from landsift.llm import bpe, exact, lm, mixing, near, quality, substring, topk, toxicity, warc
+from landsift.llm import audit, bpe, exact, lm, mixing, near, quality, substring, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,8 +60,12 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.digest(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_substring_dedup, op2_bpe, op3_toxicity, op4_exact_dedup, op5_lm_scoring, op6_source_mixing, op7_near_dedup, op8_warc, op9_quality, op10_top_k)
+    own = (op1_substring_dedup, op2_bpe, op3_toxicity, op4_exact_dedup, op5_lm_scoring, op6_source_mixing, op7_near_dedup, op8_warc, op9_quality, op10_top_k, op13_filter_audit)
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in own}
 
 
@@ -103,5 +107,5 @@ FROM w LEFT JOIN g USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_substring_dedup": _OP1, "op4_exact_dedup": _OP4, "op6_source_mixing": mixing.oracle("documents"), "op8_warc": _OP8, "op10_top_k": _OP10}
+    found = {"op1_substring_dedup": _OP1, "op4_exact_dedup": _OP4, "op6_source_mixing": mixing.oracle("documents"), "op8_warc": _OP8, "op10_top_k": _OP10, "op13_filter_audit": audit.ORACLE}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
