@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from landsift.llm import audit, bpe, exact, lm, mixing, near, quality, runs, substring, topk, toxicity, warc
+from landsift.llm import audit, bpe, exact, lm, mixing, near, pagetext, quality, runs, substring, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,13 +64,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.planted(_table(spark, sf_dir, "documents")))
 
 
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
     own = (op1_substring_dedup, op2_bpe, op3_toxicity, op4_exact_dedup, op5_lm_scoring, op6_source_mixing, op7_near_dedup, op8_warc, op9_quality, op10_top_k)
-    own += (op11_periodic_runs, op13_filter_audit)
+    own += (op11_periodic_runs, op12_page_text, op13_filter_audit)
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in own}
 
 
