@@ -4,7 +4,11 @@ Both sides are exploded to the cells their boxes touch, so the join shuffles on
 compares all pairs. A pair that shares several cells is kept once: in the cell that holds the lower
 left corner of the boxes' common part, which needs no distinct afterwards. Cells of a dense place
 are split by AQE's skew join. A large box isn't exploded to countless small cells: it stands in the finest of LEVELS
-grids, each FACTOR times as coarse as the one before, where it touches MOST_CELLS at most, and smaller boxes meet it there.
+grids, each FACTOR times as coarse as the one before, where it touches MOST_CELLS at most.
+
+In its own grid a row is an owner, in coarser ones a guest. Owners meet owners and guests, guests meet owners only: that is part of the
+join's key, so two small boxes never meet in a large cell. Guests stand only in grids where the other side has an owner, which a
+subquery of the join's own plan finds out, and are dealt to SALTS parts of a cell, in all of which its few owners stand.
 """
 
 from __future__ import annotations
@@ -17,38 +21,48 @@ from pyspark.sql import Column, DataFrame
 from landsift.functions import geometry as G
 
 
-LEVELS, FACTOR, MOST_CELLS = 4, 16, 64
+LEVELS, FACTOR, MOST_CELLS, SALTS = 6, 16, 64, 8
+#: Who meets whom: owners each other, owners of the left side guests of the right one, and the reverse.
+BOTH_OWN, LEFT_OWNS, RIGHT_OWNS = 0, 1, 2
+EVERY_LEVEL = (1 << LEVELS) - 1
 
 
-def _level(box: Column, cell: float, margin: float) -> Column:
+def level_of(box: str, cell: float, margin: float = 0.0) -> Column:
     """The finest grid in which a box touches few cells."""
-    out = F.lit(LEVELS - 1)
-    for k in reversed(range(LEVELS - 1)):
-        size = cell * FACTOR**k
-        touched = ((box["e"] - box["w"] + 2 * margin) / size + 2) * ((box["n"] - box["s"] + 2 * margin) / size + 2)
-        out = F.when(touched <= MOST_CELLS, k).otherwise(out)
-    return out
+    touched = lambda k: f"(({box}.e - {box}.w + {2 * margin}D) / {cell * FACTOR**k}D + 2) * (({box}.n - {box}.s + {2 * margin}D) / {cell * FACTOR**k}D + 2)"
+    return F.expr("CASE " + " ".join(f"WHEN {touched(k)} <= {MOST_CELLS} THEN {k}" for k in range(LEVELS - 1)) + f" ELSE {LEVELS - 1} END")
+
+
+def owned_levels(df: DataFrame, box: str, cell: float, margin: float = 0.0) -> Column:
+    """The set of the levels of a table's boxes, as bits: a subquery."""
+    return df.select(level_of(box, cell, margin).alias("level_")).select(F.expr("coalesce(bit_or(shiftleft(1, level_)), 0)")).scalar()
+
+
+def placed(df: DataFrame, box: str, cell: float, margin: float, left: bool, others: Column) -> DataFrame:
+    """A row a place of each box, with the key ``place_`` (kind, k, i, j, salt) on which two sides are joined. ``others``: levels that the other side owns."""
+    owns, visits = (LEFT_OWNS, RIGHT_OWNS) if left else (RIGHT_OWNS, LEFT_OWNS)
+    numbers = lambda low, high: f"sequence(floor(({box}.{low} - {margin}D) / size), floor(({box}.{high} + {margin}D) / size))"
+    place = lambda kind, salt: f"named_struct('kind', {kind}, 'k', k, 'i', i, 'j', j, 'salt', int({salt}))"
+    copies = f"transform(sequence(0, {SALTS - 1}), s -> {place(owns, 's')})"
+    here = f"IF(k = level_, IF(k = 0, array({place(BOTH_OWN, 0)}), concat(array({place(BOTH_OWN, 0)}), {copies})), array({place(visits, f'pmod(xxhash64({box}), {SALTS})')}))"
+    cells = f"flatten(transform({numbers('w', 'e')}, i -> flatten(transform({numbers('s', 'n')}, j -> {here}))))".replace("size", f"({cell}D * power({FACTOR}D, k))")
+    levels = f"filter(sequence(level_, {LEVELS - 1}), k -> k = level_ OR (shiftright(others_, k) & 1) = 1)"
+    df = df.withColumns({"level_": level_of(box, cell, margin), "others_": others}).where(F.col(box).isNotNull())
+    return df.withColumn("place_", F.explode(F.expr(f"flatten(transform({levels}, k -> {cells}))"))).drop("level_", "others_")
 
 
-def _in_cells(df: DataFrame, box: str, cell: float, margin: float, coarsest: int, level: str) -> DataFrame:
-    """A row a cell that a box touches, in the grid of its own level and in coarser ones up to ``coarsest``."""
-    at = lambda k: F.when(F.col(level) <= k, F.transform(G.grid_cells(F.col(box), cell * FACTOR**k, margin), lambda c: F.struct(F.lit(k).alias("k"), c["i"].alias("i"), c["j"].alias("j")))).otherwise(F.array().cast("array<struct<k:int,i:bigint,j:bigint>>"))
-    return df.withColumn("cell_", F.explode(F.concat(*[at(k) for k in range(coarsest + 1)])))
+def met_at_home(left: Column, right: Column, cell: float, place: Column, margin: float = 0.0) -> Column:
+    """Whether two boxes that share ``place`` overlap or touch, and hold there the lower left corner of their common part."""
+    wide = F.struct((left["w"] - margin).alias("w"), (left["s"] - margin).alias("s"), (left["e"] + margin).alias("e"), (left["n"] + margin).alias("n"))
+    size = cell * F.pow(F.lit(float(FACTOR)), place["k"])
+    return G.bboxes_intersect(wide, right) & (F.floor(F.greatest(wide["w"], right["w"]) / size) == place["i"]) & (F.floor(F.greatest(wide["s"], right["s"]) / size) == place["j"])
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, cell: float, margin: float = 0.0, left_box: str = "box", right_box: str = "box") -> DataFrame:
-    """All pairs whose boxes, the left one widened by ``margin``, overlap or touch; right columns get the prefix r_."""
-    left = left.withColumn("level_", _level(F.col(left_box), cell, margin))
-    right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("r_level_", _level(F.col(f"r_{right_box}"), cell, 0.0))
-    # coarse grids are used only where a box needs one
-    coarsest = max(int(df.agg(F.coalesce(F.max(c), F.lit(0))).first()[0]) for df, c in ((left, "level_"), (right, "r_level_")))
-    a, b = _in_cells(left, left_box, cell, margin, coarsest, "level_"), _in_cells(right, f"r_{right_box}", cell, 0.0, coarsest, "r_level_")
-    lb, rb = F.col(left_box), F.col(f"r_{right_box}")
-    wide = F.struct((lb["w"] - margin).alias("w"), (lb["s"] - margin).alias("s"), (lb["e"] + margin).alias("e"), (lb["n"] + margin).alias("n"))
-    size = cell * F.pow(F.lit(float(FACTOR)), F.col("cell_.k"))
-    home = (F.floor(F.greatest(wide["w"], rb["w"]) / size) == F.col("cell_.i")) & (F.floor(F.greatest(wide["s"], rb["s"]) / size) == F.col("cell_.j"))
-    here = F.col("cell_.k") == F.greatest("level_", "r_level_")
-    return a.join(b, "cell_").where(here & G.bboxes_intersect(wide, rb) & home).drop("cell_", "level_", "r_level_")
+    """All pairs whose boxes, the left one widened by ``margin``, overlap or touch; right columns get the prefix r_. A row without a box has no pair."""
+    a = placed(left, left_box, cell, margin, True, owned_levels(right, right_box, cell))
+    b = placed(right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), f"r_{right_box}", cell, 0.0, False, owned_levels(left, left_box, cell, margin))
+    return a.join(b, "place_").where(met_at_home(F.col(left_box), F.col(f"r_{right_box}"), cell, F.col("place_"), margin)).drop("place_")
 
 
 def spatial_join(left: DataFrame, right: DataFrame, exact: Callable[[Column, Column], Column], cell: float, margin: float = 0.0) -> DataFrame:

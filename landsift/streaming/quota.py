@@ -9,8 +9,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from landsift.functions.geometry import bboxes_intersect, grid_cells
 from landsift.operators.filters import watch_predicate
+from landsift.operators.spatial import EVERY_LEVEL, met_at_home, placed
 
 
 def attempts_by_window(stream: DataFrame, window: str = "1 hour", late: str = "2 hours", limit: int = 100) -> DataFrame:
@@ -23,12 +23,12 @@ def attempts_by_window(stream: DataFrame, window: str = "1 hour", late: str = "2
 def alerts(records: DataFrame, watches: DataFrame, cell: float = 0.05) -> DataFrame:
     """Alerts of a stream of records (public_id, status, development_type, box) against a table of watches.
 
-    An equi-join on grid cells, as in the batch form: each record meets the watches of its own cells only, and the
-    watches may be any number. A pair is kept in the cell of the lower left corner of the boxes' common part.
+    An equi-join on the places of the batch form: each record meets the watches of its own cells only, and the
+    watches may be any number and any size. A record stands in all grids, as a stream can't know which of them watches own.
     """
-    w = watches.select("watch_id", "statuses", "types", F.col("box").alias("watch_box"), F.explode(grid_cells(F.col("box"), cell)).alias("cell_"))
-    r = records.withColumn("cell_", F.explode(grid_cells(F.col("box"), cell)))
-    a, b = F.col("box"), F.col("watch_box")
-    home = (F.floor(F.greatest(a["w"], b["w"]) / cell) == F.col("cell_.i")) & (F.floor(F.greatest(a["s"], b["s"]) / cell) == F.col("cell_.j"))
+    every = F.lit(EVERY_LEVEL)
+    w = placed(watches.select("watch_id", "statuses", "types", F.col("box").alias("watch_box")), "watch_box", cell, 0.0, False, every)
+    r = placed(records, "box", cell, 0.0, True, every)
     wanted = watch_predicate(F.col("status"), F.col("development_type"), F.col("statuses"), F.col("types"))
-    return r.join(w, "cell_").where(bboxes_intersect(a, b) & home & wanted).select("watch_id", "public_id")
+    met = met_at_home(F.col("box"), F.col("watch_box"), cell, F.col("place_"))
+    return r.join(w, "place_").where(met & wanted).select("watch_id", "public_id")

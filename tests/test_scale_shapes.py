@@ -28,7 +28,49 @@ def test_large_and_small_boxes_meet_once(spark):
         want = [(i, j) for i, a in left for j, b in right if a[0] - margin <= b[2] and b[0] <= a[2] + margin and a[1] - margin <= b[3] and b[1] <= a[3] + margin]
         assert sorted((x["id"], x["r_id"]) for x in got.collect()) == sorted(want)
     wide = spark.createDataFrame([(0, (-180.0, -90.0, 180.0, 90.0))], schema)
-    assert spatial._in_cells(wide.withColumn("level_", spatial._level(F.col("box"), 0.01, 0.0)), "box", 0.01, 0.0, 3, "level_").count() < 100
+    assert spatial.placed(wide, "box", 0.01, 0.0, True, F.lit(spatial.EVERY_LEVEL)).where("place_.kind = 0").count() < 100
+
+
+def test_one_box_over_all_adds_no_pairs_of_small_ones(spark):
+    """The rows that the join forms, before any test of boxes, stay in proportion when one box covers everything."""
+    def side(n, seed, more):
+        r = random.Random(seed)
+        found = [(k, (x := r.uniform(0, 2000), y := r.uniform(0, 2000), x + 1, y + 1)) for k in range(n)]
+        return spark.createDataFrame(found + more, "id int, box struct<w:double,s:double,e:double,n:double>")
+
+    def formed(left, right):
+        every = [spatial.owned_levels(df, "box", 10.0) for df in (right, left)]
+        a, b = spatial.placed(left, "box", 10.0, 0.0, True, every[0]), spatial.placed(right, "box", 10.0, 0.0, False, every[1])
+        return a.join(b, "place_").count()
+
+    over, n = [(-1, (-5.0, -5.0, 2005.0, 2005.0))], 3000
+    left, right = side(n, 1, []), side(n, 2, [])
+    plain = formed(left, right)
+    assert formed(left, side(n, 2, over)) <= plain + 3 * n
+    assert formed(side(n, 1, over), side(n, 2, over)) <= plain + 7 * n
+    got = spatial.candidate_pairs(left, side(n, 2, over), 10.0)
+    assert got.where("r_id = -1").count() == n
+
+
+def test_no_job_while_a_spatial_join_is_planned(spark):
+    boxes = spark.createDataFrame([(0, (0.0, 0.0, 1.0, 1.0))], "id int, box struct<w:double,s:double,e:double,n:double>")
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    spatial.candidate_pairs(boxes, boxes, 1.0).schema  # noqa: B018
+    assert set(tracker.getJobIdsForGroup(None)) == before
+
+
+def test_a_stream_of_records_meets_watches_of_any_size(spark, tmp_path):
+    from landsift.streaming import quota
+
+    kind = "public_id string, status string, development_type string, box struct<w:double,s:double,e:double,n:double>"
+    records = spark.createDataFrame([(f"r{k}", "final", "x", (k * 0.5, 0.0, k * 0.5 + 0.1, 0.1)) for k in range(40)], kind)
+    records.write.parquet(str(tmp_path / "in"))
+    watches = spark.createDataFrame([("all", None, None, (-180.0, -90.0, 180.0, 90.0)), ("some", None, None, (1.0, 0.0, 3.0, 1.0)), ("none", ["layout"], None, (0.0, 0.0, 9.0, 9.0))], "watch_id string, statuses array<string>, types array<string>, box struct<w:double,s:double,e:double,n:double>")
+    found = quota.alerts(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), watches)
+    found.writeStream.format("memory").queryName("met_watches").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["watch_id"]: r["count"] for r in spark.table("met_watches").groupBy("watch_id").count().collect()}
+    assert got == {"all": 40, "some": 5}
 
 
 def test_revisions_of_a_hot_key_do_not_depend_on_parts(spark):
