@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from landsift.llm.common import NO_ID, SPACE, crc_of_id, mix, parts_for, stored, without, told
+from landsift.llm.common import NO_ID, SPACE, crc_of_id, mix, parts_for, stored, told
 
 GAMMA, LEVELS = 1.5, 60
 GROUP = "digest binary, size bigint, chars bigint, id bigint, row bigint"
@@ -134,10 +135,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACE + "+", "")
 
 
-def group_exact(docs: DataFrame, in_history: Column) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 and row (a number of the row) of every row.
+def group_exact(docs: DataFrame, in_history: Column, tie: Column | None = None, *more: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, row and the columns ``more`` of every row.
 
-    ``in_history`` says which rows make up the history; the result doesn't depend on it.
+    ``in_history`` says which rows make up the history; the result doesn't depend on it. ``row`` is a number of the row, or ``tie``,
+    which then picks among rows of one id and length; rows that are alike in it are kept together.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -145,7 +147,8 @@ def group_exact(docs: DataFrame, in_history: Column) -> DataFrame:
         F.coalesce(F.char_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("chars"),
         F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"),
         F.coalesce(in_history, F.lit(False)).alias("old"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if tie is None else tie).alias("row"),
+        *more,
     )
     rows = stored(rows, "exact-rows")  # reads the texts once, and fixes the numbers of the rows
     shards = parts_for(rows.count(), 50_000)
@@ -153,7 +156,7 @@ def group_exact(docs: DataFrame, in_history: Column) -> DataFrame:
     groups = probe(index, _distinct(rows.where("not old")), shards)
     groups = groups.select("digest", "size", F.col("id").alias("best_id"), F.col("row").alias("best_row"))
     keep = F.when(F.col("best_id") != int(NO_ID), F.col("best_id"))
-    return told(rows, stored(groups, "exact-groups"), ["digest"]).select("doc_id", keep.alias("keep_id"), F.col("size").alias("group_size"), (F.col("row") == F.col("best_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row")
+    return told(rows, stored(groups, "exact-groups"), ["digest"]).select("doc_id", keep.alias("keep_id"), F.col("size").alias("group_size"), (F.col("row") == F.col("best_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row", *more)
 
 
 def half(doc_id: Column) -> Column:
@@ -165,12 +168,19 @@ def groups(docs: DataFrame) -> DataFrame:
     return group_exact(docs, half(F.col("doc_id"))).drop("row")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns; one row a text."""
-    columns = docs.columns
-    plain = without(docs, "keep_key")
-    held = group_exact(plain, half(F.col("doc_id"))).where("kept").select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("keep_key"), F.unhex("text_sha256").alias("keep_digest"))
-    key = plain.withColumn("keep_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))).withColumn("keep_digest", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    # repeated rows of one id and text are alike in all that decides; one of them is taken
-    kept = key.join(held, ["keep_key", "keep_digest"], "left_semi")
-    return kept.dropDuplicates(["keep_key", "keep_digest"]).select(*columns)
+def keep_first(docs: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns; one row a text.
+
+    Of rows of one id, text and length a hash of all columns picks, so the result doesn't depend on how the rows lie. Texts
+    are written once and not shuffled: rows that go are told by number, broadcast while they are ``most_broadcast`` at most.
+    """
+    number, columns = "keep_row", docs.columns
+    while number.lower() in {c.lower() for c in columns}:
+        number += "_"
+    texts = stored(docs.withColumn(number, F.monotonically_increasing_id()), "exact-texts")
+    content = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)])
+    told_rows = stored(group_exact(texts, half(F.col("doc_id")), content, number).select(number, "kept", "text_sha256"), "exact-told")
+    first = told_rows.where("kept").groupBy("text_sha256").agg(F.min(number).alias(number))  # of wholly repeated rows one
+    gone = stored(told_rows.select(number).join(first, number, "left_anti"), "exact-gone")
+    gone = F.broadcast(gone) if gone.count() <= most_broadcast else gone.hint("shuffle_merge")
+    return texts.join(gone, number, "left_anti").select(*[f"`{c}`" for c in columns])
