@@ -141,11 +141,20 @@ def _shards(size: int) -> int:
 
 
 def _counts(values: np.ndarray) -> bytes:
-    return _bytes(values, np.uint8 if not len(values) or values.max() < 256 else np.uint32)
+    """Counts of up to 64 bits, all of the width that the largest needs."""
+    most = int(values.max()) if len(values) else 0
+    return _bytes(values, np.uint8 if most < 1 << 8 else np.uint32 if most < 1 << 32 else np.uint64)
 
 
 def _uncounted(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, np.uint8 if len(blob) == n else np.uint32).astype(np.int64)
+    return np.frombuffer(blob, {1: np.uint8, 4: np.uint32, 8: np.uint64}[len(blob) // n if n else 1]).astype(np.int64)
+
+
+def _summed(at: np.ndarray, counts: list[np.ndarray], n: int) -> np.ndarray:
+    """The sums of ``counts`` by ``at``, whole numbers throughout."""
+    out = np.zeros(n, np.int64)
+    np.add.at(out, at, np.concatenate([np.zeros(0, np.int64), *counts]))
+    return out
 
 
 def _parts(shards: int):
@@ -198,13 +207,12 @@ def _shard(table: pa.Table, shards: int):
     rows = table.select(["shard", "words", "names", "word_counts", "pairs", "gaps", "pair_counts"]).to_pylist()
     named = pa.array([w for r in rows if r["words"] for w in r["names"].split(b" ")], pa.binary()).dictionary_encode()
     words, at = named.dictionary.to_pylist(), named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    none = [np.zeros(0, np.int64)]
-    exact = np.bincount(at, np.concatenate(none + [_uncounted(r["word_counts"], r["words"]) for r in rows]), len(words)).astype(np.int64)
+    exact = _summed(at, [_uncounted(r["word_counts"], r["words"]) for r in rows], len(words))
     hashes = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in words), np.uint64)[::2]
     keys = [word_keys(hashes)] + [_ungapped(r["gaps"], r["pairs"]) + r["shard"] * width for r in rows]
     counts = [exact] + [_uncounted(r["pair_counts"], r["pairs"]) for r in rows]
     keys, which = np.unique(np.concatenate(keys), return_inverse=True)
-    return words, exact, at, keys, np.bincount(which, np.concatenate(counts), len(keys)).astype(np.int64), which
+    return words, exact, at, keys, _summed(which, counts, len(keys)), which
 
 
 def _segments(shard: int, shards: int, keys: np.ndarray, counts: np.ndarray):

@@ -70,3 +70,11 @@ def test_a_text_longer_than_a_part(spark):
     rows = [(1, long), (2, "w1 w2"), (None, "w1"), (4, None), (2, "w1 w2 w3")]
     out = lm.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), lambda i: i != 2).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["held_out"]) for r in out) == [(0, 2, 2, False), (1, 1_000_001, 1_000_001, False), (2, 3, 3, True), (2, 4, 4, True), (4, 1, 1, False)]
+
+
+@pytest.mark.parametrize("most", [0, 255, 256, 2**32 - 1, 2**32, 2**32 + 5, 2**60])
+def test_counts_of_any_size_are_packed_whole(most):
+    values = np.array([most, 1, 0])
+    assert lm._uncounted(lm._counts(values), 3).tolist() == values.tolist()
+    assert lm._uncounted(lm._counts(values[:0]), 0).tolist() == []
+    assert lm._summed(np.array([1, 1, 0]), [values], 2).tolist() == [0, most + 1]
