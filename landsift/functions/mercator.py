@@ -1,19 +1,15 @@
-"""Web Mercator: the transform as column expressions; simplify and subdivide as Arrow-batched helpers."""
+"""Web Mercator: the transform as column expressions."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column
-from pyspark.sql import types as T
 
 from landsift.functions.geometry import point
 
 RADIUS, EXTENT, MOST_LAT = 6378137.0, 20_037_509.0, 85.05112878
-POLYGON = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
 
 
 def forward(p: Column) -> Column:
@@ -40,93 +36,3 @@ def tile_envelope(zoom: Column, x: Column, y: Column, extent: int = 4096, buffer
     edge, more = math.pi * RADIUS, side * buffer / extent
     w, n = x * side - edge, F.lit(edge) - y * side
     return F.struct((w - more).alias("w"), (n - side - more).alias("s"), (w + side + more).alias("e"), (n + more).alias("n"))
-
-
-def _simplify_ring(ring: np.ndarray, tolerance: float) -> np.ndarray:
-    """Farthest-point simplification of a closed ring, anchored at its first point and the point farthest from it."""
-    if tolerance <= 0 or len(ring) < 5:
-        return ring
-    open_ = ring[:-1]
-    far = int(((open_ - open_[0]) ** 2).sum(axis=1).argmax())
-    keep = np.zeros(len(ring), bool)
-    keep[[0, far, len(ring) - 1]] = True
-    todo = [(0, far), (far, len(ring) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        d = ring[b] - ring[a]
-        length = math.hypot(*d)
-        rest = ring[a + 1 : b] - ring[a]
-        off = np.abs(d[0] * rest[:, 1] - d[1] * rest[:, 0]) / length if length else np.hypot(rest[:, 0], rest[:, 1])
-        k = int(off.argmax())
-        if off[k] > tolerance:
-            keep[a + 1 + k] = True
-            todo += [(a, a + 1 + k), (a + 1 + k, b)]
-    out = ring[keep]
-    return out if len(out) >= 4 else ring
-
-
-def _clip(ring: np.ndarray, axis: int, at: float, below: bool) -> np.ndarray:
-    """The part of a closed ring on one side of a line that is parallel to an axis."""
-    side = ring[:, axis] <= at if below else ring[:, axis] >= at
-    out = []
-    for k in range(len(ring) - 1):
-        a, b = ring[k], ring[k + 1]
-        if side[k]:
-            out.append(a)
-        if side[k] != side[k + 1]:
-            t = (at - a[axis]) / (b[axis] - a[axis])
-            cut = a + t * (b - a)
-            cut[axis] = at
-            out.append(cut)
-    return np.array([*out, out[0]]) if len(out) > 2 else np.zeros((0, 2))
-
-
-def _halve(rings: list[np.ndarray], most: int) -> list[list[np.ndarray]]:
-    """Parts of at most ``most`` vertices, by halving the longer side of the box."""
-    done, todo = [], [(rings, 0)]
-    while todo:
-        part, depth = todo.pop()
-        if sum(len(r) for r in part) <= most or depth > 24:
-            done.append(part)
-            continue
-        low, high = part[0].min(axis=0), part[0].max(axis=0)
-        axis = int((high - low).argmax())
-        at = float((low[axis] + high[axis]) / 2)
-        for below in (False, True):
-            cut = [c for r in part if len(c := _clip(r, axis, at, below))]
-            if cut:
-                todo.append((cut, depth + 1))
-    return done
-
-
-def _rings(value) -> list[np.ndarray]:
-    return [np.array([(p["x"], p["y"]) for p in r], float).reshape(-1, 2) for r in value]
-
-
-def _back(rings: list[np.ndarray]) -> list[list[dict]]:
-    return [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]
-
-
-_RINGS = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
-
-
-@F.arrow_udf(POLYGON)
-def simplify(polygon: pa.Array, tolerance: pa.Array) -> pa.Array:
-    """Each ring simplified by its tolerance in the polygon's units; a hole that falls below it goes."""
-
-    def one(value, t):
-        if value is None:
-            return None
-        rings = [_simplify_ring(r, t) for r in _rings(value)]
-        return _back([r for k, r in enumerate(rings) if not k or t <= 0 or np.ptp(r, axis=0).max() > t])
-
-    return pa.array([one(v, t) for v, t in zip(polygon.to_pylist(), tolerance.to_pylist(), strict=True)], _RINGS)
-
-
-@F.arrow_udf(T.ArrayType(POLYGON))
-def subdivide(polygon: pa.Array, most: pa.Array) -> pa.Array:
-    """The polygon in parts of at most ``most`` vertices, in a fixed order."""
-    parts = lambda v, m: [_back(p) for p in sorted(_halve(_rings(v), m), key=lambda p: tuple(p[0].min(axis=0)))]
-    return pa.array([None if v is None else parts(v, m) for v, m in zip(polygon.to_pylist(), most.to_pylist(), strict=True)], pa.list_(_RINGS))

@@ -6,8 +6,8 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 
-from landsift.functions import mercator
-from landsift.functions.geometry import component_count, hole_count, shoelace
+from landsift.functions import display, mercator
+from landsift.functions.geometry import component_count, hole_count
 from landsift.functions.scalars import chained_digest
 from landsift.operators.tables import numbered_rows
 from landsift.scratch import stored
@@ -90,18 +90,24 @@ def bands(spark: SparkSession) -> DataFrame:
 def display_build(features: DataFrame, most_vertices: int = MOST_VERTICES) -> DataFrame:
     """Parts of each feature (feature_id, geom with one polygon) for each zoom band, with an error code instead of an exception.
 
-    Degrees are transformed, simplified by the band's tolerance, subdivided, and checked: as many
-    holes and components as before, the parts' areas add up to the whole, not too many parts.
+    Degrees are transformed, simplified by the band's tolerance without losing topology, subdivided, and checked: a valid polygon with
+    as many holes and components as before, parts that make it up exactly, not too many of them, and none with too many vertices.
     """
     spark = features.sparkSession
-    rows = features.crossJoin(F.broadcast(bands(spark)))  # five rows
+    rows = features.repartition("feature_id").crossJoin(F.broadcast(bands(spark)))  # five rows; geometry is work for many tasks, however few files it came from
     shell = F.col("geom.polys")[0]
-    rows = rows.withColumn("projected", mercator.polygon_forward(shell)).withColumn("simple", mercator.simplify("projected", F.col("tolerance").cast("double")))
-    rows = rows.withColumn("parts", mercator.subdivide("simple", F.lit(most_vertices)))
-    area = lambda rings: F.aggregate(rings, F.lit(0.0), lambda t, r: t + F.when(t == 0, 1).otherwise(-1) * F.abs(shoelace(r)) / 2)
-    whole = area(F.col("simple"))
-    pieces = F.aggregate("parts", F.lit(0.0), lambda t, p: t + area(p))
-    code = F.when(component_count(F.col("geom")) != 1, "not_one_polygon").when(F.size("simple") - 1 != hole_count(F.col("geom")), "hole_lost").when(whole <= 0, "collapsed").when(F.size("parts") > MOST_PARTS, "too_many_parts").when(F.abs(whole - pieces) > 1e-6 * whole, "parts_differ")
+    rows = rows.withColumn("projected", mercator.polygon_forward(shell)).withColumn("simple", display.simplify("projected", F.col("tolerance").cast("double")))
+    rows = rows.withColumn("parts", display.subdivide("simple", F.lit(most_vertices)))
+    rows = rows.withColumn("fault", display.polygon_fault("simple")).withColumn("same", display.recomposes("simple", "parts"))
+    sizes = F.transform("parts", lambda p: F.size(F.flatten(p)))
+    code = (
+        F.when(component_count(F.col("geom")) != 1, "not_one_polygon")
+        .when(F.size("simple") - 1 != hole_count(F.col("geom")), "hole_lost")
+        .when(F.col("fault").isNotNull(), F.concat(F.lit("invalid_"), "fault"))
+        .when(F.size("parts") > MOST_PARTS, "too_many_parts")
+        .when(F.exists(sizes, lambda n: n > most_vertices), "too_many_vertices")
+        .when(~F.col("same"), "parts_differ")
+    )
     return rows.select("feature_id", "band", "tolerance", F.size(F.flatten("simple")).alias("vertices"), F.size("parts").alias("part_count"), code.alias("error_code"), F.when(code.isNull(), F.col("parts")).alias("parts"))
 
 

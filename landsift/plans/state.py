@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
@@ -371,6 +373,40 @@ def display_bands_simplify_subdivide(spark, sf):
     return b.select("feature_id", "band", "vertices", "part_count", "error_code")
 
 
+def _corner_features(spark, sf) -> DataFrame:
+    """L shapes about the suppliers' places, their edges in 40 pieces, some with a square hole, its edges in 10."""
+    k = F.col("s_suppkey")
+    x, y, u = (-86880000 + ((k * 7919) % 460) * 1000) / 1000000.0, (34600000 + ((k * 104729) % 310) * 1000) / 1000000.0, 0.01 * (1 + k % 3)
+
+    def ring(corners, pieces: int):
+        places = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.lit(float(c - a)).alias("da"), F.lit(float(d - b)).alias("db")) for (a, b), (c, d) in zip(corners, corners[1:] + corners[:1], strict=True)])
+        turn = F.flatten(F.transform(places, lambda e: F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: G.point(x + u * (e["a"] + e["da"] * i / pieces), y + u * (e["b"] + e["db"] * i / pieces)))))
+        return F.concat(turn, F.slice(turn, 1, 1))
+
+    shell, hole = ring([(0, 0), (3, 0), (3, 1), (1, 1), (1, 3), (0, 3)], 40), ring([(0.25, 1.25), (0.25, 1.75), (0.75, 1.75), (0.75, 1.25)], 10)
+    geom = F.when(k % 3 == 0, G.polygon(shell, hole)).otherwise(G.polygon(shell))
+    return T.table(spark, sf, "supplier").select(F.concat(F.lit("l"), k).alias("feature_id"), geom.alias("geom"))
+
+
+def display_known_shapes(spark, sf):
+    """Vertices that are left in each band, and the area that the parts cover, of shapes for which both are known."""
+    b = reports.display_build(_corner_features(spark, sf), 128)
+    ring_area = lambda r: F.abs(G.shoelace(F.transform(r, lambda p: G.point(p["x"] - r[0]["x"], p["y"] - r[0]["y"])))) / 2
+    area = F.aggregate("parts", F.lit(0.0), lambda t, p: t + 2 * ring_area(p[0]) - F.aggregate(p, F.lit(0.0), lambda s, r: s + ring_area(r)))
+    return b.select("feature_id", "band", "vertices", F.floor(area / 100).alias("area_ha100"), (F.col("part_count") > 1).alias("divided"), F.coalesce("error_code", F.lit("")).alias("error_code"))
+
+
+_KNOWN_SHAPES = """
+WITH f AS (SELECT s_suppkey AS k, (34600000 + ((s_suppkey * 104729) % 310) * 1000) / 1000000.0 AS y, 0.01 * (1 + s_suppkey % 3) AS u FROM supplier),
+m AS (SELECT *, 6378137.0 * radians(u) AS x1, lambda_y(y) AS y0, lambda_y(y + u) AS y1, lambda_y(y + 3 * u) AS y3, lambda_y(y + 1.25 * u) AS h0, lambda_y(y + 1.75 * u) AS h1 FROM f),
+b(band, tolerance) AS (VALUES ('z08_10', 100), ('z11_12', 40), ('z13_14', 10), ('z15_16', 2), ('z17_18', 0))
+SELECT 'l' || k AS feature_id, band,
+  (CASE WHEN tolerance = 0 THEN 241 ELSE 7 END + CASE WHEN k % 3 <> 0 THEN 0 WHEN tolerance = 0 THEN 41 ELSE 5 END)::INTEGER AS vertices,
+  floor((3 * x1 * (y1 - y0) + x1 * (y3 - y1) - CASE WHEN k % 3 = 0 THEN 0.5 * x1 * (h1 - h0) ELSE 0 END) / 100)::BIGINT AS area_ha100,
+  tolerance = 0 AS divided, '' AS error_code FROM m, b"""
+_KNOWN_SHAPES = re.sub(r"lambda_y\(([^()]*)\)", r"6378137.0 * ln(tan(pi() / 4 + radians(\1) / 2))", _KNOWN_SHAPES)
+
+
 def display_band_report(spark, sf):
     return reports.band_report(reports.display_build(_ring_features(spark, sf), 128))
 
@@ -433,4 +469,5 @@ FROM customer LEFT JOIN p ON p.candidate_id = 'cand-' || c_custkey"""),
     "dag_topological_check": (dag_topological_check, _DAG),
     "display_bands_simplify_subdivide": (display_bands_simplify_subdivide, None),
     "display_band_report": (display_band_report, None),
+    "display_known_shapes": (display_known_shapes, _KNOWN_SHAPES),
 }
