@@ -9,6 +9,8 @@ consistent across pairs.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,6 +22,8 @@ from landsift.functions import pairs
 
 # Metres a degree, and the tolerance of the planar predicates, as a distance in the geometry's units.
 METRES_LON, METRES_LAT, EPSILON = pairs.METRES_LON, pairs.METRES_LAT, 1e-9
+#: The WGS 84 ellipsoid.
+SEMI_AXIS_KM, FLATTENING = 6378.137, 1 / 298.257223563
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 RING = T.ArrayType(POINT)
@@ -278,10 +282,28 @@ def same_geometry(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def _authalic_sine(lat: Column) -> Column:
+    """The sine of the authalic latitude: on a sphere of the ellipsoid's area, the place with as much area below it."""
+    e, pole = math.sqrt(FLATTENING * (2 - FLATTENING)), _authalic_pole()
+    es = F.sin(F.radians(lat)) * e
+    return F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (es / (1 - es * es) - F.log((1 - es) / (1 + es)) / 2) * ((1 - e * e) / e / pole)))
+
+
+def _authalic_pole() -> float:
+    e = math.sqrt(FLATTENING * (2 - FLATTENING))
+    return 1 - (1 - e * e) / (2 * e) * math.log((1 - e) / (1 + e))
+
+
 def geodesic_area_km2(ring: Column) -> Column:
-    """The area of a ring in degrees on a sphere of the earth's mean radius; within half a per cent of the ellipsoid's."""
-    turn = lambda s: F.radians(s["b"]["x"] - s["a"]["x"]) * (2 + F.sin(F.radians(s["a"]["y"])) + F.sin(F.radians(s["b"]["y"])))
-    return F.abs(F.aggregate(_pairs(ring), F.lit(0.0), lambda t, s: t + turn(s))) * (6371.0088**2 / 2)
+    """The area of a ring in degrees on the WGS 84 ellipsoid, its edges great circles of the sphere that has the ellipsoid's area.
+
+    For edges of some tens of kilometres these are its geodesics to some parts in ten million.
+    """
+    half = lambda p: F.tan(F.asin(_authalic_sine(p["y"])) / 2)
+    turn = lambda a, b, t: F.tan(F.radians(b["x"] - a["x"]) / 2) * t
+    placed = F.transform(ring, lambda p: F.struct(p["x"].alias("x"), half(p).alias("t")))
+    excess = lambda s: 2 * F.atan2(turn(s["a"], s["b"], s["a"]["t"] + s["b"]["t"]), 1 + s["a"]["t"] * s["b"]["t"])
+    return F.abs(F.aggregate(_pairs(placed), F.lit(0.0), lambda t, s: t + excess(s))) * (SEMI_AXIS_KM**2 * _authalic_pole() / 2)
 
 
 @F.arrow_udf(T.StringType())
