@@ -22,9 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landsift.llm.common import without
+from landsift.llm.common import text_size, without
 
 MOST_SOURCES, MOST_RATE = 10_000, 200.0
+PART_BYTES = 256 << 20  # of text a part of the result, about
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -76,7 +77,8 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, alpha: float =
     key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy_no").cast("string")).cast("binary"))
     out = many.select(*columns, "copy_no", key.alias("mix_key"))
     # the keys are md5s, so even ranges of their first 32 bits hold even shares: a total order without sampling the rows first
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // 200_000))
+    rows, size = text_size(docs) if "text" in docs.columns else (docs.count(), 0)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 200_000), -(-size // PART_BYTES))
     place = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("double") * parts / float(1 << 32)).cast("int")
     return out.repartitionById(parts, place).sortWithinPartitions("mix_key")
 

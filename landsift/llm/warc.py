@@ -1,8 +1,8 @@
 """WARC: a deterministic sharded writer, and a reader.
 
-Records are dealt to shards by ranges of page_id (the same number of ids a shard) and sorted by it in
-each shard, so the same pages give the same archives on any cluster. How many ids a shard has and where files roll
-follows from the pages' bytes alone: shards of a 256th of them, from 16 MB to 4 GB, files of a sixteenth of a shard, and
+Records are dealt to shards by ranges of page_id (about the same number of pages a shard, by a histogram of the ids, which may be
+sparse) and sorted by it in each shard, so the same pages give the same archives on any cluster. How many pages a shard has and where
+files roll follows from the pages' bytes alone: shards of a 256th of them, from 16 MB to 4 GB, files of a sixteenth of a shard, and
 as many tasks as there are shards. A shard is written as files of
 gzip members, one a record; a file is closed when its compressed size reaches ``roll``. Headers are
 made anew: lengths, ids that follow from the payload's digest and page_id, sha1 digests of block and
@@ -13,7 +13,9 @@ lost or repeated task leaves no half archive. Reading checks every record's dige
 Of records with equal payloads of at least ``least`` bytes the one with the largest page_id is the
 response; the others are revisit records that name it. Equality is that of SHA-1 and length.
 
-Rows: a null html is an empty payload, a null url an empty target. Rows with a null page_id are
+Folders are named as Hadoop resolves them and opened by pyarrow, so they must be in a file system that both know.
+
+Rows: an empty table gives archives of no record; a payload of any length is one record, which a task holds whole. A null html is an empty payload, a null url an empty target. Rows with a null page_id are
 responses, in shards of their own (named none-) to which a hash of the payload deals them; negative ids have shards like others (named m). Repeated rows of one page_id and payload: the one
 that is kept as response is the first in the shard, the others revisit it.
 """
@@ -30,7 +32,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landsift.llm.common import fresh_dir, parts_for, stored, text_size
@@ -50,6 +52,12 @@ def _file_system(uri: str):
     return fs.LocalFileSystem(), uri
 
 
+def qualified(spark, folder: str) -> str:
+    """The folder with the scheme that Spark itself would read it by."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def payloads(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, payload_digest, payload_bytes of each page."""
     rows = pages.select(
@@ -171,7 +179,7 @@ def _commit(folder: str):
 
 
 def sizes(pages: DataFrame) -> tuple[int, int, int, int]:
-    """(ids a shard, where files roll, tasks, shards of rows without an id) for these pages."""
+    """(pages a shard, where files roll, tasks, shards of rows without an id) for these pages."""
     rows, total = text_size(pages, "html")
     shard_bytes = min(max(total // 256, 16 << 20), 4 << 30)
     ids = 1 << max(round(math.log2(max(shard_bytes * max(rows, 1) / max(total, 1), 1))), 0)
@@ -179,18 +187,67 @@ def sizes(pages: DataFrame) -> tuple[int, int, int, int]:
     return min(ids, 1 << 40), min(max(shard_bytes // 16, 1 << 20), 1 << 30), max(shards, 8), shards
 
 
+def _prefix(shift: int) -> Column:
+    """The leading bits of an id, in the order of ids, negative ones first."""
+    return F.shiftrightunsigned(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63))), shift)
+
+
+def id_shards(ids: DataFrame, each: int) -> dict[int, list[tuple[int, int]]]:
+    """Shards of about ``each`` of the ids (page_id): for each number of bits left out, the leading bits and their shard.
+
+    A histogram by leading bits is refined where more than ``each`` ids share them; shards are runs of its cells. The driver
+    holds a few thousand cells, and at most 256 more a shard and round.
+    """
+    low, high = ids.agg(F.min("page_id"), F.max("page_id")).first()
+    if low is None:
+        return {}
+    shift = max(((low + (1 << 63)) ^ (high + (1 << 63))).bit_length() - 12, 0)
+    cells, rows = [], ids
+    while True:
+        found = rows.groupBy(_prefix(shift).alias("prefix")).count().collect()
+        heavy = [r.prefix for r in found if r["count"] > each and shift]
+        cells += [((r.prefix % (1 << 64)) << shift, shift, r.prefix, r["count"]) for r in found if not (r["count"] > each and shift)]
+        if not heavy:
+            break
+        crowded = ids.sparkSession.createDataFrame([(h,) for h in heavy], "prefix bigint")
+        rows = rows.join(F.broadcast(crowded), _prefix(shift) == F.col("prefix"), "left_semi")
+        shift = max(shift - 8, 0)
+    out: dict[int, list[tuple[int, int]]] = {}
+    shard = held = 0
+    for _, bits, prefix, n in sorted(cells):
+        if held and held + n > each:
+            shard, held = shard + 1, 0
+        held += n
+        out.setdefault(bits, []).append((prefix, shard))
+    return out
+
+
+def _with_shard(rows: DataFrame, shards: dict[int, list[tuple[int, int]]]) -> DataFrame:
+    """``rows`` with the shard of their page_id: a broadcast join for each length of leading bits, mostly one."""
+    found = []
+    for bits, pairs in shards.items():
+        table = rows.sparkSession.createDataFrame(pairs, f"prefix_{bits} bigint, shard_{bits} bigint")
+        rows = rows.join(F.broadcast(table), _prefix(bits) == F.col(f"prefix_{bits}"), "left_outer").drop(f"prefix_{bits}")
+        found.append(f"shard_{bits}")
+    return rows.withColumn("shard", F.coalesce(*found, F.lit(0).cast("long"))).drop(*found)
+
+
 def write(pages: DataFrame, folder: str, ids_a_shard: int | None = None, roll: int | None = None, least: int = 1000) -> DataFrame:
-    """Write the archives of ``pages`` into ``folder``; the manifest, a row a file."""
-    own_ids, own_roll, count, empty_shards = sizes(pages)
-    ids_a_shard, roll = ids_a_shard or own_ids, roll or own_roll
+    """Write the archives of ``pages`` into ``folder``; the manifest, a row a file. ``ids_a_shard`` deals by numbers of ids instead of pages."""
+    folder = qualified(pages.sparkSession, folder)
+    pages_a_shard, own_roll, count, empty_shards = sizes(pages)
+    roll = roll or own_roll
     rows = payloads(pages)
     # a decision travels as a row without payload that sorts before its records; the payloads are shuffled once
     none = F.lit(None)
     decided = revisits(rows, least).select("page_id", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "payload_digest", none.cast("long").alias("payload_bytes"), "refers_to")
     rows = rows.withColumn("refers_to", none.cast("long")).unionByName(decided)
-    shard = F.floor(F.col("page_id") / F.lit(ids_a_shard)).cast("long") if ids_a_shard > 1 else F.col("page_id")
+    if ids_a_shard:
+        rows = rows.withColumn("shard", F.floor(F.col("page_id") / F.lit(ids_a_shard)).cast("long") if ids_a_shard > 1 else F.col("page_id"))
+    else:
+        rows = _with_shard(rows, id_shards(pages.select(F.col("page_id").cast("long").alias("page_id")).where("page_id IS NOT NULL"), pages_a_shard))
     none_shard = F.lit(NO_ID_SHARDS) + F.pmod(F.crc32(F.col("payload_digest").cast("binary")), F.lit(empty_shards))
-    rows = rows.withColumn("shard", F.when(F.col("page_id").isNull(), none_shard).otherwise(shard))
+    rows = rows.withColumn("shard", F.when(F.col("page_id").isNull(), none_shard).otherwise(F.col("shard")))
     dealt = rows.repartitionByRange(count, "shard").sortWithinPartitions("shard", "page_id", "payload_digest", F.col("payload").isNotNull(), "url")
     manifest = stored(dealt.mapInArrow(_writer(folder, roll, least), MANIFEST), "warc-manifest")
     done = stored(manifest.repartition(count).mapInArrow(_commit(folder), MANIFEST), "warc-committed")
@@ -251,6 +308,7 @@ def _reader(folder: str):
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """The records of the archives that ``manifest`` names; a revisit has an empty payload."""
+    folder = qualified(manifest.sparkSession, folder)
     total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     count = parts_for(total, 4 << 20, 8)
     return manifest.select("name").repartition(count).mapInArrow(_reader(folder), RECORDS)

@@ -150,4 +150,4 @@ def test_queries_give_the_rows_of_their_sql(spark, name):
 
 def test_every_operator_has_its_query():
     names = queries.queries()
-    assert len([n for n in names if n.startswith("op")]) == 10 and "pipeline" in names
+    assert len([n for n in names if n.startswith("op")]) == 13 and "pipeline" in names

@@ -21,7 +21,7 @@ def test_rows_without_an_id_and_negative_ids_have_shards_like_others(spark, tmp_
     monkeypatch.setattr(warc, "sizes", lambda _: (10, 1 << 20, 8, 4))
     rows = [(None, f"u{i}", f"page {i}") for i in range(40)] + [(i - 20, "u", f"text {i}") for i in range(40)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    manifest = warc.write(pages, str(tmp_path / "w"))
+    manifest = warc.write(pages, str(tmp_path / "w"), ids_a_shard=10)
     names = [r["name"] for r in manifest.collect()]
     assert sum(n.startswith("none-") for n in names) == 4
     assert sorted(n for n in names if not n.startswith("none-")) == ["0000000000-00000.warc.gz", "0000000001-00000.warc.gz", "m0000000001-00000.warc.gz", "m0000000002-00000.warc.gz"]
@@ -50,3 +50,26 @@ def test_vectors_of_the_first_length_only(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.digest(df).orderBy("rank").collect()]
     assert got == [(100, 1, 3, 5 << 20), (100, 2, 3, 5 << 20), (100, 3, 1, 3 << 19)]
+
+
+def test_sparse_ids_make_no_more_files_than_dense_ones(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id")).alias("html"))
+    files = []
+    for k, page_id in enumerate((F.col("page_id"), F.xxhash64("page_id"), F.when(F.col("page_id") < 10, F.lit(-(2**62)) + F.col("page_id")).otherwise(F.lit(2**61) + F.col("page_id")))):
+        folder = str(tmp_path / f"w{k}")
+        manifest = warc.write(pages.withColumn("page_id", page_id), folder)
+        files.append(manifest.count())
+        assert warc.read(manifest, folder).select("page_id").distinct().count() == 20_000
+    assert files[0] == files[1] == files[2]
+
+
+def test_shards_follow_the_ids(spark):
+    ids = [0, 1, 2, 3, 10**15, 10**15 + 1, 10**15 + 2, -(2**63), 2**63 - 1, *range(5000, 5400)]
+    df = spark.createDataFrame([(i,) for i in ids], "page_id bigint")
+    shards = warc.id_shards(df, 50)
+    got = {r.page_id: r.shard for r in warc._with_shard(df, shards).collect()}
+    order = [got[i] for i in sorted(ids)]
+    assert order == sorted(order) and max(order.count(s) for s in set(order)) <= 50 and len(set(order)) <= 18
+    assert warc.id_shards(df.limit(0), 50) == {}
