@@ -137,7 +137,7 @@ def test_pipeline(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_give_the_rows_of_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cursor = con.execute(queries.oracle_sql()[name])
     names = sorted(d[0] for d in cursor.description)
