@@ -5,8 +5,9 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
+from landsift import scratch
 from landsift.functions import geometry as G
-from landsift.operators import deliveries, filters, review, spatial, watches
+from landsift.operators import deliveries, filters, review, scopes, spatial, watches
 from landsift.plans.state import _VERSIONS
 from landsift.sources import testdata as T
 
@@ -102,7 +103,22 @@ b AS (SELECT public_id, d, pole, tan(asin((low / (1 - low * low) - ln((1 - low)
 x AS (SELECT public_id, abs(2 * atan2(tan(d / 2) * 2 * b, 1 + b * b) - 2 * atan2(tan(d / 2) * 2 * a, 1 + a * a)) * 6378.137 * 6378.137 * pole / 2 AS area FROM b)
 SELECT public_id, floor(area * 10000 + 0.5)::BIGINT AS area, area <= 0.0121 AS small FROM x"""
 
+def scope_coverage(spark, sf):
+    """Records that a scope covers exactly: the watches' rectangles, less a rectangle in their middle, as GeoJSON."""
+    t = T.watches(spark, sf)
+    ring = lambda w, s, e, n: F.format_string("[[%s,%s],[%s,%s],[%s,%s],[%s,%s],[%s,%s]]", *(v.cast("string") for v in (w, s, e, s, e, n, w, n, w, s)))
+    d = lambda c, more=0: T.degrees(F.col(c) + more)
+    shell, hole = ring(d("w"), d("s"), d("e"), d("n")), ring(d("w", 8000), d("s", 6000), d("w", 12000), d("s", 9000))
+    declared = scopes.declared(t.select(F.col("watch_id").alias("scope_id"), F.concat(F.lit('{"type":"Polygon","coordinates":['), shell, F.lit(","), hole, F.lit("]}")).alias("geojson")))
+    r = T.records(spark, sf).select(F.col("public_id").alias("feature_id"), G.polygon(G.box_ring(d("w"), d("s"), d("e"), d("n"))).alias("geom"))
+    return scopes.covered(r.withColumn("box", G.bbox(F.col("geom"))), scratch.stored(declared, "scopes"), 0.02).select("feature_id", "scope_id")
+
+
+_SCOPES = f"""{T.with_sql('records', 'watches')} SELECT public_id AS feature_id, watch_id AS scope_id FROM records r JOIN watches t ON r.w >= t.w AND r.e <= t.e AND r.s >= t.s AND r.n <= t.n
+WHERE NOT (r.w < t.w + 12000 AND r.e > t.w + 8000 AND r.s < t.s + 9000 AND r.n > t.s + 6000)"""
+
 QUERIES: dict[str, tuple] = {
+    "scope_coverage": (scope_coverage, _SCOPES),
     "watch_transitions": (watch_transitions, _TRANSITIONS),
     "watch_notices": (watch_notices, _NOTICES),
     "delivery_lifecycle": (delivery_lifecycle, _LIFECYCLE),
