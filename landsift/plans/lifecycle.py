@@ -110,8 +110,9 @@ def scope_coverage(spark, sf):
     d = lambda c, more=0: T.degrees(F.col(c) + more)
     shell, hole = ring(d("w"), d("s"), d("e"), d("n")), ring(d("w", 8000), d("s", 6000), d("w", 12000), d("s", 9000))
     declared = scopes.declared(t.select(F.col("watch_id").alias("scope_id"), F.concat(F.lit('{"type":"Polygon","coordinates":['), shell, F.lit(","), hole, F.lit("]}")).alias("geojson")))
-    r = T.records(spark, sf).select(F.col("public_id").alias("feature_id"), G.polygon(G.box_ring(d("w"), d("s"), d("e"), d("n"))).alias("geom"))
-    return scopes.covered(r.withColumn("box", G.bbox(F.col("geom"))), scratch.stored(declared, "scopes"), 0.02).select("feature_id", "scope_id")
+    box = F.struct(*[d(c).alias(c) for c in "wsen"]).alias("box")
+    r = T.records(spark, sf).select(F.col("public_id").alias("feature_id"), G.polygon(G.box_ring(d("w"), d("s"), d("e"), d("n"))).alias("geom"), box)
+    return scopes.covered(r, scratch.stored(declared, "scopes"), 0.02).select("feature_id", "scope_id")
 
 
 _SCOPES = f"""{T.with_sql('records', 'watches')} SELECT public_id AS feature_id, watch_id AS scope_id FROM records r JOIN watches t ON r.w >= t.w AND r.e <= t.e AND r.s >= t.s AND r.n <= t.n
