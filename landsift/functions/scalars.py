@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 
@@ -171,6 +173,14 @@ def chained_digest(items: Column) -> Column:
     return F.aggregate(items, F.lit(""), lambda a, x: F.sha2(F.concat(a, x), 256))
 
 
+def hmac_sha256(secret: bytes, message: Column) -> Column:
+    """HMAC-SHA256 of a text or bytes, in lowercase hex."""
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    pad = lambda x: F.unhex(F.lit(bytes(b ^ x for b in key).hex()))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
 def blob_key(sha: Column) -> Column:
     """Where content of this digest is kept."""
     return F.concat_ws("/", F.lit("sha256"), F.substring(sha, 1, 2), F.substring(sha, 3, 2), sha)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 
-from landsift.functions.scalars import contact_hash, fingerprint, normalized_email, public_url, stable_id
+from landsift.functions.addresses import address_text, let, within, words
+from landsift.functions.scalars import contact_hash, fingerprint, hmac_sha256, normalized_email, public_url, stable_id
 
 # What public rows may say.
 COVERAGE = ("complete", "partial", "failed", "unknown")
@@ -52,40 +55,45 @@ def rejection_counts(reasons: DataFrame) -> DataFrame:
     return reasons.groupBy(known.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def ip_number(text: Column) -> Column:
-    """An IPv4 address as a number; null for what isn't one."""
-    parts = F.split(F.trim(text), r"\.")
-    octet = lambda i: F.try_element_at(parts, F.lit(i)).cast("long")
-    good = F.trim(text).rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$")
-    return F.when(good, octet(1) * 16777216 + octet(2) * 65536 + octet(3) * 256 + octet(4))
-
-
 def client_address(peer: Column, forwarded: Column, trusted: list[tuple[str, int]], most: int = 2048) -> Column:
     """Who asks: the peer, or, while the nearest address is a trusted proxy (network, prefix bits), the next one of the chain from its right end.
 
-    A chain that is too long or holds what isn't an address is not believed.
+    Addresses are IPv4, IPv6 or mapped, and told in their normal text. A chain that is too long or holds what isn't an address is not
+    believed. A peer that isn't an address is 0.0.0.0.
     """
-    ranges = []
-    for network, bits in trusted:
-        number = sum(int(x) << s for x, s in zip(network.split("."), (24, 16, 8, 0), strict=True))
-        ranges.append((number >> (32 - bits), 32 - bits))
+    networks = [ipaddress.ip_network(f"{network}/{bits}") for network, bits in trusted]
 
     def is_trusted(address: Column) -> Column:
         out = F.lit(False)
-        for head, shift in ranges:
-            out = out | F.coalesce(F.shiftright(ip_number(address), shift) == head, F.lit(False))
+        for network in networks:
+            out = out | within(address, network)
         return out
 
-    chain = F.filter(F.reverse(F.split(forwarded, ",")), lambda a: F.lit(True))
-    start = F.struct(peer.alias("now"), F.lit(False).alias("stopped"), F.lit(False).alias("broken"))
+    def told(own: Column) -> Column:
+        chain = F.transform(F.reverse(F.split(forwarded, ",")), words)
+        start = F.struct(own.alias("now"), F.lit(False).alias("stopped"), F.lit(False).alias("broken"))
+
+        def step(acc: Column, next_: Column) -> Column:
+            stop = acc["stopped"] | ~is_trusted(acc["now"])
+            bad = ~stop & next_.isNull()
+            return F.struct(F.when(stop | bad, acc["now"]).otherwise(next_).alias("now"), (stop | bad).alias("stopped"), (acc["broken"] | bad).alias("broken"))
 
-    def step(acc: Column, raw: Column) -> Column:
-        stop = acc["stopped"] | ~is_trusted(acc["now"])
-        bad = ~stop & ip_number(raw).isNull()
-        return F.struct(F.when(stop | bad, acc["now"]).otherwise(F.trim(raw)).alias("now"), (stop | bad).alias("stopped"), (acc["broken"] | bad).alias("broken"))
+        believed = F.when(F.char_length(forwarded) <= most, F.aggregate(chain, start, step))
+        return let(believed, lambda b: F.when(b.isNull() | b["broken"], own).otherwise(b["now"]))
 
-    told = F.aggregate(chain, start, step)
-    return F.when(forwarded.isNull() | (F.char_length(forwarded) > most) | ~is_trusted(peer), peer).otherwise(F.when(told["broken"], peer).otherwise(told["now"]))
+    own = F.coalesce(words(peer), F.array(F.lit(0), F.lit(0)))
+    return address_text(let(own, told))
+
+
+def client_key(secret: bytes, at: Column, route: Column, address: Column) -> Column:
+    """What a quota counts by: an HMAC of the hour (UTC), the route and the address, so that no address is stored.
+
+    The session's time zone must be UTC. The secret has 32 bytes at least; it is part of the plan's text.
+    """
+    if len(secret) < 32:
+        raise ValueError("the secret is too short")
+    hour = F.date_format(F.date_trunc("hour", at), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    return hmac_sha256(secret, F.concat_ws("|", hour, route, address))
 
 
 def public_count(value: Column) -> Column:
