@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landsift.plans import fields, files, intake, lifecycle, records, state
+from landsift.plans import fields, files, intake, lifecycle, proofs, records, state
 
-_ALL = records.QUERIES | fields.QUERIES | state.QUERIES | intake.QUERIES | files.QUERIES | lifecycle.QUERIES
+_ALL = records.QUERIES | fields.QUERIES | state.QUERIES | intake.QUERIES | files.QUERIES | lifecycle.QUERIES | proofs.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
