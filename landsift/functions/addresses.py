@@ -43,10 +43,10 @@ def words(text: Column) -> Column:
 
     def parsed(t: Column) -> Column:
         tail = F.regexp_extract(t, r":([0-9.]+)$", 1)
-        dotted = F.when(tail.contains("."), F.when(tail.rlike(V4), let(_v4_words(tail), lambda w: F.concat(F.regexp_extract(t, r"^(.*:)[0-9.]+$", 1), F.lower(F.hex(w[0])), F.lit(":"), F.lower(F.hex(w[1])))))).otherwise(t)
+        dotted = F.when(t.contains("."), F.when(tail.rlike(V4), let(_v4_words(tail), lambda w: F.concat(F.regexp_extract(t, r"^(.*:)[0-9.]+$", 1), F.lower(F.hex(w[0])), F.lit(":"), F.lower(F.hex(w[1])))))).otherwise(t)
         six = let(dotted, _v6_words)
         mapped = lambda w: F.forall(F.slice(w, 1, 5), lambda x: x == 0) & (w[5] == 65535)
-        return F.when(t.rlike(V4), _v4_words(t)).when(t.contains(":"), let(six, lambda w: F.when(mapped(w), F.slice(w, 7, 2)).otherwise(w)))
+        return F.when(t.contains(":"), let(six, lambda w: F.when(mapped(w), F.slice(w, 7, 2)).otherwise(w))).when(t.rlike(V4), _v4_words(t))
 
     return let(F.regexp_replace(text, r"^\s+|\s+$", ""), parsed)
 
@@ -59,12 +59,14 @@ def address_text(of: Column) -> Column:
         hexed = F.transform(w, lambda x: F.lower(F.hex(x)))
 
         def shortened(run: Column) -> Column:
-            left = F.slice(hexed, F.lit(1), run["at"] - 1)
-            right = F.slice(hexed, run["at"] + run["n"], F.lit(8))
-            return F.concat(F.array_join(left, ":"), F.lit("::"), F.array_join(right, ":"))
-
-        runs = [F.when(F.locate("0" * n, mask) > 0, F.struct(F.locate("0" * n, mask).alias("at"), F.lit(n).alias("n"))) for n in range(8, 1, -1)]
-        return let(F.coalesce(*runs), lambda run: F.when(run.isNull(), F.array_join(hexed, ":")).otherwise(shortened(run)))
+            left = F.slice(run["hexed"], F.lit(1), run["at"] - 1)
+            right = F.slice(run["hexed"], run["at"] + run["n"], F.lit(8))
+            return F.when(run["n"] < 2, F.array_join(run["hexed"], ":")).otherwise(F.concat(F.array_join(left, ":"), F.lit("::"), F.array_join(right, ":")))
+
+        longest = lambda m: F.array_max(F.transform(F.split(m, "x"), F.length))
+        placed = lambda r: F.struct(r["n"].alias("n"), F.position(F.repeat(F.lit("0"), r["n"]), r["mask"]).alias("at"), hexed.alias("hexed"))
+        found = let(mask, lambda m: let(F.struct(m.alias("mask"), longest(m).alias("n")), placed))
+        return let(found, shortened)
 
     four = lambda w: F.concat_ws(".", *[F.floor(w[k] / 256).cast("string") if high else (w[k] % 256).cast("string") for k in (0, 1) for high in (True, False)])
     return let(of, lambda w: F.when(F.size(w) == 2, four(w)).when(F.size(w) == 8, six(w)))
