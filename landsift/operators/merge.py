@@ -26,14 +26,15 @@ def quarantine(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 def merge(registry: DataFrame, batch: DataFrame) -> DataFrame:
     """Every anchor of the registry or the batch, with what the merge did to it: inserted, changed, seen or kept.
 
-    ``batch`` has one row an anchor. Public id and discovery date stay those of the registry.
+    ``batch`` has one row an anchor, and may name the public ids of new ones. Public id and discovery date stay those of the registry.
     """
-    new = batch.select(*ANCHOR, fingerprint(F.col("content")).alias("new_print"), F.col("seen_on").alias("new_seen"))
+    own = F.col("public_id") if "public_id" in batch.columns else public_id("rec", F.col("source_key"), F.col("record_id"))
+    new = batch.select(*ANCHOR, own.alias("new_id"), fingerprint(F.col("content")).alias("new_print"), F.col("seen_on").alias("new_seen"))
     both = registry.join(new, ANCHOR, "full_outer")
     what = F.when(F.col("fingerprint").isNull(), "inserted").when(F.col("new_print").isNull(), "kept").when(F.col("new_print") != F.col("fingerprint"), "changed").otherwise("seen")
     return both.select(
         *ANCHOR,
-        F.coalesce("public_id", public_id("rec", F.col("source_key"), F.col("record_id"))).alias("public_id"),
+        F.coalesce("public_id", "new_id").alias("public_id"),
         F.coalesce("discovered_on", "new_seen").alias("discovered_on"),
         F.coalesce("new_seen", "last_seen_on").alias("last_seen_on"),
         F.coalesce("new_print", "fingerprint").alias("fingerprint"),

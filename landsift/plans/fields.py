@@ -337,9 +337,9 @@ def links_discover(spark, sf):
     return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.min("href").alias("least"))
 
 
-def normalize_features(spark, sf):
-    """Features of three sources, dealt by key, each by its own normalizer."""
-    o, k = T.records(spark, sf), F.col("rec_key")
+def source_features(o: DataFrame) -> DataFrame:
+    """Records as features of three sources, dealt by key."""
+    k = F.col("rec_key")
     ring = F.format_string("[[%s,%s],[%s,%s],[%s,%s],[%s,%s],[%s,%s]]", *(T.degrees(F.col(c)).cast("string") for c in ("w", "s", "e", "s", "e", "n", "w", "n", "w", "s")))
     props = F.create_map(F.lit("SubdID"), F.col("rec_key").cast("string"), F.lit("Subdivision"), F.col("title"), F.lit("Phase"), F.when(F.col("rec_key") % 100 == 0, "Phase 2"), F.lit("Status"), F.initcap("status"), F.lit("HousingUnits"), F.lit("12"), F.lit("HousingUnitType"), F.lit("Homes"))
     day = F.col("date_discovered").cast("date")
@@ -348,7 +348,12 @@ def normalize_features(spark, sf):
     point = F.format_string('{"type":"Point","coordinates":[%s,%s]}', T.degrees(F.col("w")).cast("string"), T.degrees(F.col("s")).cast("string"))
     polygon = F.format_string('{"type":"Polygon","coordinates":[%s]}', ring)
     by = lambda a, b, c: F.when(k % 3 == 0, a).when(k % 3 == 1, b).otherwise(c)
-    f = o.select(by(*map(F.lit, ("city_subdivisions", "city_permits", "county_subdivisions"))).alias("source"), by(props, permit, county).alias("properties"), by(polygon, point, polygon).alias("geometry_json"))
+    return o.select("rec_key", by(*map(F.lit, ("city_subdivisions", "city_permits", "county_subdivisions"))).alias("source"), by(props, permit, county).alias("properties"), by(polygon, point, polygon).alias("geometry_json"))
+
+
+def normalize_features(spark, sf):
+    """Each feature by its own source's normalizer."""
+    f = source_features(T.records(spark, sf))
     n = normalize.normalize_all(f, "2024-02-01T00:00:00Z")
     return n.select("source_key", "source_record_id", "public_id", "title", "status", "source_status", "description", "permit_issue_date", "approval_date", "confidence_level", "date_discovered")
 

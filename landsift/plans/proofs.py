@@ -6,7 +6,8 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from landsift import scratch
-from landsift.operators import digests, intake
+from landsift.operators import digests, ingest, intake
+from landsift.plans import fields
 from landsift.sources import blobs
 from landsift.sources import testdata as T
 
@@ -91,6 +92,38 @@ SELECT band, CASE WHEN kind = '1' AND odds > 0 THEN 'checkpoint_result_count_mis
 CASE kind WHEN '2' THEN odd_made WHEN '4' THEN made ELSE 0 END::BIGINT AS bad_features, CASE WHEN kind IN ('1', '2') AND odds > 0 THEN least(top + 1, first_odd // {FAN} * {FAN}) ELSE top + 1 END::BIGINT AS resume_at FROM b"""
 
 
+def ingest_runs(spark, sf):
+    """Two runs of three sources, with ids that are missing or doubled, new, changed and missing records, a source that reports more and one that fails: the second's health."""
+    folder, r, k = scratch.fresh_dir(spark, "ingest"), T.records(spark, sf), F.col("rec_key")
+    f = T.features(spark, sf).where("category = 'floodplain'").withColumn("box", F.struct(*[T.degrees(F.col(c)).alias(c) for c in "wsen"])).withColumn("geom", T.square())
+    context = f.select("category", "feature_order", "feature_id", "geom", "box")
+
+    def odd(records: DataFrame) -> DataFrame:
+        rows = fields.source_features(records)
+        city = F.col("source") == "city_subdivisions"
+        nameless = F.when((k % 40 == 13) & ~city, F.map_filter("properties", lambda name, _: ~name.isin("PermitID", "Subd_ID"))).otherwise(F.col("properties"))
+        times = F.when((k % 50 == 11) & ~city, 2).otherwise(1)
+        return rows.withColumn("properties", nameless).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("copy", "rec_key")
+
+    fetched = lambda *rows: spark.createDataFrame([(*r,) for r in rows], "key string, status string, reported_count long, declared string")
+    names = ("city_subdivisions", "city_permits", "county_subdivisions")
+    ingest.ingest(odd(r.where(k % 4 != 1)), context, fetched(*[(n, "healthy", None, "complete") for n in names]), "2024-02-01T00:00:00Z", f"{folder}/1")
+    later = r.where(k % 10 != 7).withColumn("title", F.when(k % 6 == 0, F.concat("title", F.lit(" revised"))).otherwise(F.col("title")))
+    said = fetched((names[0], "healthy", 1, "complete"), (names[1], "healthy", 10**12, "complete"), (names[2], "failing", None, None))
+    return ingest.ingest(odd(later), context, said, "2024-03-01T00:00:00Z", f"{folder}/2", f"{folder}/1")["health"]
+
+
+_INGEST_RUNS = f"""{T.with_sql('records', 'features')},
+r AS (SELECT *, rec_key AS k, CASE rec_key % 3 WHEN 0 THEN 'city_subdivisions' WHEN 1 THEN 'city_permits' ELSE 'county_subdivisions' END AS key, rec_key % 3 <> 0 AND rec_key % 40 = 13 AS bad, rec_key % 3 <> 0 AND rec_key % 50 = 11 AS twice FROM records),
+x AS (SELECT *, NOT bad AND NOT twice AS good, k % 4 <> 1 AS one, k % 10 <> 7 AS two, key <> 'county_subdivisions' AS open,
+ EXISTS (SELECT 1 FROM features f WHERE category = 'floodplain' AND r.w <= f.e AND f.w <= CASE WHEN k % 3 = 1 THEN r.w ELSE r.e END AND r.s <= f.n AND f.s <= CASE WHEN k % 3 = 1 THEN r.s ELSE r.n END) AS wet FROM r),
+c AS (SELECT key, any_value(open) AS open, coalesce(sum(CASE WHEN twice THEN 2 ELSE 1 END) FILTER (two), 0) AS seen_, coalesce(sum(CASE WHEN twice THEN 2 ELSE 1 END) FILTER (two AND NOT good), 0) AS held,
+ count(*) FILTER (good AND two AND open AND NOT one) AS inserted, count(*) FILTER (good AND two AND open AND one AND k % 6 = 0) AS changed, count(*) FILTER (good AND two AND open AND one AND k % 6 <> 0) AS seen,
+ count(*) FILTER (good AND one AND NOT (two AND open)) AS kept, count(*) FILTER (good AND two AND open AND wet) AS flags, count(*) FILTER (good AND one AND NOT two) AS lost FROM x GROUP BY 1)
+SELECT key, CASE WHEN open THEN 'healthy' ELSE 'failing' END AS status, CASE WHEN NOT open THEN 'failed' WHEN held > 0 OR key = 'city_permits' THEN 'partial' ELSE 'complete' END AS coverage, seen_::BIGINT AS records_seen, (seen_ - held)::BIGINT AS records_created,
+ held::BIGINT AS quarantined_count, (held + CASE WHEN open THEN 0 ELSE 1 END)::BIGINT AS error_count, inserted, changed, seen, kept, flags, '2024-03-01T00:00:00Z' AS checked_at, CASE WHEN key = 'city_subdivisions' THEN lost ELSE 0 END AS missing FROM c"""
+
+
 def client_keys(spark, sf):
     """Requests by way of proxies over IPv4, IPv6 and mapped addresses: the client in normal text and the key that its quota counts by."""
     user = F.col("user_id")
@@ -115,5 +148,6 @@ QUERIES = {
     "canonical_blocks": (canonical_blocks, _CANONICAL_BLOCKS),
     "digest_tree_nodes": (digest_tree_nodes, _TREE),
     "checkpoint_codes": (checkpoint_codes, _CHECKPOINT_CODES),
+    "ingest_runs": (ingest_runs, _INGEST_RUNS),
     "client_keys": (client_keys, _CLIENT_KEYS),
 }
