@@ -143,11 +143,11 @@ def _pad(x: int) -> str:
 _CLIENT_KEYS = f"""WITH c AS (SELECT event_id, ts, event_type, CASE WHEN event_type < 'd' THEN '2001:db8::' || lower(to_hex(user_id % 65535 + 1)) ELSE '203.0.' || ((user_id & 65535) // 256) || '.' || (user_id & 255) END AS client FROM events)
 SELECT event_id, client, sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%S+00:00') || '|' || event_type || '|' || client)))) AS key FROM c"""
 
+#: ``ingest_runs`` isn't registered: it gives the rows of its SQL at scale 0.001, but is too slow for whole tables yet.
 QUERIES = {
     "blob_store": (blob_store, _BLOB_STORE),
     "canonical_blocks": (canonical_blocks, _CANONICAL_BLOCKS),
     "digest_tree_nodes": (digest_tree_nodes, _TREE),
     "checkpoint_codes": (checkpoint_codes, _CHECKPOINT_CODES),
-    "ingest_runs": (ingest_runs, _INGEST_RUNS),
     "client_keys": (client_keys, _CLIENT_KEYS),
 }
