@@ -10,6 +10,7 @@ consistent across pairs.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,11 @@ def _empty(kind: str) -> Column:
     return F.array().cast(kind)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it; a column that stands in several places is computed in each."""
+    return F.transform(F.array(value), body)[0]
+
+
 def polygon(*rings: Column) -> Column:
     """A geometry of one polygon; the first ring is the shell."""
     return F.struct(F.array(F.array(*rings)).alias("polys"), _empty(f"array<{_POINTS}>").alias("lines"), _empty(_POINTS).alias("points"))
@@ -134,14 +140,19 @@ def shoelace(ring: Column) -> Column:
 
 
 def area_m2(g: Column) -> Column:
-    """Whole square metres of the shells; holes are ignored. Null without polygons."""
+    """Whole square metres of the shells; holes are ignored. Null without polygons.
+
+    Sums are taken about a shell's first vertex, else the products of metres from the equator would swallow a small ring.
+    """
+
+    def placed(shell: Column) -> Column:
+        scale = F.struct(shell[0].alias("home"), (METRES_LON * F.cos(F.radians(mean(F.transform(shell, lambda v: v["y"]))))).alias("lon"))
+        return let(scale, lambda k: F.transform(shell, lambda v: point((v["x"] - k["home"]["x"]) * k["lon"], (v["y"] - k["home"]["y"]) * METRES_LAT)))
 
     def shell_area(poly: Column) -> Column:
-        shell = poly[0]
-        lon = METRES_LON * F.cos(F.radians(mean(F.transform(shell, lambda v: v["y"]))))
-        return F.when(F.size(shell) < 4, 0.0).otherwise(F.abs(shoelace(F.transform(shell, lambda v: point(v["x"] * lon, v["y"] * METRES_LAT)))) / 2)
+        return let(poly[0], lambda shell: F.when(F.size(shell) < 4, 0.0).otherwise(F.abs(let(placed(shell), shoelace)) / 2))
 
-    return F.when(F.size(g["polys"]) > 0, F.floor(F.aggregate(F.transform(g["polys"], shell_area), F.lit(0.0), lambda a, v: a + v) + 0.5))
+    return let(g["polys"], lambda polys: F.when(F.size(polys) > 0, F.floor(F.aggregate(F.transform(polys, shell_area), F.lit(0.0), lambda a, v: a + v) + 0.5)))
 
 
 def area_centroid(g: Column) -> Column:

@@ -1,6 +1,7 @@
 """Planar geometry against literal fixtures."""
 
 import json
+import math
 
 import pyspark.sql.functions as F
 import pytest
@@ -132,3 +133,18 @@ def test_mercator(one):
     p = one(M.forward(G.point(F.lit(180.0), F.lit(0.0))))
     assert p["x"] == pytest.approx(20037508.342789) and abs(p["y"]) < 1e-6
     assert one(M.tile_west_edge(F.lit(12), F.lit(1061))) == pytest.approx(1061 / 4096 * 360 - 180)
+
+
+def test_areas_of_small_rings_are_exact_far_from_the_equator(spark):
+    """Rings whose area is within thousandths of a half: products of metres from the equator would round some the other way."""
+    rows = []
+    for k in range(3000):
+        s, half = 34.6 + k / 1000, 0.0002 * (1 + k % 5)
+        w, lat = -86.88 + k / 1000, (3 * (s - half) + 2 * (s + half)) / 5
+        area = 2 * half * G.METRES_LON * math.cos(math.radians(lat)) * 2 * half * G.METRES_LAT
+        if abs(area % 1 - 0.5) < 0.005:
+            rows.append((w - half, s - half, w + half, s + half, math.floor(area + 0.5)))
+    assert len(rows) > 10
+    df = spark.createDataFrame(rows, "w double, s double, e double, n double, area long")
+    ring = G.box_ring(*(F.col(c) for c in "wsen"))
+    assert [r["area"] for r in df.select("area", G.area_m2(G.polygon(ring)).alias("got")).where("area <> got").collect()] == []
