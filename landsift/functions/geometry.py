@@ -349,12 +349,22 @@ def self_intersects(ring: Column) -> Column:
 
 
 def canonical_ring(ring: Column, clockwise: bool = False) -> Column:
-    """The ring's points from its least rotation, in one orientation, without the closing point: start and turn don't show."""
-    open_ = F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0)))
-    turned = F.when((shoelace(ring) < 0) != F.lit(clockwise), F.reverse(open_)).otherwise(open_)
-    n = F.size(turned)
-    rotations = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.slice(turned, k, n - k + 1), F.slice(turned, F.lit(1), k - 1)))
-    return F.when(n > 0, F.array_min(rotations)).otherwise(turned)
+    """The ring's points from its least rotation, in one orientation, without the closing point: start and turn don't show.
+
+    Only rotations that begin with the least point are compared, one after the other: one, unless that point repeats.
+    """
+
+    def turned(r: Column) -> Column:
+        return let(F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0))), lambda o: F.when((shoelace(r) < 0) != F.lit(clockwise), F.reverse(o)).otherwise(o))
+
+    def least(t: Column) -> Column:
+        n = F.size(t)
+        from_ = lambda k: F.concat(F.slice(t, k, n - k + 1), F.slice(t, F.lit(1), k - 1))
+        low = F.when(~F.exists(t, lambda p: p.isNull()), F.array_min(t))  # nulls come first
+        starts = let(low, lambda p: F.filter(F.sequence(F.lit(1), n), lambda k: F.element_at(t, k).eqNullSafe(p)))
+        return let(starts, lambda ks: F.aggregate(F.slice(ks, F.lit(2), F.size(ks)), from_(ks[0]), lambda best, k: F.least(best, from_(k))))
+
+    return let(let(ring, turned), lambda t: F.when(F.size(t) > 0, least(t)).otherwise(t))
 
 
 def grid_cells(box: Column, size: Column | float, margin: Column | float = 0.0) -> Column:

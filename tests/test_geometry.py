@@ -148,3 +148,16 @@ def test_areas_of_small_rings_are_exact_far_from_the_equator(spark):
     df = spark.createDataFrame(rows, "w double, s double, e double, n double, area long")
     ring = G.box_ring(*(F.col(c) for c in "wsen"))
     assert [r["area"] for r in df.select("area", G.area_m2(G.polygon(ring)).alias("got")).where("area <> got").collect()] == []
+
+
+def test_a_long_ring_is_canonical_without_all_its_rotations(spark):
+    """20,000 points: all rotations would be 400 million. A least point that repeats, as in a figure of eight, has its rotations compared."""
+    n = 20000
+    circle = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: G.point(F.cos(k * 2 * math.pi / n), F.sin(k * 2 * math.pi / n)))
+    closed = lambda r: F.concat(r, F.slice(r, 1, 1))
+    df = spark.range(1).select(circle.alias("r")).select("r", F.reverse(F.concat(F.slice("r", 7001, n), F.slice("r", 1, 7000))).alias("t"))
+    row = df.select(G.canonical_ring(closed(F.col("r"))).alias("a"), G.canonical_ring(closed(F.col("t"))).alias("b")).select(F.size("a").alias("n"), (F.col("a") == F.col("b")).alias("same"), F.expr("a[0] = array_min(a)").alias("least")).first()
+    assert row.asDict() == {"n": n, "same": True, "least": True}
+    eight = F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (2.0, 1.0), (1.0, 2.0), (0.0, 0.0), (1.0, 1.0), (0.5, 3.0), (0.0, 0.0))])
+    got = spark.range(1).select(G.canonical_ring(eight).alias("r")).first()["r"]
+    assert [tuple(p) for p in got] == [(0.0, 0.0), (1.0, 1.0), (0.5, 3.0), (0.0, 0.0), (2.0, 1.0), (1.0, 2.0)]
