@@ -84,9 +84,12 @@ def mean(values: Column) -> Column:
 
 def bbox(g: Column) -> Column:
     """struct<w,s,e,n>; null when there are no vertices."""
-    p = positions(g)
-    xs, ys = F.transform(p, lambda v: v["x"]), F.transform(p, lambda v: v["y"])
-    return F.when(F.size(p) > 0, F.struct(F.array_min(xs).alias("w"), F.array_min(ys).alias("s"), F.array_max(xs).alias("e"), F.array_max(ys).alias("n")))
+
+    def of(p: Column) -> Column:
+        xs, ys = F.transform(p, lambda v: v["x"]), F.transform(p, lambda v: v["y"])
+        return F.when(F.size(p) > 0, let(F.struct(xs.alias("x"), ys.alias("y")), lambda v: F.struct(F.array_min(v["x"]).alias("w"), F.array_min(v["y"]).alias("s"), F.array_max(v["x"]).alias("e"), F.array_max(v["y"]).alias("n"))))
+
+    return let(let(g, positions), of)
 
 
 def bboxes_intersect(a: Column, b: Column) -> Column:

@@ -292,8 +292,8 @@ def geojson_round_trip(spark, sf):
     ring = F.format_string("[[%d,%d],[%d,%d],[%d,%d],[%d,%d],[%d,%d]]", w, s, e, s, e, n, w, n, w, s)
     k = F.col("rec_key") % 4
     body = F.when(k == 0, F.format_string('{"type":"Polygon","coordinates":[%s]}', ring)).when(k == 1, F.format_string('{"type":"MultiPolygon","coordinates":[[%s]]}', ring)).when(k == 2, F.format_string('{"type":"LineString","coordinates":%s}', ring)).otherwise(F.format_string('{"type":"Point","coordinates":[%d,%d]}', w, s))
-    b = G.bbox(G.from_geojson(body))
-    return T.records(spark, sf).select("public_id", *[b[c].cast("long").alias(c) for c in "wsen"])
+    boxed = T.records(spark, sf).select("public_id", G.bbox(G.from_geojson(body)).alias("b"))  # its own step: four columns would each read the text
+    return boxed.select("public_id", *[F.col(f"b.{c}").cast("long").alias(c) for c in "wsen"])
 
 
 # --- agenda and links ------------------------------------------------------------------------------

@@ -161,3 +161,13 @@ def test_a_long_ring_is_canonical_without_all_its_rotations(spark):
     eight = F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (2.0, 1.0), (1.0, 2.0), (0.0, 0.0), (1.0, 1.0), (0.5, 3.0), (0.0, 0.0))])
     got = spark.range(1).select(G.canonical_ring(eight).alias("r")).first()["r"]
     assert [tuple(p) for p in got] == [(0.0, 0.0), (1.0, 1.0), (0.5, 3.0), (0.0, 0.0), (2.0, 1.0), (1.0, 2.0)]
+
+
+def test_a_box_reads_its_text_once(spark, tmp_path):
+    """The plan of the round trip holds one reader a type of geometry, not one a side of the box."""
+    from landsift.plans import fields
+
+    spark.createDataFrame([(k, 1, "F", "1-URGENT") for k in range(8)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").withColumn("o_orderdate", F.current_timestamp()).write.parquet(f"{tmp_path}/orders.parquet")
+    df = fields.geojson_round_trip(spark, str(tmp_path))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 6
+    assert {(r["w"], r["e"]) for r in df.where("public_id in ('rec-3', 'rec-4')").collect()} == {(-86877400, -86877400), (-86876400, -86875600)}
