@@ -76,21 +76,43 @@ def first_match(pairs: DataFrame, keys: list[str], order: str, *columns: str) ->
     return pairs.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"first_.{c}").alias(c) for c in columns])
 
 
+def shaped(df: DataFrame, *parts: str) -> DataFrame:
+    """With ``shape``, a digest of the columns that make a row's shape: rows of one shape meet the same others."""
+    return df.withColumn("shape", F.unhex(F.md5(F.to_json(F.struct(*parts)))))
+
+
+def first_of_shape(features: DataFrame, *parts: str) -> DataFrame:
+    """Of features of a category with the same shape, the first in input order: none of the others is a record's first match."""
+    first = F.min(F.struct("feature_order", "feature_id")).alias("first_")
+    return features.groupBy("category", *parts).agg(first).select("category", *parts, "first_.feature_order", "first_.feature_id")
+
+
+def flags_of_records(records: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """public_id and proximity_flags from matches (shape, flag_type, r_feature_order, the columns of a flag) of the shapes of ``records``."""
+    first = first_match(found, ["shape", "flag_type"], "r_feature_order", "r_feature_order", *columns)
+    own = records.select("public_id", "shape").join(first, "shape")
+    own = first_match(own, ["public_id", "flag_type"], "r_feature_order", *columns)
+    item = F.struct("flag_type", *columns)
+    return own.groupBy("public_id").agg(F.array_sort(F.collect_list(item)).alias("proximity_flags"))
+
+
 def flags(records: DataFrame, features: DataFrame, within_m: float = 500.0, cell: float = 0.01) -> DataFrame:
     """public_id and proximity_flags: at most one flag a type, from the first feature that meets the rule.
 
     ``records``: public_id, geom, box; ``features``: category, feature_order, feature_id, geom, box,
-    all in degrees. Floodplains count where they intersect, wetlands within ``within_m``.
+    all in degrees. Floodplains count where they intersect, wetlands within ``within_m``. Shapes are compared, not
+    their copies: of features of one shape only the first can be a first match, and records of one shape have the same flags.
     """
-    flood = spatial_join(records, features.where("category = 'floodplain'"), G.intersects, cell)
-    flood = flood.select("public_id", F.lit("intersects_floodplain").alias("flag_type"), F.lit("intersects").alias("relationship"), F.lit(0.0).alias("distance_m"), "r_feature_order", "r_feature_id")
+    records, features = shaped(records, "geom", "box"), first_of_shape(features, "geom", "box")
+    shapes = records.select("shape", "geom", "box").distinct()
+    flood = spatial_join(shapes, features.where("category = 'floodplain'"), G.intersects, cell)
+    flood = flood.select("shape", F.lit("intersects_floodplain").alias("flag_type"), F.lit("intersects").alias("relationship"), F.lit(0.0).alias("distance_m"), "r_feature_order", "r_feature_id")
     # a degree of longitude is shortest at the poles' side; the margin covers up to latitude 60
-    near = candidate_pairs(records, features.where("category = 'wetlands'"), cell, within_m / (G.METRES_LON * 0.5))
+    near = candidate_pairs(shapes, features.where("category = 'wetlands'"), cell, within_m / (G.METRES_LON * 0.5))
     near = near.where(G.bbox_distance_m(F.col("box"), F.col("r_box")) <= within_m).withColumn("d", G.distance_m_once(F.col("geom"), F.col("r_geom"))).where(F.col("d") <= within_m)
-    near = near.select("public_id", F.lit("near_wetland").alias("flag_type"), F.when(F.col("d") == 0, "intersects").otherwise("within").alias("relationship"), G.round_to(F.col("d"), 1).alias("distance_m"), "r_feature_order", "r_feature_id")
-    first = first_match(flood.unionByName(near), ["public_id", "flag_type"], "r_feature_order", "relationship", "distance_m", "r_feature_id")
-    item = F.struct("flag_type", "relationship", "distance_m", F.col("r_feature_id").alias("source_feature_id"))
-    return first.groupBy("public_id").agg(F.array_sort(F.collect_list(item)).alias("proximity_flags"))
+    near = near.select("shape", F.lit("near_wetland").alias("flag_type"), F.when(F.col("d") == 0, "intersects").otherwise("within").alias("relationship"), G.round_to(F.col("d"), 1).alias("distance_m"), "r_feature_order", "r_feature_id")
+    found = flood.unionByName(near).withColumnRenamed("r_feature_id", "source_feature_id")
+    return flags_of_records(records, found, "relationship", "distance_m", "source_feature_id")
 
 
 def point_screening(points: DataFrame, features: DataFrame, cell: float = 0.01) -> DataFrame:

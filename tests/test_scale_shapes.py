@@ -126,3 +126,22 @@ def test_scratch_tables_can_be_deleted(spark):
     assert os.path.exists(path)
     os.environ.get("KEEP") or scratch.clear(spark)
     assert not os.path.exists(path)
+
+
+def test_copies_of_shapes_are_compared_once(spark):
+    """20,000 copies of a record beside as many of a feature: their pairs would be 400 million. The first in order is told to each record."""
+    n, box = 20000, "named_struct('w', 0D, 's', 0D, 'e', 0.001D, 'n', 0.001D)"
+    geom = spatial.G.polygon(spatial.G.box_ring(*(F.col(f"box.{c}") for c in "wsen")))
+    records = spark.range(n).selectExpr("concat('rec-', id) AS public_id", f"{box} AS box").withColumn("geom", geom)
+    features = spark.range(n).selectExpr("CASE id % 2 WHEN 0 THEN 'floodplain' ELSE 'wetlands' END AS category", f"{n} - id AS feature_order", "concat('f-', id) AS feature_id", f"{box} AS box").withColumn("geom", geom)
+    got = spatial.flags(records, features).select("public_id", F.transform("proximity_flags", lambda f: f["source_feature_id"]).alias("ids"))
+    assert [(r["n"], list(r["ids"])) for r in got.groupBy("ids").agg(F.count(F.lit(1)).alias("n")).collect()] == [(n, [f"f-{n - 2}", f"f-{n - 1}"])]
+
+
+def test_a_public_id_of_two_shapes_has_one_flag_a_type(spark):
+    schema = "public_id string, box struct<w:double,s:double,e:double,n:double>"
+    geom = spatial.G.polygon(spatial.G.box_ring(*(F.col(f"box.{c}") for c in "wsen")))
+    records = spark.createDataFrame([("a", (0.0, 0.0, 0.001, 0.001)), ("a", (0.1, 0.1, 0.101, 0.101)), ("b", (0.1, 0.1, 0.101, 0.101)), ("c", None)], schema).withColumn("geom", geom)
+    features = spark.createDataFrame([(5, "near", (0.0, 0.0, 0.001, 0.001)), (2, "far", (0.1, 0.1, 0.101, 0.101))], "feature_order int, feature_id string, box struct<w:double,s:double,e:double,n:double>").withColumn("geom", geom).withColumn("category", F.lit("floodplain"))
+    got = {r["public_id"]: [f["source_feature_id"] for f in r["proximity_flags"]] for r in spatial.flags(records, features).collect()}
+    assert got == {"a": ["far"], "b": ["far"]}
