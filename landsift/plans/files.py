@@ -45,26 +45,33 @@ def overlay_file_layers(spark, sf):
 
 
 def import_resumed(spark, sf):
-    """The lines of lineitem staged in four files, imported with a stop before the second batch's commit, then resumed."""
+    """The lines of lineitem staged a quarter of the years at a time, imported with a stop before the second batch's commit, then resumed."""
     lines = _lines(spark, sf).select(F.col("source_key").alias("source"), F.col("anchor").alias("identity"), F.concat_ws("|", "l_partkey", "l_suppkey").alias("content"), "pos")
     quarter = F.least(F.lit(3), F.floor((F.substring("pos", 1, 4).cast("int") - 1992) / 2))
     lines = tables.numbered_rows(lines.withColumn("quarter", quarter), ["pos", "identity"]).withColumnRenamed("number_", "ordinal")
     staged, target = scratch.fresh_dir(spark, "import-staged"), scratch.fresh_dir(spark, "import-target")
     lines = scratch.stored(lines, "import-lines")
-    for k in range(4):
+    schema, valid, every = lines.drop("quarter", "pos").schema, F.col("source") != "R", 2**31 - 1
+
+    def stage(k: int) -> None:
         lines.where(F.col("quarter") == k).drop("quarter", "pos").write.mode("append").parquet(staged)
-    schema = lines.drop("quarter", "pos").schema
 
     def stop(number: int) -> None:
         if number == 1:
             raise RuntimeError("stopped")
 
+    # a quarter's files are written in no order, so they are one batch; the next quarter is staged when they are imported
+    stage(0)
+    imports.run(spark, staged, schema, target, valid, every)
+    stage(1)
     try:
-        imports.run(spark, staged, schema, target, F.col("source") != "R", 1, stop)
+        imports.run(spark, staged, schema, target, valid, every, stop)
     except Exception as error:
         if "stopped" not in str(error):
             raise
-    rows = imports.run(spark, staged, schema, target, F.col("source") != "R", 1000)
+    stage(2)
+    stage(3)
+    rows = imports.run(spark, staged, schema, target, valid, every)
     return rows.groupBy("source", "fate").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("identity").alias("identities"))
 
 

@@ -1,43 +1,49 @@
 """A resumable import: checkpointed batches, each committed once, however often it is tried.
 
-Staged files are read as a stream, some files a batch. What an identity was first accepted with is keyed state, so a batch costs what it
-holds, not what was imported before. A batch's rows are written to a folder of its number, which a repeat overwrites; state, offsets and
-commits are in the checkpoint beside it, and both are in one shared folder. An import that was stopped is called again and goes on.
+Staged files are read as a stream, some files a batch. What an identity was first accepted with is keyed state, in slices of identities by
+hash: a call of Python serves a slice, not an identity. A batch reads and writes the slices that it meets. A batch's rows are written to a
+folder of its number, which a repeat overwrites; state, offsets and commits are in the checkpoint beside it, and both are in one shared
+folder. An import that was stopped is called again and goes on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-#: Rejected rows have no state; they are dealt to so many groups of a batch.
-REJECTED_GROUPS = 64
+#: Rejected rows have no state; they are dealt to so many groups of a batch. Slices of identities; fixed, as the state of an import is kept by them.
+REJECTED_GROUPS, SLICES = 64, 1 << 12
 FATES = ("accepted", "rejected", "duplicate", "conflict")
 
 
 def _fates(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known = state.get[0] if state.exists else None
-    if key[0].startswith("-"):
+    if key[0] < 0:
         for rows in frames:
-            yield rows.drop(columns="group_").assign(fate="rejected")
+            yield rows.drop(columns=["group_", "name_"]).assign(fate="rejected")
         return
-    if known is None:  # which row came first is told by all of the identity's rows in this batch: digests and numbers
-        rows = pd.concat(list(frames)).sort_values("ordinal", kind="stable")
-        known = rows["content"].iloc[0]
-        state.update((known,))
-        yield _told(rows.iloc[:1], ["accepted"])
-        frames = iter([rows.iloc[1:]])
-    for rows in frames:
-        yield _told(rows, ["duplicate" if c == known else "conflict" for c in rows["content"]])
-
-
-def _told(rows: pd.DataFrame, fate: list[str]) -> pd.DataFrame:
-    return rows.drop(columns="group_").assign(fate=pd.Series(fate, index=rows.index, dtype="object"))
+    names, contents = state.get if state.exists else ([], [])
+    known = dict(zip(names, contents, strict=True))
+    # which row of a new identity came first is told by all of the slice's rows in this batch: digests and numbers
+    rows = pd.concat(list(frames)).sort_values("ordinal", kind="stable")
+    identity, content = rows["name_"].to_numpy(), rows["content"].to_numpy()
+    fate = np.empty(len(rows), object)
+    before = len(known)
+    for k, (name, said) in enumerate(zip(identity, content, strict=True)):
+        first = known.get(name)
+        if first is None:
+            known[name] = said
+            fate[k] = "accepted"
+        else:
+            fate[k] = "duplicate" if said == first else "conflict"
+    if len(known) > before:
+        state.update((list(known), list(known.values())))
+    yield rows.drop(columns=["group_", "name_"]).assign(fate=fate)
 
 
 def fates(stream: DataFrame, valid: Column) -> DataFrame:
@@ -46,11 +52,12 @@ def fates(stream: DataFrame, valid: Column) -> DataFrame:
     The first valid row of an identity is accepted; later ones are duplicates or, with other content, conflicts. Contents are compared by digest.
     """
     rows = stream.select("source", "identity", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content"), F.col("ordinal").cast("long").alias("ordinal"))
-    salt = F.pmod(F.xxhash64("identity", "ordinal"), F.lit(REJECTED_GROUPS)).cast("string")
+    name = F.col("identity").cast("string")
     ok = F.coalesce(valid & F.col("identity").isNotNull(), F.lit(False))
-    rows = rows.withColumn("group_", F.when(ok, F.concat(F.lit("+"), F.col("identity").cast("string"))).otherwise(F.concat(F.lit("-"), salt)))
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "group_")
-    return rows.groupBy("group_").applyInPandasWithState(_fates, f"{kept}, fate string", "content string", "append", GroupStateTimeout.NoTimeout)
+    slot = lambda of, *cols: F.pmod(F.xxhash64(*cols), F.lit(of)).cast("int")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    rows = rows.withColumn("name_", name).withColumn("group_", F.when(ok, slot(SLICES, name)).otherwise(-1 - slot(REJECTED_GROUPS, "identity", "ordinal")))
+    return rows.groupBy("group_").applyInPandasWithState(_fates, f"{kept}, fate string", "names array<string>, contents array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def run(spark: SparkSession, staged: str, schema: StructType, target: str, valid: Column, files_a_batch: int = 1, watch: Callable[[int], None] | None = None) -> DataFrame:

@@ -67,3 +67,35 @@ def test_files_that_come_later_are_imported_later(spark, tmp_path):
     got = imports.run(spark, str(tmp_path / "in"), schema, target, valid)
     assert {r.ordinal: r.fate for r in got.collect() if r.ordinal >= 1000} == {1000: "conflict", 1001: "accepted"}
     assert got.count() == len(first) + 2
+
+
+def test_python_is_called_by_slices_of_identities(spark, tmp_path):
+    """Five thousand identities in two batches, one call of Python a slice and batch: with one an identity there would be as many groups as identities."""
+    spark.range(10000).select(F.lit("A").alias("source"), F.concat(F.lit("k"), F.col("id") % 5000).alias("identity"), F.when(F.col("id") < 9000, "x").otherwise("y").alias("content"), F.col("id").alias("ordinal")).repartitionByRange(2, "ordinal").write.parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    kept, imports.SLICES = imports.SLICES, 16
+    try:
+        got = imports.run(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), F.lit(True))
+    finally:
+        imports.SLICES = kept
+    assert {r.fate: r["count"] for r in got.groupBy("fate").count().collect()} == {"accepted": 5000, "duplicate": 4000, "conflict": 1000}
+    state = spark.read.format("statestore").load(str(tmp_path / "out" / "checkpoint"))
+    assert state.count() <= 16
+
+
+def test_an_import_of_many_files_has_the_fates_of_its_order(spark, tmp_path):
+    """Lines in files that aren't in the order of their dates: with one file as the first batch, later lines came before earlier ones."""
+    from landsift.plans import files
+
+    lines = spark.range(4000).select(F.col("id").alias("n"), (F.col("id") % 40).alias("k")).select(
+        F.col("k").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (F.col("n") % 3).alias("l_partkey"), F.lit(1).alias("l_suppkey"),
+        F.expr("timestamp'1992-01-01' + make_interval(0, 0, 0, cast(n * 7919 % 2500 AS int))").alias("l_shipdate"),
+        F.when(F.col("k") % 5 == 0, "R").otherwise(F.when(F.col("n") % 2 == 0, "A").otherwise("N")).alias("l_returnflag"), F.lit(1.0).alias("l_quantity"), F.col("n").cast("double").alias("l_extendedprice"))
+    folder = str(tmp_path / "sf")
+    lines.repartition(16).write.parquet(f"{folder}/lineitem.parquet")
+    import duckdb
+
+    got = files.import_resumed(spark, folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    assert sorted((r.source, r.fate, r.rows, r.identities) for r in got.collect()) == sorted(con.execute(f"SELECT source, fate, rows, identities FROM ({files._RESUMED})").fetchall())
