@@ -92,23 +92,23 @@ def display_build(features: DataFrame, most_vertices: int = MOST_VERTICES) -> Da
 
     Degrees are transformed, simplified by the band's tolerance without losing topology, subdivided, and checked: a valid polygon with
     as many holes and components as before, parts that make it up exactly, not too many of them, and none with too many vertices.
+    Features of one shape are built once.
     """
     spark = features.sparkSession
-    rows = features.repartition("feature_id").crossJoin(F.broadcast(bands(spark)))  # five rows; geometry is work for many tasks, however few files it came from
-    shell = F.col("geom.polys")[0]
-    rows = rows.withColumn("projected", mercator.polygon_forward(shell)).withColumn("simple", display.simplify("projected", F.col("tolerance").cast("double")))
-    rows = rows.withColumn("parts", display.subdivide("simple", F.lit(most_vertices)))
-    rows = rows.withColumn("fault", display.polygon_fault("simple")).withColumn("same", display.recomposes("simple", "parts"))
-    sizes = F.transform("parts", lambda p: F.size(F.flatten(p)))
+    features = features.select("feature_id", "geom", F.coalesce(F.sha2(F.to_json("geom"), 256), F.lit("")).alias("shape_"))
+    rows = features.groupBy("shape_").agg(F.any_value("geom").alias("geom")).crossJoin(F.broadcast(bands(spark)))  # five rows; geometry is work for many tasks, however few files it came from
+    rows = rows.withColumn("b", display.build(mercator.polygon_forward(F.col("geom.polys")[0]), F.col("tolerance").cast("double"), F.lit(most_vertices)))
+    sizes = F.transform("b.parts", lambda p: F.size(F.flatten(p)))
     code = (
         F.when(component_count(F.col("geom")) != 1, "not_one_polygon")
-        .when(F.size("simple") - 1 != hole_count(F.col("geom")), "hole_lost")
-        .when(F.col("fault").isNotNull(), F.concat(F.lit("invalid_"), "fault"))
-        .when(F.size("parts") > MOST_PARTS, "too_many_parts")
+        .when(F.col("b.rings") - 1 != hole_count(F.col("geom")), "hole_lost")
+        .when(F.col("b.fault").isNotNull(), F.concat(F.lit("invalid_"), "b.fault"))
+        .when(F.size("b.parts") > MOST_PARTS, "too_many_parts")
         .when(F.exists(sizes, lambda n: n > most_vertices), "too_many_vertices")
-        .when(~F.col("same"), "parts_differ")
+        .when(~F.col("b.same"), "parts_differ")
     )
-    return rows.select("feature_id", "band", "tolerance", F.size(F.flatten("simple")).alias("vertices"), F.size("parts").alias("part_count"), code.alias("error_code"), F.when(code.isNull(), F.col("parts")).alias("parts"))
+    shapes = rows.select("shape_", "band", "tolerance", F.col("b.vertices").alias("vertices"), F.size("b.parts").alias("part_count"), code.alias("error_code"), F.when(code.isNull(), F.col("b.parts")).alias("parts"))
+    return features.select("feature_id", "shape_").join(shapes, "shape_").drop("shape_")
 
 
 def band_report(built: DataFrame) -> DataFrame:
@@ -118,6 +118,7 @@ def band_report(built: DataFrame) -> DataFrame:
     """
     digest = F.sha2(F.concat_ws("|", "feature_id", "band", "vertices", "part_count", F.coalesce("error_code", F.lit("ok"))), 256)
     one = built.select("band", "feature_id", F.lit(1).cast("long").alias("features"), F.col("part_count").cast("long").alias("parts"), F.col("error_code").isNotNull().cast("long").alias("failed"), digest.alias("digest"))
+    one = stored(one, "band-report")  # numbering reads its rows more than once, and a build isn't to be repeated for it
     rows = numbered_rows(one, ["band", "feature_id"]).drop("feature_id")
     counters = [F.sum(c).alias(c) for c in ("features", "parts", "failed")]
     chain = chained_digest(F.transform(F.array_sort(F.collect_list(F.struct("number_", "digest"))), lambda s: s["digest"])).alias("digest")

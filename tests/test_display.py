@@ -143,3 +143,22 @@ def test_a_build_tells_a_crossing_shape(spark):
     df = spark.createDataFrame([("bow", json.dumps(bow))], "feature_id string, g string").withColumn("geom", G.from_geojson(F.col("g"))).drop("g")
     built = reports.display_build(df).collect()
     assert {r.error_code for r in built if r.band == "z17_18"} == {"invalid_crossing"} and all(r.parts is None for r in built if r.error_code)
+
+
+def test_features_of_one_shape_are_built_once(spark, monkeypatch):
+    """Three hundred features of three shapes: fifteen polygons are built, and each feature has its own row a band. A place without polygon has an error."""
+    x = (F.col("id") % 3).cast("double")
+    ring = G.box_ring(x, F.lit(1.0), x + 0.1, F.lit(1.1))
+    rows = spark.range(300).select(F.concat(F.lit("f"), "id").alias("feature_id"), F.when(F.col("id") != 299, G.polygon(ring)).alias("geom"))
+    seen = spark.sparkContext.accumulator(0)
+    plain = display._build
+
+    @F.arrow_udf(display.BUILT)
+    def counted(polygon: display.pa.Array, tolerance: display.pa.Array, most: display.pa.Array) -> display.pa.Array:
+        seen.add(len(polygon))
+        return plain(polygon, list(zip(tolerance.to_pylist(), most.to_pylist(), strict=True)))
+
+    monkeypatch.setattr(display, "build", counted)
+    got = reports.display_build(rows, 128).select("feature_id", "band", "vertices", "part_count", "error_code").collect()
+    assert seen.value == 20 and len(got) == 1500 == len({(r.feature_id, r.band) for r in got})
+    assert {(r.vertices, r.part_count, r.error_code) for r in got if r.feature_id != "f299"} == {(5, 1, None)}
