@@ -193,18 +193,22 @@ def geo_segment_distance(spark, sf):
     return T.records(spark, sf).select("public_id", G.round_to(G.segment_distance(diagonal, line) * 1000000, 0).cast("long").alias("micro"))
 
 
-def _triangle_pairs(spark, sf):
-    d = lambda df: df.withColumn("box", F.struct("w", "s", "e", "n")).withColumn("geom", T.triangle())
+def _measured_pairs(left: DataFrame, right: DataFrame, geom, margin: int, measure) -> DataFrame:
+    """Pairs of rows with near boxes and a measure of their geometries, which is taken once for all copies of a pair of boxes."""
     from landsift.operators.spatial import candidate_pairs
 
-    left = d(T.records(spark, sf).where("development_type = 'subdivision'"))
-    return candidate_pairs(left, d(T.features(spark, sf)), 5000)
+    boxed = lambda df: df.withColumn("box", F.struct("w", "s", "e", "n"))
+    left, right = boxed(left), boxed(right)
+    shapes = lambda df: df.select("w", "s", "e", "n", "box").distinct().withColumn("geom", geom)
+    pairs = candidate_pairs(shapes(left), shapes(right), 5000, margin).select("box", "r_box", measure)
+    return left.select("public_id", "box").join(pairs, "box").join(right.select("feature_id", F.col("box").alias("r_box")), "r_box").drop("box", "r_box")
 
 
 def geo_polygon_intersects(spark, sf):
     """Which triangle pairs of overlapping boxes truly meet."""
-    p = _triangle_pairs(spark, sf)
-    return p.select("public_id", F.col("r_feature_id").alias("feature_id"), G.intersects(F.col("geom"), F.col("r_geom")).alias("meets"))
+    records = T.records(spark, sf).where("development_type = 'subdivision'")
+    p = _measured_pairs(records, T.features(spark, sf), T.triangle(), 0, G.intersects(F.col("geom"), F.col("r_geom")).alias("meets"))
+    return p.select("public_id", "feature_id", "meets")
 
 
 _TRIANGLES = f"""{T.with_sql('records', 'features')}
@@ -222,12 +226,9 @@ def geo_point_in_polygon(spark, sf):
 
 def geo_distance(spark, sf):
     """Pair distances of separate squares within two cells of each other, in tenths of metres."""
-    from landsift.operators.spatial import candidate_pairs
-
-    d = lambda df: df.withColumn("box", F.struct("w", "s", "e", "n")).withColumn("geom", T.square())
-    left = d(T.records(spark, sf).where("development_type = 'subdivision'"))
-    p = candidate_pairs(left, d(T.features(spark, sf).where("category = 'floodplain'")), 5000, 2000)
-    return p.select("public_id", F.col("r_feature_id").alias("feature_id"), G.round_to(G.distance_m(F.col("geom"), F.col("r_geom")), 1).alias("metres"))
+    records, features = T.records(spark, sf).where("development_type = 'subdivision'"), T.features(spark, sf).where("category = 'floodplain'")
+    p = _measured_pairs(records, features, T.square(), 2000, G.round_to(G.distance_m(F.col("geom"), F.col("r_geom")), 1).alias("metres"))
+    return p.select("public_id", "feature_id", "metres")
 
 
 _DISTANCE = f"""{T.with_sql('records', 'features')}, d AS (SELECT public_id, feature_id, greatest(f.w - r.e, r.w - f.e, 0) / 1000000.0::DOUBLE AS dx, greatest(f.s - r.n, r.s - f.n, 0) / 1000000.0::DOUBLE AS dy, (3 * r.s + 2 * r.n + 3 * f.s + 2 * f.n) / 10.0::DOUBLE / 1000000.0::DOUBLE AS lat
