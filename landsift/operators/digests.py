@@ -20,10 +20,19 @@ class BudgetExceeded(ValueError):
     """The canonical text would have more bytes than are allowed."""
 
 
+def _lines_digest(lines: Column) -> Column:
+    return F.sha2(F.array_join(lines, "\n"), 256)
+
+
 def ordered_digest(*order: str, digest: str = "digest") -> Column:
     """sha256 over lines "order:digest" in their order, as an aggregate. For groups of a bounded size."""
     line = lambda s: F.concat_ws(":", *[s[c].cast("string") for c in order], s[digest])
-    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, digest))), line), "\n"), 256)
+    return _lines_digest(F.transform(F.sort_array(F.collect_list(F.struct(*order, digest))), line))
+
+
+def parts_digest(parts: Column) -> Column:
+    """What ``ordered_digest`` gives for parts numbered from 1, of an array of their digests as bytes."""
+    return _lines_digest(F.transform(parts, lambda p, k: F.concat_ws(":", (k + 1).cast("string"), F.lower(F.hex(p)))))
 
 
 def digest_tree(leaves: DataFrame, keys: list[str], fan: int = FAN) -> DataFrame:
@@ -60,9 +69,17 @@ def differing_ranges(then: DataFrame, now: DataFrame, keys: list[str], fan: int
     return both.select(*keys, (F.col("position") * fan).alias("first"), (F.col("position") * fan + fan - 1).alias("last"), problem.alias("problem"))
 
 
-def checkpoints(results: DataFrame, fan: int = FAN) -> DataFrame:
-    """What a build notes of its results (band, position, part_count, collapsed, error_code, output_sha256) when it stops or ends."""
-    tree = digest_tree(results.select("band", "position", F.col("output_sha256").alias("digest")), ["band"], fan)
+def results_tree(results: DataFrame, fan: int = FAN) -> DataFrame:
+    """The digest tree of each band's results."""
+    return digest_tree(results.select("band", "position", F.col("output_sha256").alias("digest")), ["band"], fan)
+
+
+def checkpoints(results: DataFrame, fan: int = FAN, tree: DataFrame | None = None) -> DataFrame:
+    """What a build notes of its results (band, position, part_count, collapsed, error_code, output_sha256) when it stops or ends.
+
+    ``tree``: the results' tree, where it is built already.
+    """
+    tree = results_tree(results, fan) if tree is None else tree
     noted = results.groupBy("band").agg(
         F.count(F.lit(1)).alias("processed_count"), F.max("position").cast("long").alias("checkpoint_position"), F.sum(F.col("part_count").cast("long")).alias("part_count"),
         F.count_if("collapsed").alias("collapsed_count"), F.count_if(F.col("error_code").isNotNull()).alias("invalid_count"),
@@ -84,7 +101,10 @@ CODES = (
 def part_problems(results: DataFrame, parts: DataFrame) -> DataFrame:
     """band, position, problem of the features whose parts (band, position, part_number from 1, geometry_sha256) aren't those of their result: orphan_parts, parts_missing, part_changed."""
     at = ["band", "position"]
-    made = parts.groupBy(*at).agg(F.count(F.lit(1)).alias("n_"), F.max("part_number").alias("top_"), F.countDistinct("part_number").alias("distinct_"), ordered_digest("part_number", digest="geometry_sha256").alias("digest_"))
+    rows = parts.select(*at, F.struct("part_number", F.concat_ws(":", F.col("part_number").cast("string"), "geometry_sha256").alias("line")).alias("part_"))
+    made = rows.groupBy(*at).agg(F.sort_array(F.collect_list("part_")).alias("parts_"))
+    numbers = F.array_compact("parts_.part_number")  # counted here: a distinct count beside the list would send or sort all parts once more
+    made = made.select(*at, F.size("parts_").alias("n_"), F.array_max(numbers).alias("top_"), F.size(F.array_distinct(numbers)).alias("distinct_"), _lines_digest(F.col("parts_.line")).alias("digest_"))
     both = results.select(*at, "part_count", "output_sha256", F.lit(True).alias("there_")).join(made, at, "full_outer")
     n = F.coalesce("n_", F.lit(0))
     whole = (n == F.col("part_count")) & ((n == 0) | ((F.col("distinct_") == n) & (F.col("top_") == n)))
@@ -92,12 +112,13 @@ def part_problems(results: DataFrame, parts: DataFrame) -> DataFrame:
     return both.select(*at, problem.alias("problem")).where("problem is not null")
 
 
-def checkpoint_problems(results: DataFrame, parts: DataFrame, noted: DataFrame, fan: int = FAN) -> DataFrame:
+def checkpoint_problems(results: DataFrame, parts: DataFrame, noted: DataFrame, fan: int = FAN, tree: DataFrame | None = None) -> DataFrame:
     """band, code, bad_features of each band: null where the stored results and parts are what the checkpoint noted.
 
     A band with results and no checkpoint is checkpoint_missing; one whose parts alone differ is checkpoint_parts_mismatch.
+    ``tree``: the results' tree, where it is built already.
     """
-    now = checkpoints(results, fan)
+    now = checkpoints(results, fan, tree)
     then = noted.select("band", F.struct(*[c for c, _ in CODES]).alias("then_"))
     both = then.join(now.select("band", F.struct(*[c for c, _ in CODES]).alias("now_")), "band", "full_outer")
     bad = part_problems(results, parts).groupBy("band").agg(F.count(F.lit(1)).alias("bad_"))

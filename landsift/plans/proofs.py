@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 
 from landsift import scratch
 from landsift.operators import digests, ingest, intake
@@ -58,32 +59,36 @@ _TREE = f"WITH {_NODES} SELECT o_orderpriority, 1 AS level, position, rows, dige
 
 
 def _build(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Results and parts of a build: a band a priority, a feature an order, a part a line."""
-    o = T.table(spark, sf, "orders")
-    parts = T.table(spark, sf, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("band")), "l_orderkey")
-    numbered = parts.groupBy("band", F.col("l_orderkey").alias("position")).agg(F.array_sort(F.collect_list(F.sha2(F.concat_ws("|", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"), 256))).alias("digests"))
-    parts = numbered.select("band", "position", F.posexplode("digests").alias("pos", "geometry_sha256")).select("band", "position", (F.col("pos") + 1).alias("part_number"), "geometry_sha256")
-    parts = scratch.stored(parts, "checkpoint-parts")
-    made = parts.groupBy("band", "position").agg(F.count(F.lit(1)).alias("n"), digests.ordered_digest("part_number", digest="geometry_sha256").alias("digest"))
-    rows = o.select(F.col("o_orderpriority").alias("band"), F.col("o_orderkey").alias("position"), "o_orderstatus", "o_custkey").join(made, ["band", "position"], "left")
-    error = F.when(F.col("n").isNull(), "not_one_polygon")
-    results = rows.select("band", "position", F.coalesce("n", F.lit(0)).cast("int").alias("part_count"), (F.col("o_orderstatus") == "F").alias("collapsed"), error.alias("error_code"), F.coalesce("digest", F.lit("")).alias("output_sha256"), "o_custkey")
-    return scratch.stored(results, "checkpoint-results"), parts
+    """Results and parts of a build: a band a priority, a feature an order, a part a line. Parts are stored as an array a feature."""
+    columns = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    # lines are sent once and as they are, shorter than their digests; orders meet them in the same partitions
+    lines = T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("position"), *columns).repartition("position")
+    made = lines.select("position", F.unhex(F.sha2(F.concat_ws("|", *columns), 256)).alias("part")).groupBy("position").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    rows = T.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("band"), F.col("o_orderkey").alias("position"), "o_orderstatus", "o_custkey").repartition("position")
+    rows = rows.withColumn("first", F.row_number().over(W.partitionBy("position", "band").orderBy("o_custkey")) == 1).join(made, "position", "left")
+    none = F.col("parts").isNull()
+    built = rows.select(
+        "band", "position", F.when(none, 0).otherwise(F.size("parts")).alias("part_count"), (F.col("o_orderstatus") == "F").alias("collapsed"), F.when(none, "not_one_polygon").alias("error_code"),
+        F.when(none, "").otherwise(digests.parts_digest(F.col("parts"))).alias("output_sha256"), "o_custkey", "parts", "first",
+    )
+    built = scratch.stored(built, "checkpoint-build")
+    return built.drop("parts", "first"), built.where("first").select("band", "position", "parts")
 
 
 def checkpoint_codes(spark, sf):
     """A build damaged after its checkpoint, each band in another way, by the customer of its orders; from where it must go on."""
     results, parts = _build(spark, sf)
-    noted = scratch.stored(digests.checkpoints(results, FAN), "checkpoint-noted")
-    tree = lambda r: digests.digest_tree(r.select("band", "position", F.col("output_sha256").alias("digest")), ["band"], FAN)
+    then = digests.results_tree(results, FAN)
+    noted = scratch.stored(digests.checkpoints(results, FAN, then), "checkpoint-noted")
     odd, kind = F.col("o_custkey") % 7 == 3, F.substring("band", 1, 1)
     now = results.where(~(odd & (kind == "1")))
     now = now.withColumn("output_sha256", F.when(odd & (kind == "2"), "other").otherwise(F.col("output_sha256")))
     now = now.withColumn("collapsed", F.when(odd & (kind == "3"), True).otherwise(F.col("collapsed")))
-    now = scratch.stored(now, "checkpoint-now")
-    left = parts.where(~((kind == "4") & (F.col("part_number") == 1))).join(now.select("band", "position"), ["band", "position"], "left_semi")
-    codes = digests.checkpoint_problems(now, left, noted, FAN)
-    return codes.join(digests.resume_positions(tree(results), tree(now), noted, FAN), "band")
+    left = parts.join(now.select("band", "position"), ["band", "position"], "left_semi").select("band", "position", F.posexplode("parts").alias("pos", "part"))
+    left = left.select("band", "position", (F.col("pos") + 1).alias("part_number"), F.lower(F.hex("part")).alias("geometry_sha256")).where(~((kind == "4") & (F.col("part_number") == 1)))
+    found = digests.results_tree(now, FAN)
+    codes = digests.checkpoint_problems(now, left, noted, FAN, found)
+    return codes.join(digests.resume_positions(then, found, noted, FAN), "band")
 
 
 _CHECKPOINT_CODES = f"""WITH r AS (SELECT o_orderpriority AS band, substr(o_orderpriority, 1, 1) AS kind, o_orderkey AS position, o_custkey % 7 = 3 AS odd, o_orderstatus = 'F' AS collapsed, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders),
