@@ -56,7 +56,11 @@ def box_ring(w: Column, s: Column, e: Column, n: Column) -> Column:
 
 def from_geojson(text: Column) -> Column:
     """The geometry of a GeoJSON text; null for a type that isn't understood or for coordinates that don't fit it."""
-    kind, body = F.get_json_object(text, "$.type"), F.get_json_object(text, "$.coordinates")
+    return from_geojson_parts(F.get_json_object(text, "$.type"), F.get_json_object(text, "$.coordinates"))
+
+
+def from_geojson_parts(kind: Column, body: Column) -> Column:
+    """``from_geojson`` of a text's type and coordinates; where they are columns, the text is read once for all types."""
     pts = lambda a: F.transform(a, lambda p: F.when(F.size(p) >= 2, point(p[0], p[1])))
     rings = lambda a: F.transform(a, pts)
     read = lambda depth: F.from_json(body, "array<" * depth + "double" + ">" * depth)
@@ -92,6 +96,11 @@ def bbox(g: Column) -> Column:
     return let(let(g, positions), of)
 
 
+def has_positions(g: Column) -> Column:
+    """Whether ``bbox`` finds a vertex; to be asked of a geometry that is a column."""
+    return F.coalesce(F.size(positions(g)) > 0, F.lit(False))
+
+
 def bboxes_intersect(a: Column, b: Column) -> Column:
     """Closed boxes: touching counts."""
     return (a["e"] >= b["w"]) & (b["e"] >= a["w"]) & (a["n"] >= b["s"]) & (b["n"] >= a["s"])

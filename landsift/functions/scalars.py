@@ -45,13 +45,21 @@ def excerpt(value: Column, length: int = 700) -> Column:
 
 
 def subdivision_status(value: Column) -> Column:
-    low = F.lower(clean(value))
+    return clean_subdivision_status(clean(value))
+
+
+def clean_subdivision_status(text: Column) -> Column:
+    low = F.lower(text)
     return F.when(low.isin("layout", "preliminary", "final"), low).otherwise("proposed")
 
 
 def epoch_date(value: Column) -> Column:
     """ISO text keeps its first ten characters; a number counts milliseconds above 1e10, else seconds; other text is cut at ten."""
-    text = clean(value)
+    return clean_epoch_date(clean(value))
+
+
+def clean_epoch_date(text: Column) -> Column:
+    """``epoch_date`` of a text that is clean already. It names the text often, so that had better be a column."""
     number = text.try_cast("double")
     seconds = F.floor(F.when(number > 1e10, number / 1000).otherwise(number)).cast("long")
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10)).when(number.isNotNull(), F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd")).otherwise(F.substring(text, 1, 10))
@@ -59,7 +67,11 @@ def epoch_date(value: Column) -> Column:
 
 def text_date(value: Column) -> Column:
     """An ISO date, m/d/Y or m-d-Y as ISO text; else null."""
-    text = clean(value)
+    return clean_text_date(clean(value))
+
+
+def clean_text_date(text: Column) -> Column:
+    """``text_date`` of a text that is clean already. It names the text often, so that had better be a column."""
     us = F.when(text.rlike(r"^\d{1,2}([/-])\d{1,2}\1\d{4}$"), F.replace(text, F.lit("-"), F.lit("/")))
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text).otherwise(F.date_format(F.try_to_timestamp(us, F.lit("M/d/yyyy")), "yyyy-MM-dd"))
 

@@ -19,60 +19,71 @@ FEATURE_IDS = ("OBJECTID", "ObjectId", "FID", "WETLAND_ID")
 
 
 def prop(name: str) -> Column:
-    """A property as clean text; features without properties have none."""
-    return S.clean(F.element_at(F.coalesce("properties", F.create_map().cast("map<string,string>")), name))
+    """A property as clean text, after ``_texts``."""
+    return F.col(f"{name}__")
 
 
-def feature_id() -> Column:
-    return F.coalesce(*[F.element_at("properties", n) for n in FEATURE_IDS])
+def _texts(features: DataFrame, *names: str) -> DataFrame:
+    """Properties as columns of clean text; features without properties have none.
+
+    Each step of a normalizer is a select of its own: a text that is named in several places is then cleaned once, not in each.
+    """
+    known = F.coalesce("properties", F.create_map().cast("map<string,string>"))
+    return features.withColumns({f"{n}__": S.clean(F.element_at(known, n)) for n in names})
 
 
-def geometry_problem(text: Column, types: tuple[str, ...]) -> Column:
-    kind = F.get_json_object(text, "$.type")
-    return F.when(~F.coalesce(kind.isin(*types), F.lit(False)), "unexpected_type").when(G.bbox(G.from_geojson(text)).isNull(), "no_coordinates")
+def feature_id() -> Column:
+    return F.coalesce(*[F.element_at("properties", n) for n in FEATURE_IDS])
 
 
-def city_subdivision() -> dict[str, Column]:
-    name, status = F.coalesce(prop("Subdivision"), F.lit("Unnamed subdivision")), F.coalesce(prop("Status"), F.lit("Unknown"))
+def city_subdivision(features: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    dates = ("Layout_date", "Prelim_date", "Final_date")
+    f = _texts(features, "Subdivision", "Phase", "Status", "HousingUnits", "HousingUnitType", *dates)
+    f = f.withColumn("stated__", F.coalesce(prop("Status"), F.lit("Unknown")))
+    f = f.withColumns({"stage__": S.clean(F.col("stated__"))} | {f"{d}__": S.clean(prop(d)) for d in dates})
+    name, status = F.coalesce(prop("Subdivision"), F.lit("Unnamed subdivision")), F.col("stated__")
     units, kind = prop("HousingUnits"), F.lower(prop("HousingUnitType"))
     said = F.coalesce(prop("Status"), F.lit("source"))
     with_units = F.concat(said, F.lit(" subdivision record with "), units, F.lit(" "), kind, F.lit("."))
-    return {
+    return f, {
         "title": F.concat_ws(" ", name, prop("Phase")),
         "description": F.when(units.isNotNull() & (units != "0") & kind.isNotNull(), with_units).otherwise(F.concat(said, F.lit(" subdivision record from the city's subdivision layer."))),
         "source_status": status,
-        "status": S.subdivision_status(status),
-        "application_date": F.coalesce(S.epoch_date(prop("Layout_date")), S.epoch_date(prop("Prelim_date"))),
-        "approval_date": S.epoch_date(prop("Final_date")),
+        "status": S.clean_subdivision_status(F.col("stage__")),
+        "application_date": F.coalesce(S.clean_epoch_date(prop("Layout_date")), S.clean_epoch_date(prop("Prelim_date"))),
+        "approval_date": S.clean_epoch_date(prop("Final_date")),
         "permit_issue_date": F.lit(None).cast("string"),
     }
 
 
-def city_permit() -> dict[str, Column]:
-    none = F.lit(None).cast("string")
-    named = F.concat_ws(" / ", prop("Subdivision"), prop("OccupancyType"), prop("TypeOfWork"))
-    return {
+def city_permit(features: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    none, issued = F.lit(None).cast("string"), "Permit_Issue_DateTime"
+    f = _texts(features, "Subdivision", "OccupancyType", "TypeOfWork", "PermitID", issued)
+    f = f.withColumns({"named__": F.concat_ws(" / ", prop("Subdivision"), prop("OccupancyType"), prop("TypeOfWork")), f"{issued}__": S.clean(prop(issued))})
+    named = F.col("named__")
+    return f, {
         "title": F.when(named != "", named).otherwise(F.concat(F.lit("Building Permit "), prop("PermitID"))),
         "description": F.lit("Issued building permit; its point isn't a parcel."),
         "source_status": F.lit("Issued"),
         "status": F.lit("issued_permit"),
         "application_date": none,
         "approval_date": none,
-        "permit_issue_date": S.epoch_date(prop("Permit_Issue_DateTime")),
+        "permit_issue_date": S.clean_epoch_date(prop(issued)),
     }
 
 
-def county_subdivision() -> dict[str, Column]:
-    filed = F.coalesce(S.text_date(prop("DateFiled")), prop("YearFiled"))
-    parcels = prop("Parcels")
+def county_subdivision(features: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    f = _texts(features, "DateFiled", "YearFiled", "Parcels", "Subd_Name").withColumn("DateFiled__", S.clean(prop("DateFiled")))
+    f = f.withColumn("filed_on__", S.clean_text_date(prop("DateFiled"))).withColumn("filed__", F.coalesce("filed_on__", prop("YearFiled")))
+    filed, parcels = F.col("filed__"), prop("Parcels")
     none = F.lit(None).cast("string")
-    return {
+    return f, {
         "title": F.coalesce(prop("Subd_Name"), F.lit("Unnamed subdivision")),
         "description": F.concat_ws(" ", F.lit("Recorded county subdivision polygon."), F.concat(F.lit("Source parcel count: "), parcels, F.lit(".")), F.concat(F.lit("Filed: "), filed, F.lit("."))),
         "source_status": F.coalesce(F.concat(F.lit("Filed subdivision ("), filed, F.lit(")")), F.lit("Recorded subdivision")),
         "status": F.lit("completed"),
         "application_date": none,
-        "approval_date": S.text_date(prop("DateFiled")),
+        "approval_date": F.col("filed_on__"),
         "permit_issue_date": none,
     }
 
@@ -83,16 +94,18 @@ NORMALIZERS = {"city_subdivisions": city_subdivision, "city_permits": city_permi
 def normalize(features: DataFrame, source: str, checked_at: str) -> DataFrame:
     """Records of one source; problem says why a feature has no usable identity, validation_errors what is wrong with its geometry."""
     id_name, prefix, kind, types = SOURCES[source]
-    raw = F.element_at("properties", id_name)
-    geom = G.from_geojson(F.col("geometry_json"))
-    wrong = geometry_problem(F.col("geometry_json"), types)
-    made = {k: v.alias(k) for k, v in NORMALIZERS[source]().items()}
-    return features.select(
+    f, made = NORMALIZERS[source](features.withColumn("raw__", F.element_at("properties", id_name)))
+    f = f.withColumns({"kind__": F.get_json_object("geometry_json", "$.type"), "body__": F.get_json_object("geometry_json", "$.coordinates")})
+    f = f.withColumn("geom", G.from_geojson_parts(F.col("kind__"), F.col("body__")))
+    raw, geom, known = F.col("raw__"), F.col("geom"), F.coalesce(F.col("kind__").isin(*types), F.lit(False))
+    f = f.withColumn("wrong__", F.when(~known, "unexpected_type").when(~G.has_positions(geom), "no_coordinates"))
+    wrong = F.col("wrong__")
+    return f.select(
         F.lit(source).alias("source_key"), raw.alias("source_record_id"), S.source_id_problem(raw).alias("problem"),
-        S.public_id(prefix, F.lit(source), raw).alias("public_id"), F.lit(kind).alias("development_type"), *made.values(),
+        S.public_id(prefix, F.lit(source), raw).alias("public_id"), F.lit(kind).alias("development_type"), *[v.alias(k) for k, v in made.items()],
         F.lit(checked_at[:10]).alias("date_discovered"), F.when(wrong.isNull(), "high").otherwise("medium").alias("confidence_level"),
         F.array_compact(F.array(wrong)).alias("validation_errors"), S.public_fields(F.col("properties")).alias("source_fields"),
-        geom.alias("geom"), G.vertex_mean(geom).alias("centroid"), G.area_m2(geom).alias("area_sq_m"), F.col("geometry_json"),
+        geom, G.vertex_mean(geom).alias("centroid"), G.area_m2(geom).alias("area_sq_m"), "geometry_json",
     )
 
 
