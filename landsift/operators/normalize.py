@@ -19,11 +19,11 @@ FEATURE_IDS = ("OBJECTID", "ObjectId", "FID", "WETLAND_ID")
 
 
 def prop(name: str) -> Column:
-    """A property as clean text, after ``_texts``."""
+    """A property as clean text, after ``texts``."""
     return F.col(f"{name}__")
 
 
-def _texts(features: DataFrame, *names: str) -> DataFrame:
+def texts(features: DataFrame, *names: str) -> DataFrame:
     """Properties as columns of clean text; features without properties have none.
 
     Each step of a normalizer is a select of its own: a text that is named in several places is then cleaned once, not in each.
@@ -38,7 +38,7 @@ def feature_id() -> Column:
 
 def city_subdivision(features: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
     dates = ("Layout_date", "Prelim_date", "Final_date")
-    f = _texts(features, "Subdivision", "Phase", "Status", "HousingUnits", "HousingUnitType", *dates)
+    f = texts(features, "Subdivision", "Phase", "Status", "HousingUnits", "HousingUnitType", *dates)
     f = f.withColumn("stated__", F.coalesce(prop("Status"), F.lit("Unknown")))
     f = f.withColumns({"stage__": S.clean(F.col("stated__"))} | {f"{d}__": S.clean(prop(d)) for d in dates})
     name, status = F.coalesce(prop("Subdivision"), F.lit("Unnamed subdivision")), F.col("stated__")
@@ -58,7 +58,7 @@ def city_subdivision(features: DataFrame) -> tuple[DataFrame, dict[str, Column]]
 
 def city_permit(features: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
     none, issued = F.lit(None).cast("string"), "Permit_Issue_DateTime"
-    f = _texts(features, "Subdivision", "OccupancyType", "TypeOfWork", "PermitID", issued)
+    f = texts(features, "Subdivision", "OccupancyType", "TypeOfWork", "PermitID", issued)
     f = f.withColumns({"named__": F.concat_ws(" / ", prop("Subdivision"), prop("OccupancyType"), prop("TypeOfWork")), f"{issued}__": S.clean(prop(issued))})
     named = F.col("named__")
     return f, {
@@ -73,7 +73,7 @@ def city_permit(features: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
 
 
 def county_subdivision(features: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
-    f = _texts(features, "DateFiled", "YearFiled", "Parcels", "Subd_Name").withColumn("DateFiled__", S.clean(prop("DateFiled")))
+    f = texts(features, "DateFiled", "YearFiled", "Parcels", "Subd_Name").withColumn("DateFiled__", S.clean(prop("DateFiled")))
     f = f.withColumn("filed_on__", S.clean_text_date(prop("DateFiled"))).withColumn("filed__", F.coalesce("filed_on__", prop("YearFiled")))
     filed, parcels = F.col("filed__"), prop("Parcels")
     none = F.lit(None).cast("string")

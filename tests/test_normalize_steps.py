@@ -3,7 +3,7 @@
 import json
 
 from landsift.operators import normalize
-from landsift.plans import fields
+from landsift.plans import fields, intake
 
 
 def plan(df):
@@ -18,6 +18,13 @@ def test_a_text_is_cleaned_once(spark):
         assert made.count("get_json_object(") == 2, source
 
 
+def test_a_query_reads_properties_as_the_normalizers_do(spark, tmp_path):
+    """Without ``texts`` before it, a property isn't there to be read."""
+    spark.createDataFrame([(k, f"Brand#{k}") for k in range(1, 6)], "p_partkey long, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.p_partkey: r.status for r in intake.property_guard(spark, str(tmp_path)).collect()}
+    assert got == {1: None, 2: "Brand#2", 3: None, 4: None, 5: None}
+
+
 def test_a_source_is_planned_alone(spark):
     o = spark.createDataFrame([(1, "t", "final", "2024-01-03", 1, 2, 3, 4)], "rec_key long, title string, status string, date_discovered string, w long, s long, e long, n long")
     made = plan(fields.source_features(o).where("source = 'city_permits'"))
