@@ -355,9 +355,9 @@ def polygon_problem(rings: Column, most_km2: float | None = None) -> Column:
 
 def self_intersects(ring: Column) -> Column:
     """Whether two edges that aren't neighbours meet."""
-    own = F.transform(segments(ring), lambda s, i: F.struct(s["a"].alias("a"), s["b"].alias("b"), i.alias("i")))
-    n = F.size(own)
-    return F.exists(own, lambda s: F.exists(own, lambda t: (t["i"] > s["i"] + 1) & ~((s["i"] == 0) & (t["i"] == n - 1)) & segments_intersect(s, t)))
+    numbered = F.transform(segments(ring), lambda s, i: F.struct(s["a"].alias("a"), s["b"].alias("b"), i.alias("i")))
+    later = lambda own, s, t: (t["i"] > s["i"] + 1) & ~((s["i"] == 0) & (t["i"] == F.size(own) - 1))
+    return let(numbered, lambda own: F.exists(own, lambda s: F.exists(own, lambda t: later(own, s, t) & segments_intersect(s, t))))
 
 
 def canonical_ring(ring: Column, clockwise: bool = False) -> Column:
