@@ -52,10 +52,12 @@ def ranged(df: DataFrame, order) -> DataFrame:
 def numbered_rows(df: DataFrame, order, name: str = "number_") -> DataFrame:
     """Rows numbered from 1 in ``order``, without gathering them in one task.
 
-    Range partitions keep the order; they are stored first, so that a row keeps its part whatever is planned or computed
-    anew later. Each part's rows are ranked apart, and the sums of the parts before it, one row a part, are added.
+    Range partitions keep the order; they are stored sorted and with each row's place in its part, so that a row keeps both
+    whatever is planned or computed anew later, and isn't dealt a second time. The sums of the parts before it, one row a part, are added.
     """
-    ranked = ranged(df, order).withColumn("in_", F.row_number().over(W.partitionBy("part_").orderBy(*_key(order))))
+    sorted_ = df.repartitionByRange(*_key(order)).sortWithinPartitions(*_key(order))
+    # the lower 33 bits of these ids count a part's rows as they come
+    ranked = stored(sorted_.withColumns({"part_": F.spark_partition_id(), "in_": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1}), "numbered")
     sizes = ranked.groupBy("part_").agg(F.count(F.lit(1)).alias("size_"))
     before = sizes.select("part_", (F.sum("size_").over(W.orderBy("part_")) - F.col("size_")).alias("before_"))
     return ranked.join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + F.col("in_")).drop("part_", "in_", "before_")

@@ -50,7 +50,6 @@ def import_resumed(spark, sf):
     quarter = F.least(F.lit(3), F.floor((F.substring("pos", 1, 4).cast("int") - 1992) / 2))
     lines = tables.numbered_rows(lines.withColumn("quarter", quarter), ["pos", "identity"]).withColumnRenamed("number_", "ordinal")
     staged, target = scratch.fresh_dir(spark, "import-staged"), scratch.fresh_dir(spark, "import-target")
-    lines = scratch.stored(lines, "import-lines")
     schema, valid, every = lines.drop("quarter", "pos").schema, F.col("source") != "R", 2**31 - 1
 
     def stage(k: int) -> None:

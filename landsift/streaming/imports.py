@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 
 #: Rejected rows have no state; they are dealt to so many groups of a batch. Slices of identities; fixed, as the state of an import is kept by them.
 REJECTED_GROUPS, SLICES = 64, 1 << 12
+DIGEST = 32
 FATES = ("accepted", "rejected", "duplicate", "conflict")
 
 
@@ -29,7 +30,7 @@ def _fates(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
         return
     names, contents = state.get if state.exists else ([], [])
     known = dict(zip(names, contents, strict=True))
-    # which row of a new identity came first is told by all of the slice's rows in this batch: digests and numbers
+    # which row of a new identity came first is told by all of the slice's rows in this batch: short contents or digests, and numbers
     rows = pd.concat(list(frames)).sort_values("ordinal", kind="stable")
     identity, content = rows["name_"].to_numpy(), rows["content"].to_numpy()
     fate = np.empty(len(rows), object)
@@ -49,15 +50,18 @@ def _fates(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
 def fates(stream: DataFrame, valid: Column) -> DataFrame:
     """source, identity, content, ordinal and fate of each row of a stream of (source, identity, content, ordinal).
 
-    The first valid row of an identity is accepted; later ones are duplicates or, with other content, conflicts. Contents are compared by digest.
+    The first valid row of an identity is accepted; later ones are duplicates or, with other content, conflicts. Contents of DIGEST bytes or more are
+    compared, kept and returned as digests of DIGEST bytes, shorter ones as they are.
     """
-    rows = stream.select("source", "identity", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content"), F.col("ordinal").cast("long").alias("ordinal"))
+    said = F.coalesce("content", F.lit(""))
+    kept = F.when(F.octet_length(said) < DIGEST, said.cast("binary")).otherwise(F.unhex(F.sha2(said, 256)))
+    rows = stream.select("source", "identity", kept.alias("content"), F.col("ordinal").cast("long").alias("ordinal"))
     name = F.col("identity").cast("string")
     ok = F.coalesce(valid & F.col("identity").isNotNull(), F.lit(False))
     slot = lambda of, *cols: F.pmod(F.xxhash64(*cols), F.lit(of)).cast("int")
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     rows = rows.withColumn("name_", name).withColumn("group_", F.when(ok, slot(SLICES, name)).otherwise(-1 - slot(REJECTED_GROUPS, "identity", "ordinal")))
-    return rows.groupBy("group_").applyInPandasWithState(_fates, f"{kept}, fate string", "names array<string>, contents array<string>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("group_").applyInPandasWithState(_fates, f"{columns}, fate string", "names array<string>, contents array<binary>", "append", GroupStateTimeout.NoTimeout)
 
 
 def run(spark: SparkSession, staged: str, schema: StructType, target: str, valid: Column, files_a_batch: int = 1, watch: Callable[[int], None] | None = None) -> DataFrame:

@@ -99,3 +99,24 @@ def test_an_import_of_many_files_has_the_fates_of_its_order(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
     assert sorted((r.source, r.fate, r.rows, r.identities) for r in got.collect()) == sorted(con.execute(f"SELECT source, fate, rows, identities FROM ({files._RESUMED})").fetchall())
+
+
+def test_contents_are_kept_short(spark, tmp_path):
+    """Short contents are kept as they are, long ones as 32 bytes; both tell duplicates from conflicts over batches."""
+    long = "x" * 40
+    batches = [[("A", "a", "p|1", 1), ("A", "b", long + "1", 2), ("A", "c", None, 3)], [("A", "a", "p|1", 4), ("A", "a", "p|2", 5), ("A", "b", long + "1", 6), ("A", "b", long + "2", 7), ("A", "c", "", 8)]]
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = imports.run(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, str(tmp_path / "out"), F.lit(True))
+    rows = {r.ordinal: r for r in got.collect()}
+    assert {n: r.fate for n, r in rows.items()} == {1: "accepted", 2: "accepted", 3: "accepted", 4: "duplicate", 5: "conflict", 6: "duplicate", 7: "conflict", 8: "duplicate"}
+    assert bytes(rows[1].content) == b"p|1" and {len(rows[n].content) for n in (2, 6, 7)} == {32}
+
+
+def test_numbered_rows_are_dealt_once(spark):
+    from landsift.operators import tables
+
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(7)
+    got = tables.numbered_rows(rows, "k")
+    assert [r.number_ for r in got.orderBy("k").collect()] == list(range(1, 5001))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window") == 1  # over the parts, not over the rows
